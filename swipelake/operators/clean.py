@@ -217,8 +217,10 @@ def drop_duplicates(
     if keys is None:
         return df.dropDuplicates()
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
     order = [*(keep_first_by or []), *[c for c in df.columns if c not in (keep_first_by or [])]]
-    first = F.min_by(F.struct(*rest), F.struct(*order)) if rest else F.first(F.lit(1))
+    first = F.min_by(F.struct(*rest), F.struct(*order))
     one = df.groupBy(*keys).agg(first.alias("_row"))
     return one.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 

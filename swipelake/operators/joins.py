@@ -6,13 +6,16 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swipelake.columns import present
 from swipelake.functions.bands import mapped
 from swipelake.scratch import written
-from swipelake.skew import HotKeys, hot_keys_from_counts, is_small, key_hash
+from swipelake.skew import HotKeys, hashable, hot_keys_from_counts, is_small, key_hash, source_bytes
 
 BROADCAST_BYTES = 64 << 20
+# Limit for written tables, whose files are compressed.
+BROADCAST_FILE_BYTES = 16 << 20
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -29,8 +32,8 @@ def measured_bytes(df: DataFrame) -> int:
 
 def _flat(df: DataFrame) -> bool:
     """No nested columns, whose width a type cannot tell."""
-    return not any(hasattr(f.dataType, "elementType") or hasattr(f.dataType, "fields")
-                   or hasattr(f.dataType, "keyType") for f in df.schema.fields)
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return not any(isinstance(f.dataType, nested) for f in df.schema.fields)
 
 
 def broadcast_join(
@@ -76,8 +79,7 @@ def salted_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting the left side cannot give a {how} join")
     on = list(on)
-    plain = [f.name for f in big.schema.fields if not hasattr(f.dataType, "keyType")]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in plain]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable(big)]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot is not None:
         hashes = list(hot.hashes)
@@ -96,8 +98,8 @@ def join_group_stats(
 ) -> DataFrame:
     """Aggregates per key of ``rows`` (default ``df``) left-joined to each row of ``df``.
 
-    For a large input the aggregate is written first: Catalyst then broadcasts it if it is
-    small by its true size, and its row counts name the hot keys to salt if it is not.
+    For a large input the aggregate is written first: its true size then decides on a
+    broadcast, and beyond that its row counts name the hot keys to salt.
     Column order of ``df`` is kept; a NULL key matches nothing.
     """
     keys = list(keys)
@@ -109,9 +111,10 @@ def join_group_stats(
         joined = df.join(stats.select(*kept), keys, "left")
     else:
         stats = written(stats, "stats")
-        hot = hot_keys_from_counts(stats, keys, "_rows")
-        if hot is None:
-            joined = df.join(stats.select(*kept), keys, "left")
-        else:
+        if source_bytes(stats) <= BROADCAST_FILE_BYTES:
+            joined = df.join(F.broadcast(stats.select(*kept)), keys, "left")
+        elif hot := hot_keys_from_counts(stats, keys, "_rows"):
             joined = salted_join(df, stats.select(*kept), keys, 64, "left", hot)
+        else:
+            joined = df.join(stats.select(*kept), keys, "left")
     return joined.select(*df.columns, *aggs)

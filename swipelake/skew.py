@@ -94,7 +94,7 @@ def find_hot_keys(
     return hot_keys_from_counts(counts, keys, "_rows", rows_per_task)
 
 
-def _hashable(df: DataFrame) -> list[str]:
+def hashable(df: DataFrame) -> list[str]:
     """Columns xxhash64 takes."""
     plain = (T.NumericType, T.StringType, T.DatetimeType, T.BooleanType, T.BinaryType)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, plain)]
@@ -113,7 +113,7 @@ class Pieces:
         self.columns = df.columns
         cut = (
             df.filter(hot.is_hot)
-            .withColumn("_spread", F.xxhash64(*[F.col(c) for c in _hashable(df)]))
+            .withColumn("_spread", F.xxhash64(*[F.col(c) for c in hashable(df)]))
             .repartitionByRange(hot.pieces(), *[F.col(k) for k in self.keys], *order, "_spread")
             .withColumn("_piece", F.spark_partition_id())
         )
