@@ -176,8 +176,9 @@ def run_rules(df: DataFrame, *rules: Rule) -> DataFrame:
         frames.append(_unpivot(df.agg(counted, *bad), made))
     for rule in rules:
         if not isinstance(rule.fails, Column):
-            failed = rule.fails(df).agg(F.count(F.lit(1))).scalar()
-            frames.append(_unpivot(df.agg(counted, F.first(failed).alias("_bad")), [row(rule, F.col("_bad"))]))
+            failed = rule.fails(df).agg(F.count(F.lit(1)).alias("_bad"))
+            both = failed.withColumn("_total", df.agg(counted).scalar())
+            frames.append(_unpivot(both, [row(rule, F.col("_bad"))]))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -247,19 +248,12 @@ def _profile_row(name: str, kind: str, *values: Column) -> Column:
 
 def _exact_distinct(df: DataFrame, texts: Sequence[str], types: Mapping[str, str]) -> DataFrame:
     """Distinct values, a NULL counting as one, as ``select(c).distinct().count()`` gives."""
-    one = df.agg(
-        *[
-            (F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"_{c}")
-            for c in texts
-        ]
-    )
-    none = F.lit(None)
+    pairs = [F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(texts)]
+    values = df.select(F.inline(F.array(*pairs))).distinct()
+    one = values.agg(*[F.count_if(F.col("i") == i).alias(f"_{i}") for i in range(len(texts))])
+    none = [F.lit(None)] * 4
     return _unpivot(
-        one,
-        [
-            _profile_row(c, types[c], none, none, none, none, F.coalesce(f"_{c}", F.lit(0)))
-            for c in texts
-        ],
+        one, [_profile_row(c, types[c], *none, F.col(f"_{i}")) for i, c in enumerate(texts)]
     )
 
 

@@ -119,7 +119,7 @@ def confusion_matrix(
 
 
 def class_metrics(matrix: DataFrame) -> DataFrame:
-    """Accuracy and class-weighted precision, recall and F1 from the four counts."""
+    """The four counts with accuracy and class-weighted precision, recall and F1."""
     tp, fp = F.col("true_positive"), F.col("false_positive")
     tn, fn = F.col("true_negative"), F.col("false_negative")
     total = tp + fp + tn + fn
@@ -136,6 +136,7 @@ def class_metrics(matrix: DataFrame) -> DataFrame:
         return share((tp + fn) * one + (tn + fp) * zero, total)
 
     return matrix.select(
+        "*",
         share(tp + tn, total).alias("accuracy"),
         weighted(p1, p0).alias("precision"),
         weighted(r1, r0).alias("recall"),
@@ -154,8 +155,7 @@ def evaluate(model: PipelineModel, test: DataFrame, inputs: ModelInputs) -> Data
         (name, BinaryClassificationEvaluator(labelCol=inputs.label, metricName=area).evaluate(scored))
         for name, area in (("auc_roc", "areaUnderROC"), ("auc_pr", "areaUnderPR"))
     ]
-    matrix = confusion_matrix(scored, inputs.label)
-    one = class_metrics(matrix).crossJoin(matrix).first().asDict()
+    one = class_metrics(confusion_matrix(scored, inputs.label)).first().asDict()
     return test.sparkSession.createDataFrame(
         [*areas, *[(n, float(v)) for n, v in one.items()]], "metric string, value double"
     )
