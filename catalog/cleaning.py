@@ -64,7 +64,7 @@ def nulls_fill_default(spark, folder):
 @query(
     "nulls_mean",
     """
-SELECT transaction_id, round(coalesce(amount, (SELECT avg(amount) FROM holes)), 4) AS amount,
+SELECT transaction_id, rnd(coalesce(amount, (SELECT avg(amount) FROM holes)), 4) AS amount,
        CAST(coalesce(merchant_id, (SELECT CAST(trunc(avg(merchant_id)) AS INT) FROM holes)) AS BIGINT) AS merchant_id
 FROM holes
 """,
@@ -77,7 +77,7 @@ def nulls_mean(spark, folder):
 @query(
     "nulls_median",
     """
-SELECT transaction_id, round(coalesce(amount, (SELECT quantile_disc(amount, 0.5) FROM holes)), 4) AS amount,
+SELECT transaction_id, rnd(coalesce(amount, (SELECT quantile_disc(amount, 0.5) FROM holes)), 4) AS amount,
        CAST(coalesce(merchant_id, (SELECT quantile_disc(merchant_id, 0.5) FROM holes)) AS BIGINT) AS merchant_id
 FROM holes
 """,
@@ -152,7 +152,7 @@ def band_basic(spark, folder):
     """
 SELECT transaction_id, CASE WHEN amount * 9 < 50 THEN 'micro' WHEN amount * 9 < 100 THEN 'small'
          WHEN amount * 9 < 500 THEN 'medium' WHEN amount * 9 < 1000 THEN 'large' ELSE 'premium' END AS amount_category,
-       round(ln(1 + amount * 9), 4) AS amount_log FROM txn
+       rnd(ln(1 + amount * 9), 4) AS amount_log FROM txn
 """,
 )
 def band_etl(spark, folder):
@@ -240,7 +240,7 @@ def dedupe_full(spark, folder):
 @query(
     "dedupe_key",
     """
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_quantity, round(l_extendedprice, 2) AS price
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_quantity, rnd(l_extendedprice, 2) AS price
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem)
 WHERE rn = 1

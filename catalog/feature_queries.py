@@ -10,18 +10,18 @@ CASE WHEN hour(txn_ts) >= 22 OR hour(txn_ts) <= 5 THEN 1 ELSE 0 END::BIGINT AS i
 CASE WHEN hour(txn_ts) BETWEEN 9 AND 17 THEN 1 ELSE 0 END::BIGINT AS is_business_hours"""
 
 _AMOUNT = """
-round((amount - (SELECT avg(amount) FROM txn)) / (SELECT stddev(amount) FROM txn), 4) AS amount_zscore,
+rnd((amount - (SELECT avg(amount) FROM txn)) / (SELECT stddev(amount) FROM txn), 4) AS amount_zscore,
 CASE WHEN amount < 10 THEN 'micro' WHEN amount < 50 THEN 'small' WHEN amount < 200 THEN 'medium'
      WHEN amount < 500 THEN 'large' ELSE 'very_large' END AS amount_bucket,
-round(ln(1 + amount), 4) AS log_amount, CASE WHEN amount % 50 = 0 THEN 1 ELSE 0 END::BIGINT AS is_round_amount,
-round(avg(amount) OVER (PARTITION BY customer_id), 4) AS customer_avg_amount,
-round(stddev(amount) OVER (PARTITION BY customer_id), 4) AS customer_std_amount,
-round(amount / nullif(avg(amount) OVER (PARTITION BY customer_id), 0), 4) AS amount_vs_customer_avg"""
+rnd(ln(1 + amount), 4) AS log_amount, CASE WHEN amount % 50 = 0 THEN 1 ELSE 0 END::BIGINT AS is_round_amount,
+rnd(avg(amount) OVER (PARTITION BY customer_id), 4) AS customer_avg_amount,
+rnd(stddev(amount) OVER (PARTITION BY customer_id), 4) AS customer_std_amount,
+rnd(amount / nullif(avg(amount) OVER (PARTITION BY customer_id), 0), 4) AS amount_vs_customer_avg"""
 
 _LAST = "floor(epoch(txn_ts))::BIGINT - lag(floor(epoch(txn_ts))::BIGINT) OVER (PARTITION BY customer_id ORDER BY txn_ts, transaction_id)"
 _VELOCITY = f"""
 count(*) OVER (PARTITION BY customer_id) AS customer_txn_count,
-round(sum(amount) OVER (PARTITION BY customer_id), 2) AS customer_total_amount,
+rnd(sum(amount) OVER (PARTITION BY customer_id), 2) AS customer_total_amount,
 row_number() OVER (PARTITION BY customer_id ORDER BY txn_ts, transaction_id) AS txn_number,
 {_LAST} AS seconds_since_last_txn,
 CASE WHEN {_LAST} < 60 THEN 1 ELSE 0 END::BIGINT AS is_rapid_txn"""
@@ -30,9 +30,9 @@ _MERCHANT_JOIN = """(SELECT merchant_id AS m_id, count(*) AS merchant_txn_count,
    count(*) FILTER (is_fraud = 1)::DOUBLE / count(*) AS rate, avg(amount) AS mavg FROM txn GROUP BY merchant_id) m
 ON m.m_id = t.merchant_id"""
 _MERCHANT = """
-merchant_txn_count, round(rate, 4) AS merchant_fraud_rate, round(mavg, 4) AS merchant_avg_amount,
+merchant_txn_count, rnd(rate, 4) AS merchant_fraud_rate, rnd(mavg, 4) AS merchant_avg_amount,
 CASE WHEN rate > 0.02 THEN 'high' WHEN rate > 0.005 THEN 'medium' ELSE 'low' END AS merchant_risk_tier,
-round(amount / nullif(mavg, 0), 4) AS amount_vs_merchant_avg"""
+rnd(amount / nullif(mavg, 0), 4) AS amount_vs_merchant_avg"""
 
 
 def _family(df, name):

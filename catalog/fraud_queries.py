@@ -9,9 +9,9 @@ from swipelake.plans import fraud, geography
 @query(
     "customer_profile",
     """
-SELECT customer_id, count(*) AS transaction_count, round(sum(amount), 2) AS total_amount,
-       round(avg(amount), 4) AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount,
-       round(stddev(amount), 4) AS stddev_amount, count(DISTINCT merchant_id) AS unique_merchants
+SELECT customer_id, count(*) AS transaction_count, rnd(sum(amount), 2) AS total_amount,
+       rnd(avg(amount), 4) AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount,
+       rnd(stddev(amount), 4) AS stddev_amount, count(DISTINCT merchant_id) AS unique_merchants
 FROM txn GROUP BY customer_id
 """,
 )
@@ -23,7 +23,7 @@ def customer_profile(spark, folder):
 @query(
     "overall_stats",
     """
-SELECT count(*) AS total_transactions, round(sum(amount), 2) AS total_amount, round(avg(amount), 4) AS avg_amount,
+SELECT count(*) AS total_transactions, rnd(sum(amount), 2) AS total_amount, rnd(avg(amount), 4) AS avg_amount,
        max(amount) AS max_amount, min(amount) AS min_amount FROM txn
 """,
 )
@@ -142,7 +142,7 @@ def anomaly_summary(spark, folder):
 
 @query(
     "anomaly_top10",
-    f"""WITH {_ODD} SELECT transaction_id, amount, round(z_score, 4) AS z_score, CAST(is_fraud AS BIGINT) AS is_fraud, category
+    f"""WITH {_ODD} SELECT transaction_id, amount, rnd(z_score, 4) AS z_score, CAST(is_fraud AS BIGINT) AS is_fraud, category
 FROM a ORDER BY a.z_score DESC, transaction_id LIMIT 10""",
 )
 def anomaly_top10(spark, folder):
@@ -233,8 +233,8 @@ b AS (SELECT *, CASE WHEN km < 5 THEN 'local' WHEN km < 25 THEN 'nearby' WHEN km
 
 @query(
     "geo_distance",
-    f"""WITH {_GEO} SELECT transaction_id, round(km, 4) AS transaction_distance_km, mlat AS customer_median_lat,
- mlon AS customer_median_long, round(home_km, 4) AS distance_from_home_km FROM b""",
+    f"""WITH {_GEO} SELECT transaction_id, rnd(km, 4) AS transaction_distance_km, mlat AS customer_median_lat,
+ mlon AS customer_median_long, rnd(home_km, 4) AS distance_from_home_km FROM b""",
 )
 def geo_distance(spark, folder):
     return pick(

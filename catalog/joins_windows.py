@@ -79,7 +79,7 @@ def lookup_map(spark, folder):
 
 
 _PER_CUSTOMER = """
-SELECT o_custkey, count(*) AS lines, round(sum(l_extendedprice), 2) AS price
+SELECT o_custkey, count(*) AS lines, rnd(sum(l_extendedprice), 2) AS price
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey
 """
 
@@ -137,7 +137,7 @@ _RANKS = "(PARTITION BY o_custkey ORDER BY o_orderdate)"
 
 @query(
     "running_total",
-    f"SELECT o_orderkey, round(sum(o_totalprice) OVER {_ROWS} ROWS UNBOUNDED PRECEDING), 2) AS running_total FROM orders",
+    f"SELECT o_orderkey, rnd(sum(o_totalprice) OVER {_ROWS} ROWS UNBOUNDED PRECEDING), 2) AS running_total FROM orders",
 )
 def running_total(spark, folder):
     df = _windows(spark, folder).running_total("o_totalprice", "running_total").result()
@@ -146,7 +146,7 @@ def running_total(spark, folder):
 
 @query(
     "running_avg",
-    f"SELECT o_orderkey, round(avg(o_totalprice) OVER {_ROWS} ROWS UNBOUNDED PRECEDING), 3) AS running_avg FROM orders",
+    f"SELECT o_orderkey, rnd(avg(o_totalprice) OVER {_ROWS} ROWS UNBOUNDED PRECEDING), 3) AS running_avg FROM orders",
 )
 def running_avg(spark, folder):
     df = _windows(spark, folder).running_average("o_totalprice", "running_avg").result()
@@ -179,9 +179,9 @@ def row_number(spark, folder):
 @query(
     "lag_multi",
     f"""
-SELECT o_orderkey, round(lag(o_totalprice, 1) OVER {_ROWS}), 2) AS o_totalprice_lag_1,
-       round(lag(o_totalprice, 7) OVER {_ROWS}), 2) AS o_totalprice_lag_7,
-       round(lag(o_totalprice, 30) OVER {_ROWS}), 2) AS o_totalprice_lag_30 FROM orders
+SELECT o_orderkey, rnd(lag(o_totalprice, 1) OVER {_ROWS}), 2) AS o_totalprice_lag_1,
+       rnd(lag(o_totalprice, 7) OVER {_ROWS}), 2) AS o_totalprice_lag_7,
+       rnd(lag(o_totalprice, 30) OVER {_ROWS}), 2) AS o_totalprice_lag_30 FROM orders
 """,
 )
 def lag_multi(spark, folder):
@@ -191,7 +191,7 @@ def lag_multi(spark, folder):
     return rounded(df.select("o_orderkey", *[f"o_totalprice_lag_{p}" for p in (1, 7, 30)]), 2)
 
 
-@query("lead", f"SELECT o_orderkey, round(lead(o_totalprice, 2) OVER {_ROWS}), 2) AS nxt FROM orders")
+@query("lead", f"SELECT o_orderkey, rnd(lead(o_totalprice, 2) OVER {_ROWS}), 2) AS nxt FROM orders")
 def lead(spark, folder):
     df = _windows(spark, folder).lead("o_totalprice", 2, "nxt").result()
     return rounded(df.select("o_orderkey", "nxt"), 2)
@@ -201,7 +201,7 @@ def lead(spark, folder):
     "pct_change",
     f"""
 WITH p AS (SELECT o_orderkey, o_totalprice AS x, lag(o_totalprice) OVER {_ROWS}) AS b FROM orders)
-SELECT o_orderkey, CASE WHEN b IS NOT NULL AND b <> 0 THEN round((x - b) / b * 100, 3) END AS pct FROM p
+SELECT o_orderkey, CASE WHEN b IS NOT NULL AND b <> 0 THEN rnd((x - b) / b * 100, 3) END AS pct FROM p
 """,
 )
 def pct_change(spark, folder):
@@ -211,7 +211,7 @@ def pct_change(spark, folder):
 
 @query(
     "moving_avg",
-    f"SELECT o_orderkey, round(avg(o_totalprice) OVER {_ROWS} ROWS 6 PRECEDING), 3) AS ma FROM orders",
+    f"SELECT o_orderkey, rnd(avg(o_totalprice) OVER {_ROWS} ROWS 6 PRECEDING), 3) AS ma FROM orders",
 )
 def moving_avg(spark, folder):
     df = _windows(spark, folder).moving_average("o_totalprice", 7, "ma").result()
@@ -229,13 +229,13 @@ _BY_USER = "(PARTITION BY user_id ORDER BY ts, event_id"
 @query(
     "windows_hot_keys",
     f"""
-SELECT event_id, round(sum(value) OVER {_BY_USER} ROWS UNBOUNDED PRECEDING), 2) AS total,
-       round(avg(value) OVER {_BY_USER} ROWS UNBOUNDED PRECEDING), 3) AS average,
+SELECT event_id, rnd(sum(value) OVER {_BY_USER} ROWS UNBOUNDED PRECEDING), 2) AS total,
+       rnd(avg(value) OVER {_BY_USER} ROWS UNBOUNDED PRECEDING), 3) AS average,
        row_number() OVER {_BY_USER}) AS rn, ntile(5) OVER {_BY_USER}) AS tile,
        rank() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS rnk,
        dense_rank() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS drnk,
-       round(lag(value, 7) OVER {_BY_USER}), 2) AS lag7, round(lead(value) OVER {_BY_USER}), 2) AS lead1,
-       round(avg(value) OVER {_BY_USER} ROWS 6 PRECEDING), 3) AS ma
+       rnd(lag(value, 7) OVER {_BY_USER}), 2) AS lag7, rnd(lead(value) OVER {_BY_USER}), 2) AS lead1,
+       rnd(avg(value) OVER {_BY_USER} ROWS 6 PRECEDING), 3) AS ma
 FROM events
 """,
 )
@@ -291,7 +291,7 @@ def sessionize_hot_keys(spark, folder):
     "session_summary",
     _SESSIONS.format(gap=43200)
     + """SELECT user_id, session_id, count(*) AS events, max(sec) - min(sec) AS seconds,
-       round(sum(value), 2) AS total_amount FROM s GROUP BY user_id, session_id""",
+       rnd(sum(value), 2) AS total_amount FROM s GROUP BY user_id, session_id""",
 )
 def session_summary_(spark, folder):
     sessions = sessionize(_events(spark, folder), "user_id", "ts", 720, "event_id")
@@ -308,7 +308,7 @@ def partition_profile(spark, folder):
 
 @query(
     "compact",
-    "SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY l_orderkey",
+    "SELECT l_orderkey, count(*) AS n, rnd(sum(l_quantity), 2) AS q FROM lineitem GROUP BY l_orderkey",
 )
 def compact(spark, folder):
     df = layout.compact(table(spark, folder, "lineitem").select("l_orderkey", "l_quantity"))
@@ -320,7 +320,7 @@ def compact(spark, folder):
 
 @query(
     "map_batches",
-    "SELECT event_id, round(value * 2 + 1, 4) AS doubled FROM events",
+    "SELECT event_id, rnd(value * 2 + 1, 4) AS doubled FROM events",
 )
 def map_batches(spark, folder):
     def double(batch):
@@ -344,7 +344,7 @@ def sql_over(spark, folder):
 @query(
     "group_stats",
     """
-SELECT event_id, count(*) OVER (PARTITION BY event_type) AS n, round(avg(value) OVER (PARTITION BY event_type), 4) AS mean
+SELECT event_id, count(*) OVER (PARTITION BY event_type) AS n, rnd(avg(value) OVER (PARTITION BY event_type), 4) AS mean
 FROM events
 """,
 )

@@ -21,9 +21,9 @@ def _metrics(spark, folder):
 
 @query(
     "segment_metrics",
-    f"""WITH {_METRICS} SELECT customer_id, txn_count, round(total_amount, 2) AS total_amount, round(avg_amount, 4) AS avg_amount,
- max_amount, min_amount, round(std_amount, 4) AS std_amount, unique_merchants, fraud_count, night_txn_count,
- weekend_txn_count, round(fraud_rate, 4) AS fraud_rate FROM c""",
+    f"""WITH {_METRICS} SELECT customer_id, txn_count, rnd(total_amount, 2) AS total_amount, rnd(avg_amount, 4) AS avg_amount,
+ max_amount, min_amount, rnd(std_amount, 4) AS std_amount, unique_merchants, fraud_count, night_txn_count,
+ weekend_txn_count, rnd(fraud_rate, 4) AS fraud_rate FROM c""",
 )
 def segment_metrics(spark, folder):
     df = rounded(_metrics(spark, folder), 2, "total_amount")
@@ -149,9 +149,9 @@ def confusion_matrix(spark, folder):
     f"""WITH {_MATRIX}, d AS (SELECT true_positive::DOUBLE AS tp, false_positive::DOUBLE AS fp, true_negative::DOUBLE AS tn,
    false_negative::DOUBLE AS fn, m.* FROM m),
  s AS (SELECT *, tp + fp + tn + fn AS n, tp / (tp + fp) AS p1, tp / (tp + fn) AS r1, tn / (tn + fn) AS p0, tn / (tn + fp) AS r0 FROM d)
-SELECT true_positive, false_positive, true_negative, false_negative, round((tp + tn) / n, 6) AS accuracy,
- round(((tp + fn) * p1 + (tn + fp) * p0) / n, 6) AS "precision", round(((tp + fn) * r1 + (tn + fp) * r0) / n, 6) AS recall,
- round(((tp + fn) * 2 * p1 * r1 / (p1 + r1) + (tn + fp) * 2 * p0 * r0 / (p0 + r0)) / n, 6) AS f1_score FROM s""",
+SELECT true_positive, false_positive, true_negative, false_negative, rnd((tp + tn) / n, 6) AS accuracy,
+ rnd(((tp + fn) * p1 + (tn + fp) * p0) / n, 6) AS "precision", rnd(((tp + fn) * r1 + (tn + fp) * r0) / n, 6) AS recall,
+ rnd(((tp + fn) * 2 * p1 * r1 / (p1 + r1) + (tn + fp) * 2 * p0 * r0 / (p0 + r0)) / n, 6) AS f1_score FROM s""",
 )
 def class_metrics(spark, folder):
     return rounded(model.class_metrics(_ruled(spark, folder)), 6)

@@ -125,7 +125,7 @@ def udf_parse_currency(spark, folder):
 @query(
     "normalize_minmax",
     """
-SELECT transaction_id, round((amount - min(amount) OVER ()) / (max(amount) OVER () - min(amount) OVER ()), 6)
+SELECT transaction_id, rnd((amount - min(amount) OVER ()) / (max(amount) OVER () - min(amount) OVER ()), 6)
          AS scaled FROM holes
 """,
 )
@@ -181,7 +181,7 @@ FROM {t}""",
 WITH d AS (SELECT transaction_id, radians(lat) AS p1, radians(merch_lat) AS p2,
                   radians(merch_lon) - radians(lon) AS dl FROM txn)
 SELECT transaction_id, CASE WHEN transaction_id % 17 <> 0 THEN
-  round(2 * 6371 * asin(sqrt(pow(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * pow(sin(dl / 2), 2))), 4)
+  rnd(2 * 6371 * asin(sqrt(pow(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * pow(sin(dl / 2), 2))), 4)
   END AS km FROM d
 """,
 )

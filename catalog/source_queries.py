@@ -193,7 +193,7 @@ SELECT 'TXN_' || lpad(event_id::VARCHAR, 10, '0') AS transaction_id,
    'MERCH_' || lpad(({_draw('merchant')} % 50)::VARCHAR, 5, '0') AS merchant_id, merchant_category,
    {_choice('type', v.TRANSACTION_TYPES)} AS transaction_type,
    round((CASE merchant_category {low} END + a * (CASE merchant_category {high} END - CASE merchant_category {low} END))
-     * CASE WHEN is_fraud = 1 THEN factor ELSE 1 END, 1) AS amount,
+     * CASE WHEN is_fraud = 1 THEN factor ELSE 1 END, 2) AS amount,
    'USD' AS currency, {_choice('city', v.CITIES)} AS city,
    strftime(TIMESTAMP '2023-01-01' + to_seconds({_draw('time')} % 63072001), '%Y-%m-%dT%H:%M:%S') AS transaction_time,
    is_fraud, {_choice('card', v.CARD_TYPES)} AS card_type, {_choice('device', v.DEVICE_TYPES)} AS device_type
@@ -204,7 +204,7 @@ FROM d"""
 def synthetic_txns(spark, folder):
     """One generated transaction per event."""
     made = synthetic_transactions(table(spark, folder, "events"), "event_id")
-    return big(rounded(made, 1))
+    return big(made)
 
 
 # ---- job and streams --------------------------------------------------------------------------

@@ -100,8 +100,11 @@ def fill_nulls_mean(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     return _fill_from_aggregate(df, subset, F.avg)
 
 
-def fill_nulls_median(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    return _fill_from_aggregate(df, subset, lambda c: F.percentile_approx(c, 0.5))
+def fill_nulls_median(
+    df: DataFrame, subset: Sequence[str] | None = None, accuracy: int = 1_000_000
+) -> DataFrame:
+    """Median by a mergeable sketch; its rank error is at most rows / ``accuracy``."""
+    return _fill_from_aggregate(df, subset, lambda c: F.percentile_approx(c, 0.5, accuracy))
 
 
 def fill_nulls_mode(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

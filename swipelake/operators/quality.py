@@ -119,27 +119,34 @@ def all_passed(results: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A named condition for *failing* rows: a predicate, or a function giving those rows."""
+    """A named condition for *failing* rows: a predicate (SQL text or Column), or a function
+    giving those rows."""
 
     name: str
-    fails: Column | Callable[[DataFrame], DataFrame]
+    fails: str | Column | Callable[[DataFrame], DataFrame]
     severity: str = "error"
 
     def __post_init__(self):
         if self.severity not in ("error", "warning", "info"):
             raise ValueError(f"unknown severity {self.severity!r}")
 
+    @property
+    def predicate(self) -> Column | None:
+        if isinstance(self.fails, str):
+            return F.expr(self.fails)
+        return self.fails if isinstance(self.fails, Column) else None
+
 
 def not_null(column: str) -> Rule:
-    return Rule(f"not_null_{column}", F.col(column).isNull())
+    return Rule(f"not_null_{column}", f"`{column}` IS NULL")
 
 
 def positive(column: str) -> Rule:
-    return Rule(f"positive_{column}", F.col(column) <= 0)
+    return Rule(f"positive_{column}", f"`{column}` <= 0")
 
 
 def in_range(column: str, low: float, high: float) -> Rule:
-    return Rule(f"range_{column}", (F.col(column) < low) | (F.col(column) > high))
+    return Rule(f"range_{column}", f"`{column}` < {low} OR `{column}` > {high}")
 
 
 def unique(*columns: str) -> Rule:
@@ -167,15 +174,15 @@ def run_rules(df: DataFrame, *rules: Rule) -> DataFrame:
             (failed == 0).alias("passed"),
         )
 
-    predicates = [r for r in rules if isinstance(r.fails, Column)]
+    predicates = [r for r in rules if r.predicate is not None]
     frames = []
     counted = F.count(F.lit(1)).alias("_total")
     if predicates:
-        bad = [F.count_if(r.fails).alias(f"_bad{i}") for i, r in enumerate(predicates)]
+        bad = [F.count_if(r.predicate).alias(f"_bad{i}") for i, r in enumerate(predicates)]
         made = [row(r, F.col(f"_bad{i}")) for i, r in enumerate(predicates)]
         frames.append(_unpivot(df.agg(counted, *bad), made))
     for rule in rules:
-        if not isinstance(rule.fails, Column):
+        if rule.predicate is None:
             failed = rule.fails(df).agg(F.count(F.lit(1)).alias("_bad"))
             both = failed.withColumn("_total", df.agg(counted).scalar())
             frames.append(_unpivot(both, [row(rule, F.col("_bad"))]))

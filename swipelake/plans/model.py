@@ -163,7 +163,7 @@ def evaluate(model: PipelineModel, test: DataFrame, inputs: ModelInputs) -> Data
 
 def importances(model: PipelineModel, df: DataFrame, top: int = 15) -> DataFrame:
     """Features by importance, highest first; as many rows as features at most."""
-    names = next(s for s in model.stages if s.hasParam("inputCols") and s.hasParam("outputCol"))
+    names = next(s for s in model.stages if isinstance(s, VectorAssembler))
     weights = model.stages[-1].featureImportances.toArray()
     rows = sorted(zip(names.getInputCols(), map(float, weights)), key=lambda r: (-r[1], r[0]))
     return df.sparkSession.createDataFrame(rows[:top], "feature string, importance double")

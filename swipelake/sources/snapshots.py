@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VERSIONS = T.StructType.fromDDL(
+_VERSIONS = (
     "version LONG, committed_at TIMESTAMP, operation STRING, row_count LONG, "
     "total_rows LONG, columns STRING, parts ARRAY<STRING>, table_schema STRING"
 )
