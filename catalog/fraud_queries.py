@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import COLS, big, pick, query, rounded, txn
+from catalog.base import COLS, big, pick, placed, query, rounded, txn
 from swipelake.plans import fraud, geography
 
 
@@ -200,10 +200,9 @@ def report_json(spark, folder):
     from swipelake.scratch import scratch_path
     from swipelake.sources.files import read_json
 
-    df, path = txn(spark, folder), scratch_path(spark, "report")
-    names = ("executive_summary", "fraud_by_category")
-    sections = fraud.report(df, COLS)
-    fraud.write_report({n: sections[n] for n in names}, path)
+    path = scratch_path(spark, "report")
+    sections = fraud.report(txn(spark, folder), COLS)
+    fraud.write_report(sections, path)
     schema = sections["fraud_by_category"].schema
     made = read_json(spark, f"{path}/fraud_by_category", schema=schema)
     return made.select("category", "total_transactions", "fraud_rate_percent")
@@ -268,7 +267,7 @@ def geo_bucket_hot_keys(spark, folder):
  CASE WHEN state <> home THEN 1 ELSE 0 END::BIGINT AS is_out_of_state FROM b""",
 )
 def geo_home_state(spark, folder):
-    df = geography.geographic_features(txn(spark, folder), COLS)
+    df = geography.geographic_features(placed(spark, folder), COLS)
     return pick(df, "transaction_id", "customer_home_state", "is_out_of_state")
 
 
@@ -281,7 +280,7 @@ ORDER BY avg(is_fraud) DESC, state NULLS FIRST LIMIT 10
 """,
 )
 def geo_hotspots(spark, folder):
-    return geography.fraud_hotspots(txn(spark, folder), COLS)
+    return geography.fraud_hotspots(placed(spark, folder), COLS)
 
 
 @query(
@@ -307,7 +306,7 @@ def geo_unusual(spark, folder):
 @query("geo_summary")
 def geo_summary(spark, folder):
     """All three geographic answers as (section, name, rows, frauds, rate) rows."""
-    base = txn(spark, folder)
+    base = placed(spark, folder)
     df = geography.geographic_features(base, COLS)
     five = geography.fraud_hotspots(base, COLS, top=5)
     risk = geography.distance_risk(df, COLS)

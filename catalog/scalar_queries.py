@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import big, pick, query, table, txn
+from catalog.base import big, pick, placed, query, table, txn
 from swipelake.functions import bands, geo, scalars, sql_names
 
 
@@ -171,7 +171,7 @@ SELECT transaction_id, categorize_amount(amount) AS band, mask_sensitive(state)
        parse_currency(concat('$', format_number(amount, 2))) AS parsed,
        calculate_risk_score(amount * 60, is_fraud, device_type, transaction_type) AS score
 FROM {t}""",
-        t=txn(spark, folder),
+        t=placed(spark, folder),
     )
 
 

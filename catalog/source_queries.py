@@ -248,7 +248,7 @@ def _batches(spark, folder):
         "transaction_type",
     )
     path = scratch_path(spark, "incoming")
-    files.write_csv(df.repartition(3, "transaction_id"), path)
+    files.write_csv(df, path)
     return path, df.schema
 
 

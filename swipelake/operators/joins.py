@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from swipelake.columns import present
 from swipelake.functions.bands import mapped
 from swipelake.scratch import written
-from swipelake.skew import HotKeys, hashable, hot_keys_from_counts, is_small, key_hash, source_bytes
+from swipelake.skew import HotKeys, hashable, hot_keys_from_counts, is_small, source_bytes
 
 BROADCAST_BYTES = 64 << 20
 # Limit for written tables, whose files are compressed.
@@ -82,11 +82,11 @@ def salted_join(
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable(big)]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot is not None:
-        hashes = list(hot.hashes)
-        salt = F.when(key_hash(on).isin(hashes), salt).otherwise(0)
-        copies = F.when(key_hash(on).isin(hashes), copies).otherwise(F.array(F.lit(0)))
-    left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(copies))
+        big, small = hot.mark(big), hot.mark(small)
+        salt = F.when(F.col("_is_hot"), salt).otherwise(0)
+        copies = F.when(F.col("_is_hot"), copies).otherwise(F.array(F.lit(0)))
+    left = big.withColumn("_salt", salt).drop("_is_hot")
+    right = small.withColumn("_salt", F.explode(copies)).drop("_is_hot")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

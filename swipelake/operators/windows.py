@@ -99,12 +99,17 @@ class KeyedWindows:
         hot = find_hot_keys(self._df, self._keys, self._rows_per_task)
         if hot is None:
             return self._plain(self._df)
-        return self._plain(self._df.filter(~hot.is_hot)).unionByName(self._cut(hot))
+        return self._plain(hot.others(self._df)).unionByName(self._cut(hot))
 
     def _plain(self, df: DataFrame) -> DataFrame:
+        """One shuffle; row windows first, as their longer sort also serves the ranks."""
         rows = Window.partitionBy(*self._keys).orderBy(*self._full_order)
         ranks = Window.partitionBy(*self._keys).orderBy(*self._order)
-        return df.select("*", *[self._over(w, rows, ranks).alias(w.alias) for w in self._wanted])
+        made = df
+        for rank_pass in (False, True):
+            chosen = [w for w in self._wanted if (w.kind in ("rank", "dense_rank")) == rank_pass]
+            made = made.select("*", *[self._over(w, rows, ranks).alias(w.alias) for w in chosen])
+        return made.select(*df.columns, *[w.alias for w in self._wanted])
 
     def _over(self, w: _Wanted, rows: WindowSpec, ranks: WindowSpec) -> Column:
         to_here = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -318,7 +323,7 @@ def sessionize(
     keys = _names(partition_by)
     order = [F.asc(c) for c in (timestamp, *_names(tie_break))]
     hot = find_hot_keys(df, keys, rows_per_task)
-    plain = df if hot is None else df.filter(~hot.is_hot)
+    plain = df if hot is None else hot.others(df)
     rows = Window.partitionBy(*keys).orderBy(*order)
     starts = _starts_session(F.col(timestamp), F.lag(timestamp).over(rows), gap_minutes)
     plain = plain.withColumn("_starts", starts).withColumn(

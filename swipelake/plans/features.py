@@ -47,11 +47,14 @@ def _zscore(df: DataFrame, amount: str) -> Column:
     return (F.col(amount) - mean) / sd
 
 
-def _row_amount_features(df: DataFrame, cols: TxnColumns) -> DataFrame:
+def _row_amount_features(
+    df: DataFrame, cols: TxnColumns, population: DataFrame | None = None
+) -> DataFrame:
+    """Amount features of single rows; the z-score is against ``population`` (default ``df``)."""
     amount = F.col(cols.amount)
     return df.withColumns(
         {
-            "amount_zscore": _zscore(df, cols.amount),
+            "amount_zscore": _zscore(df if population is None else population, cols.amount),
             "amount_bucket": band_feature(amount),
             "log_amount": F.log1p(amount),
             "is_round_amount": _flag(amount % 50 == 0),
@@ -79,13 +82,15 @@ def _customer_features(
     order = [F.asc(c) for c in (cols.timestamp, *tie)]
     hot = find_hot_keys(df, [cols.customer], rows_per_task)
 
+    # Ordered windows first: their sort also serves the whole-customer ones.
     whole = Window.partitionBy(cols.customer)
-    made = {n: c.over(whole) for n, c in totals.items()}
+    plain = df if hot is None else hot.others(df)
     if velocity:
         rows = whole.orderBy(*order)
-        made["txn_number"] = F.row_number().over(rows)
-        made["_prev_ts"] = F.lag(cols.timestamp).over(rows)
-    plain = (df if hot is None else df.filter(~hot.is_hot)).withColumns(made)
+        plain = plain.withColumns(
+            {"txn_number": F.row_number().over(rows), "_prev_ts": F.lag(cols.timestamp).over(rows)}
+        )
+    plain = plain.withColumns({n: c.over(whole) for n, c in totals.items()})
     if hot is not None:
         plain = plain.unionByName(_hot_customers(df, hot, order, cols, totals, velocity))
 
@@ -110,7 +115,7 @@ def _hot_customers(
 ) -> DataFrame:
     kept = [*df.columns, *totals]
     if not velocity:
-        rows = df.filter(hot.is_hot)
+        rows = hot.rows(df)
         stats = rows.groupBy(F.col(cols.customer).alias("_on")).agg(
             *[c.alias(n) for n, c in totals.items()]
         )
@@ -168,12 +173,16 @@ def all_features(
     label_rows: DataFrame | None = None,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Input columns in their order, then the 24 features."""
+    """Input columns in their order, then the 24 features.
+
+    Columns of single rows are made last, so the shuffles carry only the input columns.
+    """
     present(df, [cols.amount, cols.customer, cols.merchant, cols.timestamp, cols.fraud])
     keep = [c for c in df.columns if c not in feature_names()]
-    made = _row_amount_features(time_features(df, cols), cols)
-    made = _customer_features(made, cols, True, True, rows_per_task)
-    return merchant_features(made, cols, label_rows).select(*keep, *feature_names())
+    made = _customer_features(df, cols, True, True, rows_per_task)
+    made = merchant_features(made, cols, df if label_rows is None else label_rows)
+    made = _row_amount_features(time_features(made, cols), cols, df)
+    return made.select(*keep, *feature_names())
 
 
 def feature_names(family: str | None = None) -> list[str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from swipelake.columns import DEFAULT_COLUMNS, TxnColumns, present
 from swipelake.operators.clean import Step
+from swipelake.plans.cube import MEASURES, cube, facts
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -48,40 +49,50 @@ def label_counts(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame
     return df.groupBy(cols.fraud).agg(_count().alias("transactions"))
 
 
+def _of(df: DataFrame, cols: TxnColumns) -> DataFrame:
+    """Facts of a transaction frame; a frame of facts (or a cube) is taken as it is."""
+    if "_rows" in df.columns and "_frauds" in df.columns:
+        return df
+    present(df, [cols.fraud, cols.amount])
+    return facts(df, cols)
+
+
+def _sum(measure: str) -> Column:
+    return F.coalesce(F.sum(f"_{measure}"), F.lit(0))
+
+
+def _mean(total: Column, count: Column) -> Column:
+    return F.coalesce(F.try_divide(total, count), F.lit(0.0))
+
+
 def fraud_summary(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
     """One row of totals; an empty input gives zeros."""
-    present(df, [cols.fraud, cols.amount])
-    fraud, amount = F.col(cols.fraud), F.col(cols.amount)
-    one = df.agg(
-        _count().alias("total"),
-        F.count_if(fraud == 1).alias("frauds"),
-        F.coalesce(F.sum(amount), F.lit(0.0)).alias("amount"),
-        F.coalesce(F.sum(F.when(fraud == 1, amount)), F.lit(0.0)).alias("fraud_amount"),
-        F.coalesce(F.avg(F.when(fraud == 1, amount)), F.lit(0.0)).alias("avg_fraud"),
-        F.coalesce(F.avg(F.when(fraud == 0, amount)), F.lit(0.0)).alias("avg_legit"),
-    )
-    at_risk = F.when(F.col("amount") > 0, _percent(F.col("fraud_amount"), F.col("amount")))
+    one = _of(df, cols).agg(*[_sum(m).alias(m) for m in MEASURES])
+    rows, frauds, amount, lost = (F.col(c) for c in ("rows", "frauds", "amount", "fraud_amount"))
+    at_risk = F.when(amount > 0, _percent(lost, amount)).otherwise(0.0)
+    legit = _mean(F.col("legit_amount"), F.col("legit_paid"))
     return one.select(
-        F.col("total").alias("total_transactions"),
-        F.col("frauds").alias("fraud_transactions"),
-        (F.col("total") - F.col("frauds")).alias("legitimate_transactions"),
-        F.round(_percent(F.col("frauds"), F.col("total")), 4).alias("fraud_rate_percent"),
-        F.round("amount", 2).alias("total_amount"),
-        F.round("fraud_amount", 2).alias("fraud_amount"),
-        F.round(F.coalesce(at_risk, F.lit(0.0)), 2).alias("amount_at_risk_percent"),
-        F.round("avg_fraud", 2).alias("avg_fraud_transaction"),
-        F.round("avg_legit", 2).alias("avg_legitimate_transaction"),
+        rows.alias("total_transactions"),
+        frauds.alias("fraud_transactions"),
+        (rows - frauds).alias("legitimate_transactions"),
+        F.round(_percent(frauds, rows), 4).alias("fraud_rate_percent"),
+        F.round(amount, 2).alias("total_amount"),
+        F.round(lost, 2).alias("fraud_amount"),
+        F.round(at_risk, 2).alias("amount_at_risk_percent"),
+        F.round(_mean(lost, F.col("fraud_paid")), 2).alias("avg_fraud_transaction"),
+        F.round(legit, 2).alias("avg_legitimate_transaction"),
     )
 
 
-def _rates(df: DataFrame, key: str | Column, cols: TxnColumns, decimals: int = 4) -> DataFrame:
+def _rates(df: DataFrame, key: str, cols: TxnColumns, decimals: int = 4) -> DataFrame:
     """Per key: rows, frauds, amounts and rate; pre-aggregated in the map tasks."""
-    fraud, amount = F.col(cols.fraud), F.col(cols.amount)
-    counted = df.groupBy(key).agg(
-        _count().alias("total_transactions"),
-        F.count_if(fraud == 1).alias("fraud_count"),
-        F.round(F.sum(amount), 2).alias("total_amount"),
-        F.round(F.sum(F.when(fraud == 1, amount).otherwise(0.0)), 2).alias("fraud_amount"),
+    rows = _of(df, cols)
+    present(rows, [key])
+    counted = rows.groupBy(key).agg(
+        _sum("rows").alias("total_transactions"),
+        _sum("frauds").alias("fraud_count"),
+        F.round(F.sum("_amount"), 2).alias("total_amount"),
+        F.round(_sum("fraud_amount"), 2).alias("fraud_amount"),
     )
     rate = _percent(F.col("fraud_count"), F.col("total_transactions"))
     return counted.withColumn("fraud_rate_percent", F.round(rate, decimals))
@@ -90,7 +101,6 @@ def _rates(df: DataFrame, key: str | Column, cols: TxnColumns, decimals: int = 4
 def fraud_by_category(
     df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, min_transactions: int = 0
 ) -> DataFrame:
-    present(df, [cols.category, cols.fraud, cols.amount])
     rates = _rates(df, cols.category, cols)
     if min_transactions:
         rates = rates.filter(F.col("total_transactions") >= min_transactions)
@@ -110,7 +120,6 @@ def high_risk_categories(
 def risky_merchants(
     df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, min_transactions: int = 10, top: int = 20
 ) -> DataFrame:
-    present(df, [cols.merchant, cols.fraud, cols.amount])
     rates = _rates(df, cols.merchant, cols).drop("fraud_amount")
     enough = rates.filter(F.col("total_transactions") >= min_transactions)
     return enough.orderBy(F.desc("fraud_rate_percent"), cols.merchant).limit(top)
@@ -226,18 +235,16 @@ def anomaly_split(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, limit: floa
     )
 
 
-def _by_time(df: DataFrame, key: Column, cols: TxnColumns) -> DataFrame:
-    counted = df.groupBy(key).agg(
-        _count().alias("total"), F.count_if(F.col(cols.fraud) == 1).alias("fraud_count")
-    )
+def _by_time(df: DataFrame, key: str, cols: TxnColumns) -> DataFrame:
+    rows = _of(df, cols)
+    present(rows, [key])
+    counted = rows.groupBy(key).agg(_sum("rows").alias("total"), _sum("frauds").alias("fraud_count"))
     rate = _percent(F.col("fraud_count"), F.col("total"))
     return counted.withColumn("fraud_rate", F.round(rate, 2))
 
 
 def fraud_by_hour(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
-    present(df, [cols.timestamp, cols.fraud])
-    hour = F.hour(F.col(cols.timestamp).cast("timestamp")).alias("hour")
-    return _by_time(df, hour, cols).orderBy("hour")
+    return _by_time(df, "hour", cols).orderBy("hour")
 
 
 # Names of the day numbers (fixed values).
@@ -254,10 +261,8 @@ DAY_NAMES = {
 
 def fraud_by_weekday(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
     """Per weekday, Sunday first; a NULL timestamp is its own group without a name."""
-    present(df, [cols.timestamp, cols.fraud])
-    number = F.dayofweek(F.col(cols.timestamp).cast("timestamp")).alias("day_of_week")
     names = F.create_map(*[F.lit(x) for pair in DAY_NAMES.items() for x in pair])
-    made = _by_time(df, number, cols)
+    made = _by_time(df, "day_of_week", cols)
     return made.withColumn("day", F.try_element_at(names, "day_of_week")).orderBy("day_of_week")
 
 
@@ -270,17 +275,26 @@ def peak_days(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, top: int = 2) -
 
 
 def report(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> dict[str, DataFrame]:
-    """All analyses as lazy frames, by section."""
+    """All analyses by section.
+
+    The counting sections share one pass over ``df``, made here and written as a cube; the
+    amount sections (patterns, anomalies) read ``df`` once each, with one pass for its
+    mean and deviation.
+    """
+    return _sections(df, cube(df, cols), cols)
+
+
+def _sections(df: DataFrame, counts: DataFrame, cols: TxnColumns) -> dict[str, DataFrame]:
     return {
-        "executive_summary": fraud_summary(df, cols),
-        "fraud_by_category": fraud_by_category(df, cols),
-        "fraud_by_merchant": risky_merchants(df, cols),
+        "executive_summary": fraud_summary(counts, cols),
+        "fraud_by_category": fraud_by_category(counts, cols),
+        "fraud_by_merchant": risky_merchants(counts, cols),
         "high_risk_patterns": risk_patterns(df, cols),
         "anomalies": anomaly_summary(df, cols),
         "anomaly_examples": top_anomalies(df, cols),
-        "fraud_by_hour": fraud_by_hour(df, cols),
-        "fraud_by_weekday": fraud_by_weekday(df, cols),
-        "findings": findings(df, cols),
+        "fraud_by_hour": fraud_by_hour(counts, cols),
+        "fraud_by_weekday": fraud_by_weekday(counts, cols),
+        "findings": findings(df, cols, counts),
     }
 
 
@@ -298,10 +312,13 @@ def _ranked(df: DataFrame, top: int, *order: Column | str) -> DataFrame:
     return packed.select(F.posexplode("rows").alias("_at", "_row")).select("_at", "_row.*")
 
 
-def findings(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
-    """What to act on, as rows (section, rank, message)."""
+def findings(
+    df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, counts: DataFrame | None = None
+) -> DataFrame:
+    """What to act on, as rows (section, rank, message). ``counts`` is a cube made earlier."""
     made: list[DataFrame] = []
-    total = fraud_summary(df, cols)
+    counts = cube(df, cols) if counts is None else counts
+    total = fraud_summary(counts, cols)
     rate, paid, legit = (
         F.col("fraud_rate_percent"),
         F.col("avg_fraud_transaction"),
@@ -326,8 +343,9 @@ def findings(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
             F.concat(F.format_string("Average fraud is $%.2f", paid), times),
         )
     )
-    mean = _rates(df, cols.category, cols).agg(F.avg("fraud_rate_percent")).scalar()
-    risky = _rates(df, cols.category, cols).filter(F.col("fraud_rate_percent") > mean)
+    rates = _rates(counts, cols.category, cols)
+    mean = rates.agg(F.avg("fraud_rate_percent")).scalar()
+    risky = rates.filter(F.col("fraud_rate_percent") > mean)
     made.append(
         _lines(
             _ranked(risky, 3, F.desc("fraud_rate_percent"), cols.category),
@@ -342,7 +360,7 @@ def findings(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
         )
     )
     merchants = _ranked(
-        risky_merchants(df, cols), 5, F.desc("fraud_rate_percent"), cols.merchant
+        risky_merchants(counts, cols), 5, F.desc("fraud_rate_percent"), cols.merchant
     ).filter(F.col("fraud_count") > 0)
     made.append(
         _lines(
@@ -371,25 +389,33 @@ def findings(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
             ),
         )
     )
-    odd = anomaly_summary(df, cols)
+    # One row with both sentences, so that the anomalies are counted once.
     odd_rate = F.col("anomaly_fraud_rate_percent")
-    made.append(
-        _lines(
-            odd.filter(odd_rate > 10),
-            "anomalies",
-            1,
-            F.format_string("%d anomalies are fraud (%.1f%%)", "fraudulent_anomalies", odd_rate),
-        )
-    )
-    made.append(
-        _lines(
-            odd.filter(F.col("total_anomalies") > 0),
-            "anomalies",
-            2,
-            F.format_string("Alert above $%.2f", "threshold_amount"),
+    odd = anomaly_summary(df, cols).select(
+        F.inline(
+            F.array(
+                F.struct(
+                    F.lit(1).alias("rank"),
+                    F.when(
+                        odd_rate > 10,
+                        F.format_string(
+                            "%d anomalies are fraud (%.1f%%)", "fraudulent_anomalies", odd_rate
+                        ),
+                    ).alias("message"),
+                ),
+                F.struct(
+                    F.lit(2).alias("rank"),
+                    F.when(
+                        F.col("total_anomalies") > 0,
+                        F.format_string("Alert above $%.2f", "threshold_amount"),
+                    ).alias("message"),
+                ),
+            )
         )
     )
-    hours = _ranked(fraud_by_hour(df, cols), 3, F.desc("fraud_rate"), "hour").agg(
+    odd = odd.filter(F.col("message").isNotNull())
+    made.append(_lines(odd, "anomalies", F.col("rank"), F.col("message")))
+    hours = _ranked(fraud_by_hour(counts, cols), 3, F.desc("fraud_rate"), "hour").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("_at", "hour"))), lambda r: r["hour"]),
             ", ",
@@ -404,7 +430,7 @@ def findings(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
             F.format_string("Peak hours: %s (%.2f%% fraud)", "hours", F.coalesce("top", F.lit(0.0))),
         )
     )
-    days = _ranked(fraud_by_weekday(df, cols), 2, F.desc("fraud_rate"), "day_of_week").agg(
+    days = _ranked(fraud_by_weekday(counts, cols), 2, F.desc("fraud_rate"), "day_of_week").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("_at", "day"))), lambda r: r["day"]),
             ", ",

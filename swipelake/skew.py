@@ -24,8 +24,9 @@ from swipelake.scratch import written
 ROWS_PER_TASK = 10_000_000
 # Below this much source data no key can overload a task, so no search is made.
 SMALL_INPUT_BYTES = 64 << 20
-# Bounds every per-hot-key table. Keys left out hold under 1/MAX_HOT_KEYS of the rows each.
-MAX_HOT_KEYS = 2_000
+# Bounds every per-hot-key table. Keys left out hold under 1/MAX_HOT_KEYS of the rows each and
+# are handled as ordinary keys.
+MAX_HOT_KEYS = 20_000
 
 
 def source_bytes(df: DataFrame) -> int:
@@ -45,19 +46,32 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hashes of the hot keys and how many rows they hold together."""
+    """Hashes of the hot keys (at most MAX_HOT_KEYS) and how many rows they hold together."""
 
     keys: tuple[str, ...]
     hashes: tuple[int, ...]
-    rows: int
+    total_rows: int
     rows_per_task: int
 
-    @property
-    def is_hot(self) -> Column:
-        return key_hash(self.keys).isin(list(self.hashes))
+    def frame(self, df: DataFrame) -> DataFrame:
+        """The hashes as a table; bounded, so it may be broadcast."""
+        hashes = df.sparkSession.createDataFrame([(h,) for h in self.hashes], "_hot_hash long")
+        return F.broadcast(hashes)
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        """Rows of hot keys."""
+        return df.join(self.frame(df), key_hash(self.keys) == F.col("_hot_hash"), "left_semi")
+
+    def others(self, df: DataFrame) -> DataFrame:
+        return df.join(self.frame(df), key_hash(self.keys) == F.col("_hot_hash"), "left_anti")
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """All rows with a boolean ``_is_hot``."""
+        marked = df.join(self.frame(df), key_hash(self.keys) == F.col("_hot_hash"), "left")
+        return marked.withColumn("_is_hot", F.col("_hot_hash").isNotNull()).drop("_hot_hash")
 
     def pieces(self) -> int:
-        return max(1, math.ceil(self.rows / self.rows_per_task))
+        return max(1, math.ceil(self.total_rows / self.rows_per_task))
 
 
 def hot_keys_from_counts(
@@ -112,7 +126,7 @@ class Pieces:
         self.keys = list(hot.keys)
         self.columns = df.columns
         cut = (
-            df.filter(hot.is_hot)
+            hot.rows(df)
             .withColumn("_spread", F.xxhash64(*[F.col(c) for c in hashable(df)]))
             .repartitionByRange(hot.pieces(), *[F.col(k) for k in self.keys], *order, "_spread")
             .withColumn("_piece", F.spark_partition_id())
@@ -191,11 +205,11 @@ def group_stats(
     """
     hot = find_hot_keys(df, keys, rows_per_task)
     whole = Window.partitionBy(*keys)
-    plain = df if hot is None else df.filter(~hot.is_hot)
+    plain = df if hot is None else hot.others(df)
     plain = plain.select("*", *[c.over(whole).alias(n) for n, c in aggs.items()])
     if hot is None:
         return plain
-    rows = df.filter(hot.is_hot)
+    rows = hot.rows(df)
     totals = rows.groupBy(*[F.col(k).alias(f"_on{i}") for i, k in enumerate(keys)]).agg(
         *[c.alias(n) for n, c in aggs.items()]
     )

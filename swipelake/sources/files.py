@@ -77,9 +77,14 @@ def write_parquet(
     compression: str = "snappy",
     **options,
 ) -> None:
-    """Parquet sink, partitioned by those of ``partition_by`` that exist."""
-    writer = df.write.mode(mode).option("compression", compression).options(**options)
+    """Parquet sink, partitioned by those of ``partition_by`` that exist.
+
+    Partitioned output is rebalanced first: rows of one folder meet in few tasks, and AQE
+    splits a folder that is too large for one, so files are neither tiny nor huge.
+    """
     by = _existing(df, partition_by)
+    df = df.hint("rebalance", *by) if by else df
+    writer = df.write.mode(mode).option("compression", compression).options(**options)
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from swipelake.sources.files import write_parquet
+
 _VERSIONS = (
     "version LONG, committed_at TIMESTAMP, operation STRING, row_count LONG, "
     "total_rows LONG, columns STRING, parts ARRAY<STRING>, table_schema STRING"
@@ -63,8 +65,7 @@ def write_snapshot(
     part = f"part-{uuid.uuid4().hex}"
     seen = Observation()
     by = [c for c in partition_by if c in df.columns]
-    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write
-    (writer.partitionBy(*by) if by else writer).parquet(f"{path}/{part}")
+    write_parquet(df.observe(seen, F.count(F.lit(1)).alias("n")), f"{path}/{part}", "error", by)
     rows = seen.get["n"]
     line = {
         "version": 0 if last is None else last["version"] + 1,
@@ -120,8 +121,9 @@ def merged(
 ) -> DataFrame:
     """Upsert: matched rows take the source's values (with ``update``), unmatched are added.
 
-    The target is the left side of a left join, which AQE can split when a key is skewed; a
-    NULL key matches nothing. Duplicate source keys raise, which takes one aggregate.
+    The target is always the left side, so a small source is broadcast and the target is not
+    shuffled, and AQE can split a skewed key of it. A NULL key matches nothing. Duplicate
+    source keys raise, which takes one aggregate.
     """
     if set(target.columns) != set(source.columns):
         raise ValueError("upsert needs equal columns on both sides")
@@ -130,7 +132,8 @@ def merged(
     if counts.filter(F.col("_n") > 1).limit(1).count():
         raise DuplicateKeyError(f"source rows share a key {keys}")
     source = source.select(*target.columns)
-    new = source.join(target.select(*keys), keys, "left_anti").select(*target.columns)
+    matched = target.select(*keys).join(source.select(*keys), keys, "left_semi").distinct()
+    new = source.join(matched, keys, "left_anti").select(*target.columns)
     if not update:
         return target.unionByName(new)
     values = [c for c in target.columns if c not in keys]
