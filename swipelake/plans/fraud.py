@@ -332,9 +332,8 @@ def findings(
             F.format_string("Fraud rate %.2f%% is above the 1%% threshold", rate),
         )
     )
-    times = F.coalesce(
-        F.format_string(", %.1fx the legitimate average", F.try_divide(paid, legit)), F.lit("")
-    )
+    factor = F.format_string(", %.1fx the legitimate average", F.try_divide(paid, legit))
+    times = F.when(legit > 0, factor).otherwise("")
     made.append(
         _lines(
             total.filter(paid > legit * 2),
