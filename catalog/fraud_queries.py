@@ -37,19 +37,17 @@ def label_counts(spark, folder):
     return big(fraud.label_counts(txn(spark, folder), COLS))
 
 
-@query(
-    "fraud_summary",
-    """
-WITH s AS (SELECT count(*) AS n, count(*) FILTER (is_fraud = 1) AS f, sum(amount) AS a,
+_SUMMARY = """su AS (SELECT count(*) AS n, count(*) FILTER (is_fraud = 1) AS f, sum(amount) AS a,
              coalesce(sum(amount) FILTER (is_fraud = 1), 0) AS fa,
              coalesce(avg(amount) FILTER (is_fraud = 1), 0) AS avf,
-             coalesce(avg(amount) FILTER (is_fraud = 0), 0) AS avl FROM txn)
-SELECT n AS total_transactions, f AS fraud_transactions, n - f AS legitimate_transactions,
+             coalesce(avg(amount) FILTER (is_fraud = 0), 0) AS avl FROM txn)"""
+_SUMMARY_ROW = """SELECT n AS total_transactions, f AS fraud_transactions, n - f AS legitimate_transactions,
        round(f * 100.0::DOUBLE / n, 4) AS fraud_rate_percent, round(a, 2) AS total_amount,
        round(fa, 2) AS fraud_amount, round(fa * 100.0::DOUBLE / a, 2) AS amount_at_risk_percent,
-       round(avf, 2) AS avg_fraud_transaction, round(avl, 2) AS avg_legitimate_transaction FROM s
-""",
-)
+       round(avf, 2) AS avg_fraud_transaction, round(avl, 2) AS avg_legitimate_transaction FROM su"""
+
+
+@query("fraud_summary", f"WITH {_SUMMARY} {_SUMMARY_ROW}")
 def fraud_summary(spark, folder):
     return fraud.fraud_summary(txn(spark, folder), COLS)
 
@@ -103,22 +101,20 @@ def dash_top10(spark, folder):
 _STATS = "st AS (SELECT avg(amount) AS m, stddev(amount) AS sd FROM txn)"
 
 
-@query(
-    "risk_patterns",
-    f"""
-WITH {_STATS}, p AS (
+_PATTERNS = """
+SELECT pattern, threshold, occurrences, fraud_count, round(rate, 2)::DOUBLE AS fraud_rate_percent,
+       CASE WHEN rate > 5 THEN 'HIGH' WHEN rate > 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
+FROM (SELECT *, CASE WHEN occurrences = 0 THEN 0.0 ELSE fraud_count * 100.0::DOUBLE / occurrences END AS rate FROM (
   SELECT 'High-Value Transactions' AS pattern, printf('>$%.2f', (SELECT m + 2 * sd FROM st)) AS threshold,
          count(*) AS occurrences, count(*) FILTER (is_fraud = 1) AS fraud_count
   FROM txn WHERE amount > (SELECT m + 2 * sd FROM st)
   UNION ALL SELECT 'Low-Value Transactions (Card Testing)', '<$5.00', count(*), count(*) FILTER (is_fraud = 1)
   FROM txn WHERE amount < 5
   UNION ALL SELECT 'Round Amount Transactions', 'Divisible by $100', count(*), count(*) FILTER (is_fraud = 1)
-  FROM txn WHERE amount % 100 = 0),
- q AS (SELECT *, CASE WHEN occurrences = 0 THEN 0.0 ELSE fraud_count * 100.0::DOUBLE / occurrences END AS rate FROM p)
-SELECT pattern, threshold, occurrences, fraud_count, round(rate, 2)::DOUBLE AS fraud_rate_percent,
-       CASE WHEN rate > 5 THEN 'HIGH' WHEN rate > 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM q
-""",
-)
+  FROM txn WHERE amount % 100 = 0))"""
+
+
+@query("risk_patterns", f"WITH {_STATS} {_PATTERNS}")
 def risk_patterns(spark, folder):
     return fraud.risk_patterns(txn(spark, folder), COLS)
 
@@ -186,9 +182,45 @@ def peak_days(spark, folder):
     return big(fraud.peak_days(txn(spark, folder), COLS))
 
 
-@query("findings")
+def _renamed(cte: str, old: str, new: str) -> str:
+    return cte.strip().replace(f"{old} AS (", f"{new} AS (", 1)
+
+
+_FINDINGS = f"""
+WITH {_SUMMARY}, s AS ({_SUMMARY_ROW}), {_renamed(_RATES.format(key='category'), 'r', 'rc')},
+ {_renamed(_RATES.format(key='merchant_id'), 'r', 'rm')}, {_renamed(_HOUR, 't', 'th')}, {_renamed(_DAY, 't', 'td')},
+ {_ODD}, pat AS ({_PATTERNS}),
+ anomalies AS (SELECT count(*) AS n, count(*) FILTER (is_fraud = 1) AS f,
+   round(count(*) FILTER (is_fraud = 1) * 100.0::DOUBLE / count(*), 2) AS rate,
+   (SELECT round(m + 3 * sd, 2) FROM st) AS threshold FROM a),
+ c3 AS (SELECT *, row_number() OVER (ORDER BY fraud_rate_percent DESC, category) AS i FROM rc
+   WHERE fraud_rate_percent > (SELECT avg(fraud_rate_percent) FROM rc)),
+ m5 AS (SELECT *, row_number() OVER (ORDER BY fraud_rate_percent DESC, merchant_id) AS i FROM rm WHERE total_transactions >= 10),
+ h3 AS (SELECT *, row_number() OVER (ORDER BY fraud_rate DESC, hour) AS i FROM th),
+ d2 AS (SELECT *, {_DAY_NAME}, row_number() OVER (ORDER BY fraud_rate DESC, day_of_week) AS i FROM td)
+SELECT 'executive_summary' AS section, 1::BIGINT AS rank,
+  printf('Fraud rate %.2f%% is above the 1%% threshold', fraud_rate_percent) AS message FROM s WHERE fraud_rate_percent > 1
+UNION ALL SELECT 'executive_summary', 2, printf('Average fraud is $%.2f', avg_fraud_transaction)
+  || CASE WHEN avg_legitimate_transaction > 0 THEN printf(', %.1fx the legitimate average',
+     avg_fraud_transaction / avg_legitimate_transaction) ELSE '' END
+  FROM s WHERE avg_fraud_transaction > 2 * avg_legitimate_transaction
+UNION ALL SELECT 'fraud_by_category', i, printf('Category %s: %.2f%% fraud, $%.2f at risk', category, fraud_rate_percent, fraud_amount)
+  FROM c3 WHERE i <= 3
+UNION ALL SELECT 'fraud_by_merchant', i, printf('Merchant %s: %d frauds (%.2f%%)', merchant_id::VARCHAR, fraud_count, fraud_rate_percent)
+  FROM m5 WHERE i <= 5 AND fraud_count > 0
+UNION ALL SELECT 'high_risk_patterns', CASE WHEN pattern LIKE 'High%' THEN 1 WHEN pattern LIKE 'Low%' THEN 2 ELSE 3 END,
+  printf('%s: %.2f%% fraud, %s risk', pattern, fraud_rate_percent, risk_level) FROM pat WHERE risk_level <> 'LOW'
+UNION ALL SELECT 'anomalies', 1, printf('%d anomalies are fraud (%.1f%%)', f, rate) FROM anomalies WHERE rate > 10
+UNION ALL SELECT 'anomalies', 2, printf('Alert above $%.2f', threshold) FROM anomalies WHERE n > 0
+UNION ALL SELECT 'time_trends', 1, printf('Peak hours: %s (%.2f%% fraud)', string_agg(hour::VARCHAR, ', ' ORDER BY i), max(fraud_rate))
+  FROM h3 WHERE i <= 3
+UNION ALL SELECT 'time_trends', 2, printf('High-risk days: %s', string_agg(day, ', ' ORDER BY i)) FROM d2 WHERE i <= 2
+"""
+
+
+@query("findings", _FINDINGS)
 def findings(spark, folder):
-    return fraud.findings(txn(spark, folder), COLS)
+    return big(fraud.findings(txn(spark, folder), COLS))
 
 
 @query(
@@ -303,7 +335,14 @@ def geo_unusual(spark, folder):
     return geography.unusual_locations(df, COLS)
 
 
-@query("geo_summary")
+@query(
+    "geo_summary",
+    f"""WITH {_GEO}, s5 AS (SELECT 'hotspots' AS section, state AS name, count(*) AS total_transactions,
+   count(*) FILTER (is_fraud = 1) AS fraud_count, round(avg(is_fraud) * 100, 2) AS fraud_rate_percent
+ FROM txn GROUP BY state HAVING count(*) >= 100 ORDER BY avg(is_fraud) DESC, state NULLS FIRST LIMIT 5)
+SELECT * FROM s5 UNION ALL SELECT 'distance', distance_bucket, count(*), count(*) FILTER (is_fraud = 1),
+ round(count(*) FILTER (is_fraud = 1)::DOUBLE / count(*) * 100, 2) FROM b GROUP BY distance_bucket""",
+)
 def geo_summary(spark, folder):
     """All three geographic answers as (section, name, rows, frauds, rate) rows."""
     base = placed(spark, folder)
