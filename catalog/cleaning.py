@@ -250,20 +250,31 @@ def dedupe_full(spark, folder):
     return big(clean.cleanse(df))
 
 
-@query(
-    "dedupe_key",
-    """
+_DEDUPE = """
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_quantity, rnd(l_extendedprice, 2) AS price
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem)
 WHERE rn = 1
-""",
-)
-def dedupe_key(spark, folder):
+"""
+
+
+def _deduped(spark, folder, rows_per_task=None):
     df = clean.drop_duplicates(
         table(spark, folder, "lineitem"),
         ["l_orderkey", "l_linenumber"],
         ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
+        rows_per_task,
     )
     price = F.round("l_extendedprice", 2).alias("price")
     return big(rounded(df.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", price)))
+
+
+@query("dedupe_key", _DEDUPE)
+def dedupe_key(spark, folder):
+    return _deduped(spark, folder)
+
+
+@query("dedupe_key_hot_keys", _DEDUPE)
+def dedupe_key_hot_keys(spark, folder):
+    """The same with keys of more than two rows pre-aggregated."""
+    return _deduped(spark, folder, rows_per_task=2)

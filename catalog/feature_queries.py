@@ -1,6 +1,6 @@
 """The 24 features."""
 
-from catalog.base import COLS, pick, query, txn
+from catalog.base import COLS, cut_size, pick, query, txn
 from swipelake.plans import features
 
 _TIME = """
@@ -76,7 +76,8 @@ def features_all(spark, folder):
 @query("features_all_hot_keys", _ALL)
 def features_all_hot_keys(spark, folder):
     """The same with busy customers treated as hot keys."""
-    return _family(features.all_features(txn(spark, folder), COLS, rows_per_task=40), None)
+    df = txn(spark, folder)
+    return _family(features.all_features(df, COLS, rows_per_task=cut_size(df)), None)
 
 
 @query(

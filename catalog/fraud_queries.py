@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import COLS, big, pick, placed, query, rounded, txn
+from catalog.base import COLS, big, cut_size, pick, placed, query, rounded, txn
 from swipelake.plans import fraud, geography
 
 
@@ -289,7 +289,8 @@ def geo_bucket(spark, folder):
     f"WITH {_GEO} SELECT transaction_id, distance_bucket, is_unusual_location FROM b",
 )
 def geo_bucket_hot_keys(spark, folder):
-    df = geography.geographic_features(txn(spark, folder), COLS, rows_per_task=40)
+    base = txn(spark, folder)
+    df = geography.geographic_features(base, COLS, rows_per_task=cut_size(base))
     return pick(df, "transaction_id", "distance_bucket", "is_unusual_location")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import big, pick, query, rounded, table, txn
+from catalog.base import big, cut_size, pick, query, rounded, table, txn
 from swipelake.operators import joins, layout
 from swipelake.operators.windows import (
     KeyedWindows,
@@ -12,11 +12,6 @@ from swipelake.operators.windows import (
     sessionize,
 )
 
-# Small enough that ordinary customers of the test data count as hot, so that the cut path
-# is compared with the same SQL as the plain one.
-CUT = 40
-
-
 def _orders(spark, folder):
     return table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"
@@ -103,7 +98,8 @@ def join_colocated(spark, folder):
 @query("salted_join", _PER_CUSTOMER)
 def salted_join(spark, folder):
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    return _per_customer(joins.salted_join(lines, _orders(spark, folder), ["o_orderkey"], 8))
+    orders = _orders(spark, folder)
+    return _per_customer(joins.salted_join(lines, orders, ["o_orderkey"], 8, rows_per_task=5))
 
 
 @query("union_all", "SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer")
@@ -245,7 +241,7 @@ def windows_hot_keys(spark, folder):
         "event_id", "user_id", "ts", F.date_trunc("day", "ts").alias("day"), "value"
     )
     made = (
-        KeyedWindows(df, "user_id", "day", tie_break=["ts", "event_id"], rows_per_task=CUT)
+        KeyedWindows(df, "user_id", "day", tie_break=["ts", "event_id"], rows_per_task=cut_size(df))
         .running_total("value", "total")
         .running_average("value", "average")
         .row_number("rn")
@@ -283,7 +279,8 @@ def sessionize_(spark, folder):
 
 @query("sessionize_hot_keys", _SESSIONS.format(gap=43200) + "SELECT event_id, session_id FROM s")
 def sessionize_hot_keys(spark, folder):
-    df = sessionize(_events(spark, folder), "user_id", "ts", 720, "event_id", rows_per_task=CUT)
+    events = _events(spark, folder)
+    df = sessionize(events, "user_id", "ts", 720, "event_id", rows_per_task=cut_size(events))
     return df.select("event_id", "session_id")
 
 
@@ -355,4 +352,4 @@ def group_stats_(spark, folder):
 
     df = table(spark, folder, "events").select("event_id", "event_type", "value")
     aggs = {"n": F.count(F.lit(1)), "mean": F.avg("value")}
-    return pick(group_stats(df, ["event_type"], aggs, rows_per_task=CUT), "event_id", "n", "mean")
+    return pick(group_stats(df, ["event_type"], aggs, rows_per_task=cut_size(df)), "event_id", "n", "mean")

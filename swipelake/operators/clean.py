@@ -9,9 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from swipelake.columns import numeric_columns, present
 from swipelake.functions import bands
+from swipelake.skew import find_hot_keys
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -210,22 +212,33 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def drop_duplicates(
-    df: DataFrame, keys: Sequence[str] | None = None, keep_first_by: Sequence[str] | None = None
+    df: DataFrame,
+    keys: Sequence[str] | None = None,
+    keep_first_by: Sequence[str] | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Distinct rows, or one row per key: the first by ``keep_first_by`` (all columns if unset).
+    """Distinct rows, or one row per key: the first by ``keep_first_by``, then all columns.
 
-    Both are grouped aggregates with map-side combine, so many copies of one row or key
-    shrink before the shuffle.
+    Distinct rows are pre-aggregated, so many copies of a row shrink before the shuffle. Per
+    key, a row number picks the row; copies of a hot key are pre-aggregated instead.
     """
     if keys is None:
         return df.dropDuplicates()
     rest = [c for c in df.columns if c not in keys]
     if not rest:
-        return df.select(*keys).distinct()
-    order = [*(keep_first_by or []), *[c for c in df.columns if c not in (keep_first_by or [])]]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    one = df.groupBy(*keys).agg(first.alias("_row"))
-    return one.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+        return df.select(*keys).distinct().select(*df.columns)
+    first = list(keep_first_by or [])
+    order = [*first, *[c for c in rest if c not in first]]
+    hot = find_hot_keys(df, keys, rows_per_task)
+    by_order = Window.partitionBy(*keys).orderBy(*order)
+    plain = (df if hot is None else hot.others(df)).withColumn("_at", F.row_number().over(by_order))
+    plain = plain.filter(F.col("_at") == 1).drop("_at")
+    if hot is None:
+        return plain
+    kept = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    one = hot.rows(df).groupBy(*keys).agg(kept)
+    fields = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
+    return plain.unionByName(one.select(*fields))
 
 
 def cleanse(

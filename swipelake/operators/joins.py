@@ -11,7 +11,14 @@ from pyspark.sql import types as T
 from swipelake.columns import present
 from swipelake.functions.bands import mapped
 from swipelake.scratch import written
-from swipelake.skew import HotKeys, hashable, hot_keys_from_counts, is_small, source_bytes
+from swipelake.skew import (
+    HotKeys,
+    find_hot_keys,
+    hashable,
+    hot_keys_from_counts,
+    is_small,
+    source_bytes,
+)
 
 BROADCAST_BYTES = 64 << 20
 # Limit for written tables, whose files are compressed.
@@ -70,24 +77,28 @@ def salted_join(
     salts: int = 16,
     how: str = "inner",
     hot: HotKeys | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Equi-join with every key of ``big`` (or only its hot keys) spread over ``salts`` tasks.
+    """Equi-join with each hot key of ``big`` spread over ``salts`` tasks.
 
-    The salt is a hash of the row, so a recomputed task gives the same rows. The rows of
-    ``small`` for a salted key are repeated once per salt.
+    Hot keys are searched for unless given; without any this is a plain join. The salt is a
+    hash of the row, so a recomputed task gives the same rows. Only the rows of ``small`` that
+    have a hot key are repeated, once per salt.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting the left side cannot give a {how} join")
     on = list(on)
+    hot = hot or find_hot_keys(big, on, rows_per_task)
+    if hot is None:
+        return big.join(small, on, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable(big)]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
-    if hot is not None:
-        big, small = hot.mark(big), hot.mark(small)
-        salt = F.when(F.col("_is_hot"), salt).otherwise(0)
-        copies = F.when(F.col("_is_hot"), copies).otherwise(F.array(F.lit(0)))
-    left = big.withColumn("_salt", salt).drop("_is_hot")
-    right = small.withColumn("_salt", F.explode(copies)).drop("_is_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    left = hot.mark(big).withColumn("_salt", F.when(F.col("_is_hot"), salt).otherwise(0))
+    right = hot.mark(small).withColumn(
+        "_salt", F.explode(F.when(F.col("_is_hot"), copies).otherwise(F.array(F.lit(0))))
+    )
+    joined = left.drop("_is_hot").join(right.drop("_is_hot"), [*on, "_salt"], how)
+    return joined.drop("_salt")
 
 
 def join_group_stats(

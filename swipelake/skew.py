@@ -27,6 +27,8 @@ SMALL_INPUT_BYTES = 64 << 20
 # Bounds every per-hot-key table. Keys left out hold under 1/MAX_HOT_KEYS of the rows each and
 # are handled as ordinary keys.
 MAX_HOT_KEYS = 20_000
+# Bounds the per-piece tables and the task count; beyond it the pieces just get larger.
+MAX_PIECES = 50_000
 
 
 def source_bytes(df: DataFrame) -> int:
@@ -71,7 +73,7 @@ class HotKeys:
         return marked.withColumn("_is_hot", F.col("_hot_hash").isNotNull()).drop("_hot_hash")
 
     def pieces(self) -> int:
-        return max(1, math.ceil(self.total_rows / self.rows_per_task))
+        return min(MAX_PIECES, max(1, math.ceil(self.total_rows / self.rows_per_task)))
 
 
 def hot_keys_from_counts(

@@ -136,8 +136,9 @@ def test_duplicates(spark):
     df = spark.createDataFrame(rows, "k int, t int, v string")
     assert clean.cleanse(df).count() == 4
     assert clean.cleanse(df, nulls=True).count() == 2
-    got = set(values(clean.drop_duplicates(df, ["k"], ["t"])))
-    assert got == {(1, 3, "z"), (None, 1, "n")}
+    for rows_per_task in (None, 1, 2):
+        got = set(values(clean.drop_duplicates(df, ["k"], ["t"], rows_per_task)))
+        assert got == {(1, 3, "z"), (None, 1, "n")}
 
 
 def test_scalars(spark):

@@ -101,6 +101,7 @@ def test_salted_join(spark, how):
     small = spark.range(1, 30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
     plain = rows(big.join(small, "k", how))
     assert rows(joins.salted_join(big, small, ["k"], 5, how)) == plain
+    assert rows(joins.salted_join(big, small, ["k"], 5, how, rows_per_task=20)) == plain
     hot = find_hot_keys(big, ["k"], 500)
     assert len(hot.hashes) == 1 and hot.total_rows > 1000
     assert rows(joins.salted_join(big, small, ["k"], 5, how, hot)) == plain
