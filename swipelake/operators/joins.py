@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,22 +26,18 @@ BROADCAST_BYTES = 64 << 20
 BROADCAST_FILE_BYTES = 16 << 20
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of a frame by one aggregate: text by its length, other columns by type width."""
-    fixed, texts = 8, []
-    for field in df.schema.fields:
-        if field.dataType.simpleString() in ("string", "binary"):
-            texts.append(F.coalesce(F.sum(F.octet_length(field.name)), F.lit(0)) + 16)
-        else:
-            fixed += 16
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[t.alias(f"t{i}") for i, t in enumerate(texts)]).first()
-    return row["n"] * (fixed + 16 * len(texts)) + sum(row[f"t{i}"] for i in range(len(texts)))
-
+def measured_bytes(df: DataFrame) -> float:
+    """Bytes of a frame by one aggregate: text by its length, other columns by type width.
 
-def _flat(df: DataFrame) -> bool:
-    """No nested columns, whose width a type cannot tell."""
+    Nested columns, whose width no type tells, count as infinite.
+    """
     nested = (T.ArrayType, T.MapType, T.StructType)
-    return not any(isinstance(f.dataType, nested) for f in df.schema.fields)
+    if any(isinstance(f.dataType, nested) for f in df.schema.fields):
+        return math.inf
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    lengths = [F.sum(F.octet_length(c)).alias(f"t{i}") for i, c in enumerate(texts)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *lengths).first()
+    return row["n"] * (8 + 16 * len(df.columns)) + sum(row[f"t{i}"] or 0 for i in range(len(texts)))
 
 
 def broadcast_join(
@@ -54,7 +51,7 @@ def broadcast_join(
 
     A larger side is joined by a shuffle, where AQE splits skewed partitions.
     """
-    if _flat(small) and measured_bytes(small) <= max_bytes:
+    if measured_bytes(small) <= max_bytes:
         small = F.broadcast(small)
     return large.join(small, list(on), how)
 

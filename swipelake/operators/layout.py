@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swipelake.scratch import scratch_path
+from swipelake.skew import source_bytes
+
+MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def partition_profile(df: DataFrame) -> DataFrame:
@@ -28,6 +32,18 @@ def rebalance(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def size_shuffles(df: DataFrame, partition_bytes: int = 128 << 20, growth: float = 3.0) -> int:
+    """Set the session's shuffle partitions for ``df``'s source size; AQE merges what is too many.
+
+    ``growth`` is how much larger rows are in a shuffle than in their compressed files.
+    """
+    wanted = math.ceil(source_bytes(df) * growth / partition_bytes)
+    spark = df.sparkSession
+    wanted = min(MAX_SHUFFLE_PARTITIONS, max(wanted, spark.sparkContext.defaultParallelism))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def repartition_to(df: DataFrame, partitions: int, *columns: str) -> DataFrame:
     return df.repartition(partitions, *[F.col(c) for c in columns])
 

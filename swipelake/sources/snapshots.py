@@ -4,6 +4,10 @@ Each write is one folder of Parquet files; a small JSON list says which folders
 which version. A version becomes visible only when its line is added after the data is
 complete, so a failed write leaves the table as it was. There is no protection between
 writers: use one writer per table.
+
+A small upsert is stored as its rows, marked as new or as replacing others, and merged on
+reading by one broadcast join that does not shuffle the table. A large one, or one after
+MAX_MERGES small ones, writes the table anew.
 """
 
 from __future__ import annotations
@@ -14,24 +18,32 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from swipelake.operators.joins import measured_bytes
 from swipelake.sources.files import write_parquet
 
+MERGE_ON_READ_BYTES = 64 << 20
+MAX_MERGES = 8
+
 _VERSIONS = (
-    "version LONG, committed_at TIMESTAMP, operation STRING, row_count LONG, "
-    "total_rows LONG, columns STRING, parts ARRAY<STRING>, table_schema STRING"
+    "version LONG, committed_at TIMESTAMP, operation STRING, row_count LONG, total_rows LONG,"
+    " columns STRING, table_schema STRING,"
+    " parts ARRAY<STRUCT<folder: STRING, keys: ARRAY<STRING>>>"
 )
 
 
+_NEW = "_is_new"
+
+
 def versions(spark: SparkSession, path: str) -> DataFrame:
     """One row per version."""
     return spark.read.schema(_VERSIONS).json(f"{path}/_versions")
 
 
-def _latest(spark: SparkSession, path: str, condition=None):
+def _latest(spark: SparkSession, path: str, condition: Column | None = None) -> Row | None:
     try:
         found = versions(spark, path)
     except AnalysisException as error:
@@ -43,6 +55,46 @@ def _latest(spark: SparkSession, path: str, condition=None):
     return found.orderBy(F.desc("version")).first()
 
 
+def _commit(
+    df: DataFrame,
+    path: str,
+    operation: str,
+    last: Row | None,
+    keep: bool,
+    partition_by: Sequence[str] = (),
+    committed_at: datetime | None = None,
+    keys: Sequence[str] | None = None,
+) -> int:
+    """Write ``df`` as one folder, then the line of the new version.
+
+    With ``keep`` the folder comes on top of the last version's: its rows are added, or, if
+    ``keys`` are given, those not marked as new replace the rows of their key.
+    """
+    spark, folder, seen = df.sparkSession, f"part-{uuid.uuid4().hex}", Observation()
+    added = F.count(F.lit(1)) if keys is None else F.count_if(_NEW)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), added.alias("added"))
+    write_parquet(counted, f"{path}/{folder}", "error", partition_by)
+    line = Row(
+        version=0 if last is None else last["version"] + 1,
+        committed_at=committed_at or datetime.now(timezone.utc),
+        operation=operation,
+        row_count=seen.get["rows"],
+        total_rows=seen.get["added"] + (last["total_rows"] if keep else 0),
+        columns=last["columns"] if keep else ",".join(df.columns),
+        table_schema=last["table_schema"] if keep else df.schema.json(),
+        parts=[*(last["parts"] if keep else []), Row(folder=folder, keys=keys)],
+    )
+    made = spark.createDataFrame([line], _VERSIONS)
+    made.coalesce(1).write.mode("append").json(f"{path}/_versions")
+    return line["version"]
+
+
+def _same_columns(last: Row, df: DataFrame) -> None:
+    held = [f["name"] for f in json.loads(last["table_schema"])["fields"]]
+    if set(held) != set(df.columns):
+        raise ValueError(f"the table has the columns {held}")
+
+
 def write_snapshot(
     df: DataFrame,
     path: str,
@@ -57,30 +109,11 @@ def write_snapshot(
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode must be 'overwrite' or 'append', not {mode!r}")
-    spark = df.sparkSession
-    last = _latest(spark, path)
-    older = list(last["parts"]) if last is not None and mode == "append" else []
-    if older and {f["name"] for f in json.loads(last["table_schema"])["fields"]} != set(df.columns):
-        raise ValueError("an append needs the columns of the table")
-    part = f"part-{uuid.uuid4().hex}"
-    seen = Observation()
-    by = [c for c in partition_by if c in df.columns]
-    write_parquet(df.observe(seen, F.count(F.lit(1)).alias("n")), f"{path}/{part}", "error", by)
-    rows = seen.get["n"]
-    line = {
-        "version": 0 if last is None else last["version"] + 1,
-        "committed_at": committed_at or datetime.now(timezone.utc),
-        "operation": mode,
-        "row_count": rows,
-        "total_rows": rows + (last["total_rows"] if older else 0),
-        "columns": ",".join(df.columns),
-        "parts": [*older, part],
-        "table_schema": df.schema.json() if not older else last["table_schema"],
-    }
-    spark.createDataFrame([line], _VERSIONS).coalesce(1).write.mode("append").json(
-        f"{path}/_versions"
-    )
-    return line["version"]
+    last = _latest(df.sparkSession, path)
+    keep = mode == "append" and last is not None
+    if keep:
+        _same_columns(last, df)
+    return _commit(df, path, mode, last, keep, partition_by, committed_at)
 
 
 def read_snapshot(
@@ -101,9 +134,30 @@ def read_snapshot(
     found = _latest(spark, path, condition)
     if found is None:
         raise LookupError(f"no such version of {path}")
+    return _assembled(spark, path, found)
+
+
+def _assembled(spark: SparkSession, path: str, found: Row) -> DataFrame:
     schema = T.StructType.fromJson(json.loads(found["table_schema"]))
-    df = spark.read.schema(schema).parquet(*[f"{path}/{p}" for p in found["parts"]])
-    return df.select(*schema.names)
+
+    def read(parts: Sequence[Row], mark: bool = False) -> DataFrame:
+        wanted = T.StructType(schema.fields + [T.StructField(_NEW, T.BooleanType())] * mark)
+        df = spark.read.schema(wanted).parquet(*[f"{path}/{p['folder']}" for p in parts])
+        return df.select(*wanted.names)
+
+    parts = found["parts"]
+    first = next((i for i, p in enumerate(parts) if p["keys"] is not None), len(parts))
+    df = read(parts[:first])
+    for part in parts[first:]:
+        if part["keys"] is None:
+            df = df.unionByName(read([part]))
+            continue
+        marked = read([part], mark=True)
+        changed = marked.filter(~F.col(_NEW)).drop(_NEW)
+        # Measured before it was written, so the broadcast has a bound.
+        df = _replaced(df, F.broadcast(changed), part["keys"])
+        df = df.unionByName(marked.filter(_NEW).drop(_NEW))
+    return df
 
 
 def history(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
@@ -116,6 +170,12 @@ class DuplicateKeyError(ValueError):
     """Source rows of an upsert share a key."""
 
 
+def _require_unique(source: DataFrame, keys: Sequence[str]) -> None:
+    counts = source.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts.filter(F.col("_n") > 1).limit(1).count():
+        raise DuplicateKeyError(f"source rows share a key {list(keys)}")
+
+
 def merged(
     target: DataFrame, source: DataFrame, keys: Sequence[str], update: bool = True
 ) -> DataFrame:
@@ -127,34 +187,64 @@ def merged(
     """
     if set(target.columns) != set(source.columns):
         raise ValueError("upsert needs equal columns on both sides")
-    keys = list(keys)
-    counts = source.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if counts.filter(F.col("_n") > 1).limit(1).count():
-        raise DuplicateKeyError(f"source rows share a key {keys}")
-    source = source.select(*target.columns)
-    matched = target.select(*keys).join(source.select(*keys), keys, "left_semi").distinct()
-    new = source.join(matched, keys, "left_anti").select(*target.columns)
-    if not update:
-        return target.unionByName(new)
+    _require_unique(source, keys)
+    return _merge(target, source.select(*target.columns), list(keys), update)
+
+
+def _matched_keys(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    return target.select(*keys).join(source.select(*keys), keys, "left_semi").distinct()
+
+
+def _replaced(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``target``, with the values of ``source`` where the key matches."""
     values = [c for c in target.columns if c not in keys]
-    incoming = source.select(*keys, F.struct(*values).alias("_new") if values else F.lit(1).alias("_new"))
-    kept = target.join(incoming, keys, "left").select(
+    if not values:
+        return target
+    incoming = source.select(*keys, F.struct(*values).alias("_values"))
+    fresh = F.col("_values").isNotNull()
+    return target.join(incoming, keys, "left").select(
         *[
-            F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(target[c]).alias(c)
+            F.when(fresh, F.col("_values")[c]).otherwise(target[c]).alias(c)
             if c in values
             else target[c]
             for c in target.columns
         ]
     )
-    return kept.unionByName(new)
+
+
+def _merge(target: DataFrame, source: DataFrame, keys: list[str], update: bool) -> DataFrame:
+    new = source.join(_matched_keys(target, source, keys), keys, "left_anti")
+    kept = _replaced(target, source, keys) if update else target
+    return kept.unionByName(new.select(*target.columns))
 
 
 def upsert(
-    df: DataFrame, path: str, keys: Sequence[str], update: bool = True, **write_options
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    update: bool = True,
+    partition_by: Sequence[str] = (),
+    committed_at: datetime | None = None,
+    merge_on_read_bytes: int = MERGE_ON_READ_BYTES,
 ) -> int:
     """Merge ``df`` into the latest version as a new version; creates the table when absent."""
-    spark = df.sparkSession
-    if _latest(spark, path) is None:
-        return write_snapshot(df, path, "overwrite", **write_options)
-    made = merged(read_snapshot(spark, path), df, keys, update)
-    return write_snapshot(made, path, "overwrite", **write_options)
+    spark, keys = df.sparkSession, list(keys)
+    _require_unique(df, keys)
+    last = _latest(spark, path)
+    if last is None:
+        return _commit(df, path, "overwrite", None, False, partition_by, committed_at)
+    _same_columns(last, df)
+    table = _assembled(spark, path, last)
+    source = df.select(*table.columns)
+    merges = sum(p["keys"] is not None for p in last["parts"])
+    if merges >= MAX_MERGES or measured_bytes(source) > merge_on_read_bytes:
+        made = _merge(table, source, keys, update)
+        return _commit(made, path, "upsert", last, False, partition_by, committed_at)
+    matched = _matched_keys(table, F.broadcast(source), keys)
+    if not update:
+        new = source.join(matched, keys, "left_anti").select(*table.columns)
+        return _commit(new, path, "upsert", last, True, (), committed_at)
+    found = matched.withColumn("_found", F.lit(True))
+    marked = source.join(found, keys, "left").withColumn(_NEW, F.col("_found").isNull())
+    marked = marked.select(*table.columns, _NEW)
+    return _commit(marked, path, "upsert", last, True, (), committed_at, keys)

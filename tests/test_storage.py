@@ -84,6 +84,42 @@ def test_upsert(spark, orders, tmp_path):
         snapshots.merged(orders, keyed.unionByName(keyed), ["id"])
 
 
+@pytest.mark.parametrize("limit", [0, snapshots.MERGE_ON_READ_BYTES])
+@pytest.mark.parametrize("update", [True, False])
+def test_many_upserts(spark, tmp_path, limit, update, monkeypatch):
+    """Merged on reading or written anew: the same table, and old versions stay."""
+    monkeypatch.setattr(snapshots, "MAX_MERGES", 2)
+    path, expected = f"{tmp_path}/t", {}
+    states = []
+    for step in range(5):
+        new = [(k, step) for k in range(step, step + 6)]
+        if step == 2:
+            new = [(100 + k, step) for k in range(4)]
+        frame = spark.createDataFrame(new, "k int, v int").coalesce(1)
+        if step == 2:
+            snapshots.write_snapshot(frame, path, "append")
+        else:
+            snapshots.upsert(frame, path, ["k"], update, merge_on_read_bytes=limit)
+        for k, v in new:
+            if update or k not in expected:
+                expected[k] = v
+        states.append(sorted(expected.items()))
+    for version in range(5):
+        assert rows(snapshots.read_snapshot(spark, path, version)) == sorted(states[version], key=repr)
+    held = snapshots.history(spark, path, 20).orderBy("version").collect()
+    assert [r["total_rows"] for r in held] == [len(s) for s in states]
+
+
+def test_small_upsert_reads_without_shuffling_the_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    snapshots.upsert(spark.range(100).withColumn("v", F.lit(1)), path, ["id"])
+    snapshots.upsert(spark.range(95, 105).withColumn("v", F.lit(2)), path, ["id"])
+    df = snapshots.read_snapshot(spark, path)
+    assert df.count() == 105 and df.agg(F.sum("v")).first()[0] == 95 + 20
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "LeftOuter, BuildRight" in plan
+
+
 def test_upsert_changes_every_matching_row(spark, orders):
     """As MERGE does: each target row of a matched key takes the new values."""
     double = orders.unionByName(orders.filter("id = 1"))
@@ -136,6 +172,15 @@ def test_layout(spark):
     assert seen.agg(F.max("n"), F.count("id")).first() == (100, 1000)
 
 
+def test_size_shuffles(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.range(100_000).write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    assert layout.size_shuffles(df) == spark.sparkContext.defaultParallelism
+    assert layout.size_shuffles(df, partition_bytes=10_000) > 20
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_synthetic(spark):
     df = generated(spark, 20_000, 8)
     same = generated(spark, 20_000, 3)
