@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from swipelake.columns import DEFAULT_COLUMNS, TxnColumns, numeric_columns, present
 from swipelake.fixed_values import MODEL_NUMERIC
 from swipelake.functions.draws import uniform
-from swipelake.scratch import written
+from swipelake.scratch import scratch_path, written
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,11 @@ def split(
 def train(
     rows: DataFrame, inputs: ModelInputs, trees: int = 100, depth: int = 10, seed: int = 42
 ) -> PipelineModel:
-    """Fit indexers and forest. The needed columns are written once for all tree levels."""
+    """Fit indexers and forest. The needed columns are written once for all tree levels.
+
+    The model is saved and read back: the copy does not hold the training summary, which keeps
+    a reference to the session and cannot be sent to executors once metrics were observed in it.
+    """
     used = [inputs.label, *inputs.numeric, *inputs.categorical]
     rows = written(rows.select(*dict.fromkeys(used)), "train")
     stages = [
@@ -94,7 +98,9 @@ def train(
             labelCol=inputs.label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed
         )
     )
-    return Pipeline(stages=stages).fit(rows)
+    path = scratch_path(rows.sparkSession, "model")
+    Pipeline(stages=stages).fit(rows).write().save(path)
+    return PipelineModel.load(path)
 
 
 def score(model: PipelineModel, df: DataFrame, inputs: ModelInputs) -> DataFrame:

@@ -313,6 +313,19 @@ def test_model(made):
     assert counts == test.count()
 
 
+def test_models_after_observed_metrics(made):
+    """Scoring works in a session that has observed metrics before."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    made.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 3000
+    inputs = model.ModelInputs.of(made, COLS)
+    fitted = model.train(model.prepare(made, inputs), inputs, trees=2, depth=2)
+    assert model.score(fitted, made, inputs).filter("prediction IS NOT NULL").count() == 3000
+    assert segments.customer_segments(made, COLS).filter("segment IS NULL").count() == 0
+
+
 def test_split_is_stable(made):
     """The same rows are drawn whatever the partitioning."""
     draw = lambda d: {r[0] for r in model.with_split(d, "transaction_id", "is_fraud").filter("is_test").select("transaction_id").collect()}
