@@ -168,10 +168,10 @@ def big(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in chosen})
 
 
-def cut_size(df: DataFrame) -> int:
+def cut_size(df: DataFrame, parts: int = 200) -> int:
     """Rows per task that make busy keys of a small table count as hot, so that its SQL twin
     checks the cut path; on a large table it is the library's own limit."""
-    return min(ROWS_PER_TASK, max(2, df.count() // 200))
+    return min(ROWS_PER_TASK, max(2, df.count() // parts))
 
 
 def pick(df: DataFrame, *names: str | Column) -> DataFrame:

@@ -95,11 +95,23 @@ def join_colocated(spark, folder):
     return _per_customer(orders.join(joins.colocated(lines, ["o_orderkey"]), "o_orderkey"))
 
 
-@query("salted_join", _PER_CUSTOMER)
+@query(
+    "salted_join",
+    """
+SELECT s_suppkey, s_nationkey::BIGINT AS s_nationkey, count(*) AS lines, round(sum(l_extendedprice), 2) AS price
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_suppkey, s_nationkey
+""",
+)
 def salted_join(spark, folder):
-    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    orders = _orders(spark, folder)
-    return _per_customer(joins.salted_join(lines, orders, ["o_orderkey"], 8, rows_per_task=5))
+    """Busy suppliers count as hot keys."""
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
+    cut = cut_size(lines, 1000)
+    joined = joins.salted_join(lines, suppliers, ["s_suppkey"], 8, rows_per_task=cut)
+    made = joined.groupBy("s_suppkey", "s_nationkey").agg(
+        F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("price")
+    )
+    return big(made)
 
 
 @query("union_all", "SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer")

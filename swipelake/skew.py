@@ -14,6 +14,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ MAX_PIECES = 50_000
 
 def source_bytes(df: DataFrame) -> int:
     """Size of the tables ``df`` reads, as Catalyst knows it (unknown counts as huge)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
@@ -57,8 +58,8 @@ class HotKeys:
 
     def frame(self, df: DataFrame) -> DataFrame:
         """The hashes as a table; bounded, so it may be broadcast."""
-        hashes = df.sparkSession.createDataFrame([(h,) for h in self.hashes], "_hot_hash long")
-        return F.broadcast(hashes)
+        hashes = pa.table({"_hot_hash": pa.array(self.hashes, pa.int64())})
+        return F.broadcast(df.sparkSession.createDataFrame(hashes))
 
     def rows(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys."""
