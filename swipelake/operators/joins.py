@@ -14,9 +14,9 @@ from swipelake.functions.bands import mapped
 from swipelake.scratch import written
 from swipelake.skew import (
     HotKeys,
+    count_hot_keys,
     find_hot_keys,
     hashable,
-    hot_keys_from_counts,
     is_small,
     source_bytes,
 )
@@ -88,6 +88,21 @@ def salted_join(
     hot = hot or find_hot_keys(big, on, rows_per_task)
     if hot is None:
         return big.join(small, on, how)
+    if [big.schema[k].dataType for k in on] != [small.schema[k].dataType for k in on]:
+        # Equal keys of unequal type have unequal hashes, so both sides take the wider type.
+        wide = big.select(*on).limit(0).union(small.select(*on).limit(0)).schema
+        casts = {k: F.col(k).cast(wide[k].dataType) for k in on}
+        again = {k: F.col(k).cast(big.schema[k].dataType) for k in on}
+        big, small = big.withColumns(casts), small.withColumns(casts)
+        hot = find_hot_keys(big, on, hot.rows_per_task)
+        joined = big.join(small, on, how) if hot is None else _salted(big, small, on, salts, how, hot)
+        return joined.withColumns(again)
+    return _salted(big, small, on, salts, how, hot)
+
+
+def _salted(
+    big: DataFrame, small: DataFrame, on: list[str], salts: int, how: str, hot: HotKeys
+) -> DataFrame:
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable(big)]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     left = hot.mark(big).withColumn("_salt", F.when(F.col("_is_hot"), salt).otherwise(0))
@@ -121,7 +136,7 @@ def join_group_stats(
         stats = written(stats, "stats")
         if source_bytes(stats) <= BROADCAST_FILE_BYTES:
             joined = df.join(F.broadcast(stats.select(*kept)), keys, "left")
-        elif hot := hot_keys_from_counts(stats, keys, "_rows"):
+        elif hot := count_hot_keys(stats, keys, F.col("_rows")):
             joined = salted_join(df, stats.select(*kept), keys, 64, "left", hot)
         else:
             joined = df.join(stats.select(*kept), keys, "left")

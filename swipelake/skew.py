@@ -77,12 +77,15 @@ class HotKeys:
         return min(MAX_PIECES, max(1, math.ceil(self.total_rows / self.rows_per_task)))
 
 
-def hot_keys_from_counts(
-    counts: DataFrame, keys: Sequence[str], rows: str, rows_per_task: int = ROWS_PER_TASK
+def count_hot_keys(
+    df: DataFrame, keys: Sequence[str], rows: Column, rows_per_task: int = ROWS_PER_TASK
 ) -> HotKeys | None:
-    """Hot keys of a frame that already has one row per key with its row count."""
+    """Hot keys of ``df``, where each row stands for ``rows`` rows.
+
+    One shuffle of (hash, count) pairs, pre-aggregated in the map tasks.
+    """
     found = (
-        counts.groupBy(key_hash(keys).alias("h"))
+        df.groupBy(key_hash(keys).alias("h"))
         .agg(F.sum(rows).alias("n"))
         .filter(F.col("n") > rows_per_task)
         .orderBy(F.desc("n"), "h")
@@ -99,7 +102,7 @@ def hot_keys_from_counts(
 def find_hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None
 ) -> HotKeys | None:
-    """One narrow pass: rows per key, pre-aggregated in the map tasks. None when none is hot.
+    """One pass over the key columns. None when no key is hot.
 
     With ``rows_per_task`` unset, inputs under SMALL_INPUT_BYTES are not searched.
     """
@@ -107,8 +110,7 @@ def find_hot_keys(
         if is_small(df):
             return None
         rows_per_task = ROWS_PER_TASK
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return hot_keys_from_counts(counts, keys, "_rows", rows_per_task)
+    return count_hot_keys(df, keys, F.lit(1).cast("long"), rows_per_task)
 
 
 def hashable(df: DataFrame) -> list[str]:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from swipelake.columns import DEFAULT_COLUMNS, TxnColumns
 from swipelake.functions import bands, scalars
-from swipelake.operators.quality import DuplicateCheck, NullCheck, RangeCheck, run_checks
 from swipelake.operators.clean import Step, chain
+from swipelake.operators.quality import DuplicateCheck, NullCheck, RangeCheck, run_checks
 from swipelake.sources.snapshots import upsert
 
 
@@ -23,13 +23,17 @@ def read_stream(
     files_per_batch: int = 1,
     source_format: str = "csv",
     glob: str | None = None,
+    archive: str | None = None,
     **options,
 ) -> DataFrame:
-    """Files as they arrive. The checkpoint remembers which were taken; none is moved."""
+    """Files as they arrive, oldest first. The checkpoint remembers which were taken; with
+    ``archive`` they are also moved to that folder once their batch is done."""
     reader = spark.readStream.format(source_format).schema(schema)
     reader = reader.option("maxFilesPerTrigger", files_per_batch).options(**options)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if source_format == "csv":
         reader = reader.option("header", True)
     return reader.load(folder)
@@ -58,14 +62,13 @@ def scored(
 ) -> DataFrame:
     """Row-wise scores that hold on a stream as well as on a table."""
     amount, ts = F.col(cols.amount), F.col(cols.timestamp).cast("timestamp")
-    made: Mapping[str, Column] = {
+    made = {
         "amount_category": bands.amount_category(amount),
         "time_of_day": scalars.hour_bucket_of(ts),
         "is_high_amount": F.coalesce(amount > 1000, F.lit(False)),
         "risk_score": scalars.risk_score(amount, F.col(cols.fraud), F.col(device), F.col(kind)),
     }
-    return df.withColumns(dict(made))
-
+    return df.withColumns(made)
 
 
 def with_customer_stats(stream: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:

@@ -84,8 +84,8 @@ def test_merchant_join_of_large_input(made, monkeypatch):
     assert by_id(features.merchant_features(made, COLS)) == plain
     monkeypatch.setattr(joins, "BROADCAST_FILE_BYTES", 0)
     assert by_id(features.merchant_features(made, COLS)) == plain
-    counts = joins.hot_keys_from_counts
-    monkeypatch.setattr(joins, "hot_keys_from_counts", lambda s, k, r: counts(s, k, r, 200))
+    counts = joins.count_hot_keys
+    monkeypatch.setattr(joins, "count_hot_keys", lambda s, k, r: counts(s, k, r, 200))
     assert by_id(features.merchant_features(made, COLS)) == plain
 
 

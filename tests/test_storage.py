@@ -145,6 +145,15 @@ def test_salted_join(spark, how):
     assert rows(joins.broadcast_join(big, small, ["k"], how, max_bytes=0)) == plain
 
 
+def test_salted_join_of_unequal_key_types(spark):
+    big = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    for kind in ("int", "decimal(20,0)", "double"):
+        small = spark.range(2).select(F.col("id").cast(kind).alias("k"), F.lit("x").alias("w"))
+        got = joins.salted_join(big, small, ["k"], 4, "left", rows_per_task=100)
+        assert got.schema["k"].dataType == big.schema["k"].dataType
+        assert rows(got) == rows(big.join(small, "k", "left"))
+
+
 def test_salted_join_rejects_right(spark):
     with pytest.raises(ValueError):
         joins.salted_join(spark.range(1), spark.range(1), ["id"], how="right")
@@ -234,6 +243,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 300
 
 
+def test_stream_archives_files(spark, tmp_path):
+    df = generated(spark, 60, 1)
+    for _ in range(2):
+        df.coalesce(1).write.mode("append").csv(f"{tmp_path}/in", header=True)
+    source = stream.read_stream(spark, f"{tmp_path}/in", df.schema, archive=f"{tmp_path}/done")
+    for _ in range(2):
+        wait(stream.ingest(source, f"{tmp_path}/out", f"{tmp_path}/cp"))
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 120
+    assert list((tmp_path / "done").rglob("*.csv"))
+
+
 def test_stream_upsert_and_checks(spark, tmp_path):
     df = generated(spark, 200, 1).select("transaction_id", "amount")
     later = df.limit(50).withColumn("amount", F.lit(1.0))
