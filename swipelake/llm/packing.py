@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -16,37 +18,111 @@ from swipelake.llm.shipping import ship
 from swipelake.llm.text import WORDS, columns
 from swipelake.scratch import written
 
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 500_000
+_CACHED_PARTS = 400_000
+_JOINED = 100
+_TOGETHER = 500
+# The tokenizer's own division of a word, for printable ASCII in lower case.
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Letters and the punctuation behind them, which never merge.
+_LETTERS = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+# White space to str.split, but part of a word here.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class _Words(dict):
-    """Word to its token ids as little-endian bytes.
+def split_words(text: str) -> list[str]:
+    return WORDS.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
-    The tokenizer never joins across ASCII white space, so a text's ids are those of its words.
+
+class Encoder:
+    """Token ids of whole texts as little-endian bytes, from remembered words.
+
+    The tokenizer joins nothing across ASCII white space, nor across the parts it divides a word into,
+    so a text's ids are those of its words and a word's those of its parts. What is remembered is
+    bounded; anything else is tokenized anew.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.vocabulary = vocabulary
-        self.encode = Tokenizer.from_str(vocabulary).encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word, add_special_tokens=False).ids
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) < _CACHED_WORDS:
-            self[word] = packed
-        return packed
-
-
-_cache: list[_Words] = []
-
-
-def _words(vocabulary: str) -> _Words:
-    if not _cache or _cache[0].vocabulary != vocabulary:
-        _cache[:] = [_Words(vocabulary)]
-    return _cache[0]
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    @staticmethod
+    def divide(word: str) -> list[str]:
+        """The parts of a word that are tokenized alone; the word itself where in doubt."""
+        if "<|" in word:
+            return [word]
+        if word.isascii():
+            return _ASCII_PARTS.findall(word.lower()) if word.isprintable() else [word]
+        hit = _LETTERS.fullmatch(word)
+        if hit and hit[1].isalpha():
+            return [hit[1], hit[2]] if hit[2] else [hit[1]]
+        return [word]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words not yet remembered."""
+        divided = {word: self.divide(word) for word in words}
+        unknown = {p for parts in divided.values() for p in parts} - self.parts.keys()
+        fresh: dict[str, bytes] = {}
+        plain = [p for p in unknown if p.isalpha()]
+        for at in range(0, len(plain), _JOINED):
+            # Each part of letters ends with the only token that ends a word.
+            group = plain[at : at + _JOINED]
+            ids, start, found = self._ids(" ".join(group)), 0, []
+            for k, token in enumerate(ids, 1):
+                if token in self.ends:
+                    found.append(self._pack(ids[start:k]))
+                    start = k
+            if len(found) != len(group):
+                found = [self._pack(self._ids(p)) for p in group]
+            fresh.update(zip(group, found, strict=True))
+        for p in unknown - fresh.keys():
+            fresh[p] = self._pack(self._ids(p))
+        if len(self.parts) + len(fresh) <= _CACHED_PARTS:
+            self.parts.update(fresh)
+        known = self.parts
+        return {
+            word: b"".join([fresh[p] if p in fresh else known[p] for p in parts])
+            for word, parts in divided.items()
+        }
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text; NULL has none. What some texts miss is learned together."""
+        for at in range(0, len(texts), _TOGETHER):
+            split = [split_words(t) if t else [] for t in texts[at : at + _TOGETHER]]
+            found = [list(map(self.words.get, words)) for words in split]
+            missing: set[str] = set()
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    missing.update([w for w, packed in zip(words, ids, strict=True) if packed is None])
+            learned = self._learn(missing) if missing else {}
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids = [learned[w] if p is None else p for w, p in zip(words, ids, strict=True)]
+                yield b"".join(ids)
+            if len(self.words) + len(learned) <= _CACHED_WORDS:
+                self.words.update(learned)
+
+
+_encoder: list[Encoder] = []
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """One for each Python worker, kept between tasks."""
+    if not _encoder or _encoder[0].vocabulary != vocabulary:
+        _encoder[:] = [Encoder(vocabulary)]
+    return _encoder[0]
 
 
 class OpenBins:
@@ -100,11 +176,11 @@ def token_pieces(
     end, width = end_id.to_bytes(4, "little"), 4 * capacity
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(shared.value)
+        encode = encoder(shared.value).encode
         for batch in batches:
             of, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = b"".join(map(words.__getitem__, WORDS.findall(text or ""))) + end
+            for row, ids in enumerate(encode(batch.column("text").to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     of.append(row)
