@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import mixing, packing, sharding
+from swipelake.llm import credentials, mixing, packing, privacy, sharding
+from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
 DOCS = TxnColumns(transaction_id="doc_id", merchant="text", category="source")
@@ -46,6 +47,30 @@ def op1_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _digest(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of certain spans, and certain and all spans as text."""
+    sure = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(sure, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return spans.select(
+        "doc_id",
+        *[count(kind) for kind in kinds],
+        F.sha2(listed(sure), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op2_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(privacy.private_spans(table(spark, sf_dir, "documents"), DOCS), privacy.KINDS)
+
+
+def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.secret_spans(table(spark, sf_dir, "documents"), DOCS)
+    return _digest(found, credentials.KINDS)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents"), vocabulary_path(), DOCS)
 
@@ -66,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vector_shards,
+        op2_private_spans,
+        op5_linked_secrets,
         op8_best_fit_packing,
         op9_source_mix,
     )

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(r"[^ \t-\r]+")
 
-SPANS = "array<struct<start:bigint,end:bigint,text:string>>"
+SPANS = (
+    "array<struct<start:bigint,end:bigint,hit:string,text:string,before:string,after:string>>"
+)
+CONTEXT = 48
 
 
 def columns(df: DataFrame, **named: str) -> DataFrame:
@@ -32,41 +35,45 @@ def byte_count(text: Column) -> Column:
 def matches(text: Column, pattern: str, when: Column | None = None, group: int = 0) -> Column:
     """All leftmost non-overlapping matches of a pattern that takes no empty string, with places.
 
-    Places are code points, the end exclusive. The pieces between matches give the places; ``when``
-    spares texts that cannot match. ``text`` of a span is the match, or its ``group``.
+    Places are code points, the end exclusive. The pieces between the matches give the places; ``when``
+    spares texts that cannot match. A span has the whole ``hit``, ``text`` (the hit or its ``group``), and up to
+    CONTEXT characters ``before`` and ``after`` it, back to the last hit and on to the next.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    shown = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.zip_with(
-        F.split(text, pattern, -1),
-        F.arrays_zip(found.alias("all"), shown.alias("shown")),
-        lambda between, hit: F.struct(
-            F.length(between).cast("long").alias("gap"),
-            F.length(hit["all"]).cast("long").alias("size"),
-            hit["shown"].alias("text"),
-        ),
+    pieces = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    shown = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    zipped = F.arrays_zip(
+        pieces.alias("gap"),
+        hits.alias("hit"),
+        shown.alias("shown"),
+        F.slice(pieces, 2, 2**31 - 1).alias("next"),
     )
+    zipped = zipped.cast("array<struct<gap:string,hit:string,shown:string,next:string>>")
     nothing = F.array().cast(SPANS)
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans")),
-        lambda state, part: F.when(part["size"].isNull(), state).otherwise(
-            F.struct(
-                (state["at"] + part["gap"] + part["size"]).alias("at"),
-                F.concat(
-                    state["spans"],
-                    F.array(
-                        F.struct(
-                            (state["at"] + part["gap"]).alias("start"),
-                            (state["at"] + part["gap"] + part["size"]).alias("end"),
-                            part["text"].alias("text"),
-                        )
-                    ),
-                ).alias("spans"),
-            )
-        ),
-        lambda state: state["spans"],
-    )
+
+    def add(state: Column, part: Column) -> Column:
+        start = state["at"] + F.length(part["gap"])
+        end = start + F.length(part["hit"])
+        span = F.struct(
+            start.alias("start"),
+            end.alias("end"),
+            part["hit"].alias("hit"),
+            part["shown"].alias("text"),
+            F.right(part["gap"], F.lit(CONTEXT)).alias("before"),
+            F.left(part["next"], F.lit(CONTEXT)).alias("after"),
+        )
+        grown = F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return F.when(part["hit"].isNull(), state).otherwise(grown)
+
+    first = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans"))
+    placed = F.aggregate(zipped, first, add, lambda state: state["spans"])
     hit = F.regexp_like(text, F.lit(pattern))
     hit = hit if when is None else when & hit
     return F.when(F.coalesce(hit, F.lit(False)), placed).otherwise(nothing)
+
+
+def listed(spans: Column) -> Column:
+    """``kind:start:end``, comma-joined, of an array of ``(kind, start, end)`` in its order."""
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
