@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import credentials, mixing, packing, privacy, sharding
+from swipelake.llm import credentials, jaccard, mixing, packing, privacy, sharding
 from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
@@ -66,6 +66,13 @@ def op2_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(privacy.private_spans(table(spark, sf_dir, "documents"), DOCS), privacy.KINDS)
 
 
+def op4_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_transactions(table(spark, sf_dir, "documents"), DOCS)
+    return found.select(
+        "doc_id", F.col("shingles").alias("n_shingles"), F.col("class_id").alias("component_id"), "links"
+    )
+
+
 def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.secret_spans(table(spark, sf_dir, "documents"), DOCS)
     return _digest(found, credentials.KINDS)
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_vector_shards,
         op2_private_spans,
+        op4_jaccard_classes,
         op5_linked_secrets,
         op8_best_fit_packing,
         op9_source_mix,
