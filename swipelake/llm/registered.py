@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import credentials, jaccard, mixing, packing, privacy, sharding
+from swipelake.llm import credentials, jaccard, mixing, neighbours, packing, privacy, sharding
 from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
@@ -94,6 +94,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    own = TxnColumns(transaction_id="vec_id")
+    return neighbours.nearest_transactions(vectors, F.col("vec_id") % 50 == 0, own, "embedding", k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_linked_secrets,
         op8_best_fit_packing,
         op9_source_mix,
+        op10_forest_neighbours,
     )
 }
 
