@@ -128,35 +128,57 @@ def _sets(texts: DataFrame, size: int, percent: int, last: np.ndarray | None, pr
     return texts.mapInArrow(make, schema)
 
 
-def _only(df: DataFrame, keys: DataFrame, on: str, most: int) -> DataFrame:
-    """Rows whose ``on`` is in ``keys``; the keys are broadcast while at most ``most`` of them."""
-    keys = keys.select(on).distinct()
-    few = keys.limit(most + 1).count() <= most
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+def _sized(keys: DataFrame, most: int) -> DataFrame:
+    """``keys`` for a join: broadcast while at most ``most`` rows, else joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-class _Links:
-    """Checks candidate pairs against the whole sets."""
+def _must_share(a: Column, b: Column, percent: int) -> Column:
+    """So many prefix shingles two linked sets of ``a`` and ``b`` shingles have in common.
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    A set has few shingles outside the intersection, so the rest of its prefix are the first ones of the
+    intersection; the shorter of the two rests is in both prefixes.
+    """
+    overlap = F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
+
+    def inside(n: Column) -> Column:
+        return 1 - F.floor((percent * n + 99) / 100)
+
+    return F.least(inside(a), inside(b)) + overlap
+
+
+class _Texts:
+    """The texts of rows, to be read again for the few sets that need them whole."""
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` that link: each set meets its pairs in one join for each side."""
-        left = self.sets.select(F.col("sid").alias("a"), F.col("shingles").alias("of_a"))
-        right = self.sets.select(F.col("sid").alias("b"), F.col("shingles").alias("of_b"))
+    def __init__(self, rows: DataFrame, size: int, percent: int, most: int):
+        self.rows, self.size, self.percent, self.most = rows, size, percent, most
+
+    def sets(self, wanted: DataFrame, late: np.ndarray | None = None, prefix: bool = False) -> DataFrame:
+        """``set_key, n, row_hash, shingles`` of the rows with a ``row_hash`` in ``wanted`` (written)."""
+        keys = _sized(wanted.select("row_hash").distinct(), self.most)
+        texts = self.rows.join(keys, "row_hash", "left_semi")
+        return _sets(texts, self.size, self.percent, late, prefix)
+
+    def linked(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Those of the pairs ``a, b`` of set keys that link, checked on the whole sets.
+
+        ``rows`` tells the row of each set.
+        """
+        pairs = written(pairs, "jaccard_pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        wanted = written(rows.join(asked, "set_key").select("set_key", "row_hash"), "jaccard_wanted")
+        whole = self.sets(wanted).select("set_key", "shingles")
+        whole = written(whole.join(_sized(asked, self.most), "set_key", "left_semi"), "jaccard_whole")
+        left = whole.select(F.col("set_key").alias("a"), F.col("shingles").alias("of_a"))
+        right = whole.select(F.col("set_key").alias("b"), F.col("shingles").alias("of_b"))
         shared = F.size(F.array_intersect("of_a", "of_b"))
         union = F.size("of_a") + F.size("of_b") - shared
-        return (
-            pairs.join(left, "a")
-            .join(right, "b")
-            .filter(100 * shared >= self.percent * union)
-            .select("a", "b")
-        )
+        met = pairs.join(left, "a").join(right, "b").filter(100 * shared >= self.percent * union)
+        return written(met.select("a", "b").distinct(), "jaccard_links")
 
 
 def _late_shingles(sets: DataFrame, above: int, most: int) -> np.ndarray:
@@ -172,9 +194,7 @@ def _late_shingles(sets: DataFrame, above: int, most: int) -> np.ndarray:
     return np.sort(rows.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _with_late(
-    sets: DataFrame, texts: DataFrame, late: np.ndarray, size: int, percent: int, most: int
-) -> DataFrame:
+def _with_late(sets: DataFrame, texts: _Texts, late: np.ndarray) -> DataFrame:
     """Sets with the prefixes of the order in which ``late`` shingles come last.
 
     Only a set whose prefix holds a late shingle gets another prefix; its text is read again.
@@ -187,29 +207,16 @@ def _with_late(
             values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             hits = np.concatenate([[0], np.cumsum(np.isin(values, shared.value))])
             ends = np.cumsum(np.concatenate([[0], column.value_lengths().to_numpy(zero_copy_only=False)]))
-            found = hits[ends[1:]] > hits[ends[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("sid").filter(pa.array(found)),
-                    batch.column("text_hash").filter(pa.array(found)),
-                    batch.column("set_key").filter(pa.array(found)),
-                ],
-                ["sid", "text_hash", "set_key"],
-            )
+            found = pa.array(hits[ends[1:]] > hits[ends[:-1]])
+            yield batch.select(["set_key", "row_hash"]).filter(found)
 
+    narrow = sets.select("set_key", "row_hash", "shingles")
     again = written(
-        sets.select("sid", "text_hash", "set_key", "shingles").mapInArrow(
-            touched, sets.select("sid", "text_hash", "set_key").schema
-        ),
-        "jaccard_again",
+        narrow.mapInArrow(touched, narrow.select("set_key", "row_hash").schema), "jaccard_again"
     )
-    fetched = _only(texts, again, "text_hash", most)
-    fresh = _sets(fetched.dropDuplicates(["text_hash"]), size, percent, late, True)
-    renewed = again.select("sid", "set_key").join(fresh.drop("text_hash", "n"), "set_key")
-    renewed = written(renewed.select("sid", F.col("shingles").alias("fresh")), "jaccard_renewed")
-    return sets.join(renewed, "sid", "left").withColumn(
-        "shingles", F.coalesce("fresh", "shingles")
-    ).drop("fresh")
+    fresh = written(texts.sets(again, late, True).select(*sets.columns), "jaccard_fresh")
+    kept = sets.join(_sized(again.select("set_key"), texts.most), "set_key", "left_anti")
+    return kept.select(*sets.columns).unionByName(fresh)
 
 
 def similar_transactions(
@@ -227,14 +234,14 @@ def similar_transactions(
     ``100 * intersection >= percent * union``; a class is what links reach. Steps:
 
     1. Equal sets become one. Every set has its prefix: the first shingles in hash order, so many that linked
-       sets share one. Prefix shingles held by over ``common`` sets come last in the order instead.
+       sets share some. Prefix shingles held by over ``common`` sets come last in the order instead.
     2. Sets with identical prefixes and size form a group; prefix shingles of at least two sets give
        postings of groups.
     3. Each posting list has a leader, the group with the commonest shingles. Members are checked
        against leaders first: a large family of near copies gets connected by as many checks as members.
-    4. Group pairs of one posting list that are not yet connected and fit in size are expanded and their
-       members checked against the whole sets, so no link between classes is missed and no list is
-       paired out within a class.
+    4. Group pairs of one posting list that are not yet connected, fit in size and share as many prefix
+       shingles as linked sets must are expanded, and their members checked against the whole sets. No link
+       between classes is missed and no list is paired out within a class.
 
     Returns ``transaction_id, shingles, class_id, links``: the set's size, the smallest id of the class and the
     number of links found for the set. NULL and empty texts have no shingle and form no class but their own;
@@ -244,83 +251,93 @@ def similar_transactions(
     """
     ship(txns.sparkSession)
     source = columns(txns, transaction_id=cols.transaction_id, text=cols.merchant)
-    hashed = source.withColumn("text_hash", F.xxhash64("text"))
+    hashed = source.withColumn("row_hash", F.xxhash64("transaction_id", "text"))
+    texts = _Texts(hashed.select("text", "row_hash"), size, percent, broadcast_keys)
     digest = written(_sets(hashed, size, percent, None, True), "jaccard_digest")
-    members = digest.select("transaction_id", "set_key", "n")
-    own = digest.filter("n > 0").select("set_key", "n", "text_hash", "shingles")
-    sets = written(
-        own.dropDuplicates(["set_key"]).withColumn("sid", F.monotonically_increasing_id()), "jaccard_sets"
+    full = digest.filter("n > 0")
+    firsts = written(
+        full.groupBy("set_key").agg(
+            F.min("transaction_id").alias("first_id"),
+            F.min("row_hash").alias("row_hash"),
+            (F.count(F.lit(1)) > 1).alias("copied"),
+        ),
+        "jaccard_firsts",
+    )
+    copied = firsts.filter("copied").select("set_key", F.col("row_hash").alias("first_row"))
+    sets = (
+        full.join(_sized(copied, broadcast_keys), "set_key", "left")
+        .filter("first_row is null or first_row = row_hash")
+        .select("set_key", "n", "row_hash", "shingles")
     )
     late = _late_shingles(sets, common, late_shingles)
     if len(late):
-        texts = hashed.select("text", "text_hash")
-        sets = written(_with_late(sets, texts, late, size, percent, broadcast_keys), "jaccard_sets")
+        sets = _with_late(sets, texts, late)
 
     groups = _groups(sets)
-    postings = _postings(groups)
-    needed = postings.select("gid").distinct().join(groups.select("gid", "sid"), "gid").select("sid")
-    wanted = written(sets.join(needed, "sid", "left_semi").select("sid", "set_key", "text_hash"), "jaccard_wanted")
-    fetched = _only(hashed.select("text", "text_hash"), wanted, "text_hash", broadcast_keys)
-    whole = _sets(fetched.dropDuplicates(["text_hash"]), size, percent, None, False)
-    checks = _Links(
-        written(
-            whole.select("set_key", "shingles").join(wanted.select("sid", "set_key"), "set_key").drop("set_key"),
-            "jaccard_whole",
-        ),
-        percent,
+    postings = _postings(sets, groups, broadcast_keys)
+    first = texts.linked(_leader_pairs(groups, postings, percent), firsts)
+    rest = texts.linked(_open_pairs(_connected(groups, postings, first), postings, percent), firsts)
+    links = written(first.unionByName(rest).distinct(), "jaccard_links")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
+        F.count(F.lit(1)).alias("links")
     )
-    first = written(checks.verified(_leader_pairs(groups, postings, percent)), "jaccard_links")
-    near = _connected(groups, first)
-    rest = written(checks.verified(_open_pairs(near, postings, percent)), "jaccard_links")
-    links = first.unionByName(rest)
-    found = components(links, "jaccard_components")
-    degree = (
-        links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    )
-    classes = found.join(degree, "node")
-    labelled = sets.select("set_key", "sid").join(classes, F.col("sid") == F.col("node"), "left").select(
-        "set_key", F.coalesce("component", "sid").alias("component"), F.coalesce("links", F.lit(0)).alias("links")
-    )
-    labelled = written(labelled, "jaccard_labels")
-    ids = members.filter("n > 0").groupBy("set_key").agg(F.min("transaction_id").alias("first_id"))
-    smallest = (
-        ids.join(labelled, "set_key").groupBy("component").agg(F.min("first_id").alias("class_id"))
+    classes = components(links, "jaccard_components").join(degree, "node").withColumnRenamed("node", "set_key")
+    labelled = written(
+        firsts.join(classes, "set_key", "left").select(
+            "set_key",
+            "first_id",
+            F.coalesce("component", "set_key").alias("component"),
+            F.coalesce("links", F.lit(0)).alias("links"),
+        ),
+        "jaccard_labels",
     )
+    smallest = labelled.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_set = labelled.join(smallest, "component").select("set_key", "class_id", "links")
-    with_words = members.filter("n > 0").join(by_set, "set_key")
-    without = members.filter("n = 0").select(
-        "*", F.col("transaction_id").alias("class_id"), F.lit(0).cast("long").alias("links")
+    with_words = full.select("transaction_id", "set_key", "n").join(by_set, "set_key")
+    without = digest.filter("n = 0").select(
+        "transaction_id", "n", F.col("transaction_id").alias("class_id"), F.lit(0).cast("long").alias("links")
     )
-    return with_words.unionByName(without.select(*with_words.columns)).select(
+    return with_words.select(*without.columns).unionByName(without).select(
         F.col("transaction_id").alias(cols.transaction_id), F.col("n").alias("shingles"), "class_id", "links"
     )
 
 
 def _groups(sets: DataFrame) -> DataFrame:
-    """``sid, gid, n, shingles``: sets with identical prefixes and size share a ``gid``."""
+    """``set_key, gid, n`` of sets that share prefix and size with others; the rest are their own group."""
     key = F.struct("n", F.xxhash64("shingles"), F.hash("shingles"), F.element_at("shingles", -1))
-    keyed = sets.select("sid", "n", "shingles", key.alias("key"))
-    gid = keyed.groupBy("key").agg(F.min("sid").alias("gid"))
-    return written(keyed.join(gid, "key").drop("key"), "jaccard_groups")
+    keyed = sets.select("set_key", "n", key.alias("key"))
+    several = keyed.groupBy("key").agg(F.min("set_key").alias("gid"), F.count(F.lit(1)).alias("members"))
+    return written(
+        keyed.join(several.filter("members > 1"), "key").select("set_key", "gid", "n").distinct(), "jaccard_groups"
+    )
 
 
-def _postings(groups: DataFrame) -> DataFrame:
+def _postings(sets: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """``token, gid, n, holders``: prefix shingles that at least two sets hold, by group."""
-    weight = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("members"))
-    one = groups.filter(F.col("sid") == F.col("gid")).join(weight, "gid")
-    counts = (
-        one.select(F.explode("shingles").alias("token"), "members")
-        .groupBy("token")
-        .agg(F.sum("members").alias("holders"))
-        .filter("holders > 1")
+    flat = sets.select("set_key", "n", F.explode("shingles").alias("token"))
+    tokens = written(
+        flat.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1"), "jaccard_tokens"
     )
-    counts = written(counts, "jaccard_tokens")
-    flat = one.select("gid", "n", F.explode("shingles").alias("token"))
-    return written(flat.join(counts, "token"), "jaccard_postings")
+    shared = flat.join(_sized(tokens, 2 * most), "token")
+    own = shared.join(_sized(groups.select("set_key", "gid"), most), "set_key", "left")
+    return written(
+        own.select("token", F.coalesce("gid", "set_key").alias("gid"), "n", "holders").distinct(),
+        "jaccard_postings",
+    )
+
+
+def _members(groups: DataFrame, gids: DataFrame, as_gid: str, as_member: str) -> DataFrame:
+    """Every row of ``gids`` for each member of its group."""
+    members = groups.select(F.col("gid").alias(as_gid), F.col("set_key").alias("_member"))
+    joined = gids.join(members, as_gid, "left")
+    return joined.withColumn(as_member, F.coalesce("_member", as_gid)).drop("_member")
 
 
 def _leader_pairs(groups: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
-    """Each member with the leaders of its posting lists, and with the first of its own group."""
+    """Each member with the leaders of its posting lists, and with the first of its own group.
+
+    A pair that shares too few shingles under this leader is left to the open pairs.
+    """
     weight = postings.groupBy("gid").agg(F.sum("holders").alias("weight"))
     leaders = (
         postings.join(weight, "gid")
@@ -329,26 +346,34 @@ def _leader_pairs(groups: DataFrame, postings: DataFrame, percent: int) -> DataF
         .select("token", F.col("top.gid").alias("leader"), F.col("top.n").alias("leader_n"))
     )
     apart = (F.col("gid") != F.col("leader")) & _sizes_fit(F.col("n"), F.col("leader_n"), percent)
-    to_leader = postings.join(leaders, "token").filter(apart).select("gid", "leader").distinct()
-    several = groups.select("sid", "gid")
-    member_pairs = several.join(to_leader, "gid").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
-    inside = several.filter(F.col("sid") != F.col("gid")).select(F.col("sid").alias("a"), F.col("gid").alias("b"))
-    return member_pairs.unionByName(inside)
+    led = (
+        postings.join(leaders, "token")
+        .filter(apart)
+        .groupBy("gid", "leader", "n", "leader_n")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .filter(F.col("shared") >= _must_share(F.col("n"), F.col("leader_n"), percent))
+    )
+    pairs = _members(groups, led.select("gid", F.col("leader").alias("b")), "gid", "a").select("a", "b")
+    inside = groups.filter(F.col("set_key") != F.col("gid")).select(
+        F.col("set_key").alias("a"), F.col("gid").alias("b")
+    )
+    return pairs.unionByName(inside)
 
 
-def _connected(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """``sid, gid, n, part``: sets of one part are known to be connected."""
-    up = links.groupBy(F.col("a").alias("sid")).agg(F.max("b").alias("part"))
-    once = groups.select("sid", "gid", "n").join(up, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
-    once = written(once, "jaccard_parts")
-    above = once.select(F.col("sid").alias("part"), F.col("part").alias("top"))
-    return written(once.join(above, "part").withColumn("part", F.col("top")).drop("top"), "jaccard_parts")
+def _connected(groups: DataFrame, postings: DataFrame, links: DataFrame) -> DataFrame:
+    """``set_key, gid, part``: sets of one part are known to be connected."""
+    listed = _members(groups, postings.select("gid").distinct(), "gid", "set_key")
+    up = links.groupBy(F.col("a").alias("set_key")).agg(F.max("b").alias("part"))
+    once = written(
+        listed.join(up, "set_key", "left").withColumn("part", F.coalesce("part", "set_key")), "jaccard_parts"
+    )
+    above = once.select(F.col("set_key").alias("part"), F.col("part").alias("top"))
+    return written(once.join(above, "part").select("set_key", "gid", F.col("top").alias("part")), "jaccard_parts")
 
 
 def _open_pairs(near: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different parts whose groups meet in a posting list and fit in size."""
-    parts = near.select("gid", "part").distinct()
-    listed = postings.select("token", "gid", "n").join(parts, "gid")
+    """Pairs of sets in different parts whose groups share what linked sets must."""
+    listed = postings.select("token", "gid", "n").join(near.select("gid", "part").distinct(), "gid")
     mixed = (
         listed.groupBy("token")
         .agg(F.min("part").alias("low"), F.max("part").alias("high"))
@@ -360,20 +385,24 @@ def _open_pairs(near: DataFrame, postings: DataFrame, percent: int) -> DataFrame
     pairs = held.select("token", F.col("part").alias("part_a")).join(
         held.select("token", F.col("part").alias("part_b")), "token"
     ).filter("part_a < part_b")
-    sides = [
+    side_a, side_b = (
         listed.select(
             "token", F.col("part").alias(f"part_{s}"), F.col("gid").alias(f"gid_{s}"), F.col("n").alias(f"n_{s}")
         )
         for s in ("a", "b")
-    ]
-    met = pairs.join(sides[0], ["token", "part_a"]).join(sides[1], ["token", "part_b"])
-    fitting = met.filter(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
-    group_pairs = fitting.select("gid_a", "part_a", "gid_b", "part_b").distinct()
-    own = [
-        near.select(F.col("gid").alias(f"gid_{s}"), F.col("part").alias(f"part_{s}"), F.col("sid").alias(s))
+    )
+    met = pairs.join(side_a, ["token", "part_a"]).join(side_b, ["token", "part_b"])
+    group_pairs = (
+        met.filter(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+        .groupBy("gid_a", "part_a", "n_a", "gid_b", "part_b", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .filter(F.col("shared") >= _must_share(F.col("n_a"), F.col("n_b"), percent))
+    )
+    own_a, own_b = (
+        near.select(F.col("gid").alias(f"gid_{s}"), F.col("part").alias(f"part_{s}"), F.col("set_key").alias(s))
         for s in ("a", "b")
-    ]
-    return group_pairs.join(own[0], ["gid_a", "part_a"]).join(own[1], ["gid_b", "part_b"]).select("a", "b")
+    )
+    return group_pairs.join(own_a, ["gid_a", "part_a"]).join(own_b, ["gid_b", "part_b"]).select("a", "b")
 
 
 def distinct_transactions(

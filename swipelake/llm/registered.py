@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import credentials, jaccard, mixing, neighbours, packing, privacy, sharding
+from swipelake.llm import credentials, jaccard, language, mixing, neighbours, packing, privacy, sharding
 from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
@@ -78,6 +78,19 @@ def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(found, credentials.KINDS)
 
 
+def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    found = language.label_languages(docs, ~held_out, DOCS, "lang")
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("language").alias("lang_pred"),
+        "score",
+        F.size("spans").alias("n_spans"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents"), vocabulary_path(), DOCS)
 
@@ -107,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_private_spans,
         op4_jaccard_classes,
         op5_linked_secrets,
+        op7_language_spans,
         op8_best_fit_packing,
         op9_source_mix,
         op10_forest_neighbours,
