@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import credentials, jaccard, language, mixing, neighbours, packing, privacy, sharding
+from swipelake.llm import credentials, jaccard, language, mixing, neighbours, packing, privacy, sharding, toxicity
 from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
-DOCS = TxnColumns(transaction_id="doc_id", merchant="text", category="source")
+DOCS = TxnColumns(transaction_id="doc_id", merchant="text", category="source", fraud="toxic")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,6 +78,19 @@ def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(found, credentials.KINDS)
 
 
+def toxic_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may teach; the third whose id has remainder 1 is held out."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+
+
+def op6_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = toxicity.score_toxicity(docs, toxic_marks(spark, sf_dir), DOCS)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -120,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_private_spans,
         op4_jaccard_classes,
         op5_linked_secrets,
+        op6_toxicity_scores,
         op7_language_spans,
         op8_best_fit_packing,
         op9_source_mix,
