@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import credentials, jaccard, language, mixing, neighbours, packing, privacy, sharding, toxicity
+from swipelake.llm import credentials, divergence, jaccard, language, mixing, neighbours, packing, privacy, sharding, toxicity
 from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
@@ -66,6 +66,22 @@ def op2_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(privacy.private_spans(table(spark, sf_dir, "documents"), DOCS), privacy.KINDS)
 
 
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence.judge_quality(table(spark, sf_dir, "documents"), DOCS, "lang")
+    return found.select(
+        "doc_id",
+        F.col("words").alias("n_words"),
+        "word_chars",
+        F.col("symbols").alias("n_symbols"),
+        F.col("dup_lines").alias("n_dup_lines"),
+        F.col("repeat_words").alias("n_repeat_words"),
+        "base_failed",
+        "kept",
+        "class_distance",
+        "word_distance",
+    )
+
+
 def op4_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.similar_transactions(table(spark, sf_dir, "documents"), DOCS)
     return found.select(
@@ -131,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_vector_shards,
         op2_private_spans,
+        op3_divergence,
         op4_jaccard_classes,
         op5_linked_secrets,
         op6_toxicity_scores,
