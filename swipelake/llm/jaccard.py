@@ -224,7 +224,7 @@ def similar_transactions(
     cols: TxnColumns = CARD_COLUMNS,
     size: int = 4,
     percent: int = 85,
-    common: int = 64,
+    common: int = 24,
     late_shingles: int = 200_000,
     broadcast_keys: int = 1_000_000,
 ) -> DataFrame:
@@ -381,20 +381,31 @@ def _open_pairs(near: DataFrame, postings: DataFrame, percent: int) -> DataFrame
         .select("token")
     )
     listed = written(listed.join(mixed, "token", "left_semi"), "jaccard_open")
-    held = listed.select("token", "part").distinct()
-    pairs = held.select("token", F.col("part").alias("part_a")).join(
-        held.select("token", F.col("part").alias("part_b")), "token"
-    ).filter("part_a < part_b")
+    held = listed.groupBy("token", "part").agg(
+        F.min("gid").alias("gid"), F.count(F.lit(1)).alias("gids"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    half_a, half_b = (
+        held.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "gid", "gids", "low", "high")])
+        for s in ("a", "b")
+    )
+    reach = (100 * F.col("high_b") >= percent * F.col("low_a")) & (100 * F.col("high_a") >= percent * F.col("low_b"))
+    pairs = half_a.join(half_b, "token").filter((F.col("part_a") < F.col("part_b")) & reach)
+    # Most parts have one group in a list: those pairs are complete.
+    alone = (F.col("gids_a") == 1) & (F.col("gids_b") == 1)
+    names = ["gid_a", "part_a", "n_a", "gid_b", "part_b", "n_b"]
+    plain = pairs.filter(alone).withColumnsRenamed({"low_a": "n_a", "low_b": "n_b"}).select(*names)
     side_a, side_b = (
         listed.select(
             "token", F.col("part").alias(f"part_{s}"), F.col("gid").alias(f"gid_{s}"), F.col("n").alias(f"n_{s}")
         )
         for s in ("a", "b")
     )
-    met = pairs.join(side_a, ["token", "part_a"]).join(side_b, ["token", "part_b"])
+    wide = pairs.filter(~alone).select("token", "part_a", "part_b")
+    spread = wide.join(side_a, ["token", "part_a"]).join(side_b, ["token", "part_b"]).select(*names)
+    met = plain.unionByName(spread)
     group_pairs = (
         met.filter(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
-        .groupBy("gid_a", "part_a", "n_a", "gid_b", "part_b", "n_b")
+        .groupBy(*names)
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter(F.col("shared") >= _must_share(F.col("n_a"), F.col("n_b"), percent))
     )
