@@ -7,21 +7,21 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from swipelake.columns import CARD_COLUMNS, TxnColumns
-from swipelake.llm.packing import split_words
 from swipelake.llm.shipping import ship
 from swipelake.llm.text import columns
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHED_WORDS = 300_000
+_CHARACTERS = 400_000  # of texts that are scored together
 _OFF_SCRIPT = -12.0  # log score of a letter in a script that the language does not use
 _MIX = (0.6, 0.25, 0.14)  # weights of the chances given two letters, one, none; the rest is even
 
@@ -112,86 +112,74 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+@cache
+def _is_letter() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
 class Labeler:
-    """Labels texts with a model; scores of letters and words are remembered, words up to a bound."""
+    """Labels texts with a model, many at a time; scores of letter triples are remembered."""
 
     def __init__(self, model: LanguageModel, penalty: float):
         self.model, self.penalty = model, penalty
-        self.steps: dict[str, int] = {}
-        self.step_scores: list[np.ndarray] = []
-        self.rows: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)))
-        self.sizes = np.zeros(0, dtype=np.int64)
-
-    def _step(self, key: str) -> int:
-        """Row of the chance of a key's last letter after the others, or of a script's mask."""
-        if key in self.steps:
-            return self.steps[key]
-        if key.startswith("script "):
-            _, script, size = key.split()
-            used = self.model.scripts.get(script, np.zeros(0, dtype=bool))
-            scores = np.where(used, 0.0, _OFF_SCRIPT * int(size)) if used.any() else None
-            scores = np.zeros(len(self.model.languages)) if scores is None else scores
-        else:
-            scores = self.model.chances(key[:-1], key[-1])
-        self.steps[key] = len(self.step_scores)
-        self.step_scores.append(scores)
-        return self.steps[key]
-
-    def _learn(self, words: list[str]) -> None:
-        """Scores of words: the sum over their letters."""
-        flat: list[int] = []
-        counts, sizes = [], []
-        steps, step = self.steps, self._step
-        for word in words:
-            runs = _LETTERS.findall(word.lower())
-            before = len(flat)
-            for letters in runs:
-                padded = f"^{letters}$"
-                keys = [padded[:2], *[padded[k : k + 3] for k in range(len(padded) - 2)]]
-                script = script_of(letters)
-                if not self.model.scripts.get(script, np.zeros(1)).all():
-                    keys.append(f"script {script} {len(letters)}")
-                flat.extend([steps[k] if k in steps else step(k) for k in keys])
-            counts.append(len(flat) - before)
-            sizes.append(sum(map(len, runs)))
-        width = len(self.model.languages)
-        totals = np.zeros((len(words), width))
-        if flat:
-            table = np.array(self.step_scores).reshape(-1, width)
-            owner = np.repeat(np.arange(len(words)), counts)
-            for k in range(width):
-                totals[:, k] = np.bincount(owner, weights=table[flat, k], minlength=len(words))
-        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
-        self.scores = np.vstack([self.scores, totals])
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
+        width = len(model.languages)
+        names = sorted({name for _, name in SCRIPT_STARTS})
+        self.script_at = np.array([names.index(name) for _, name in SCRIPT_STARTS])
+        off = np.zeros((len(names), width))
+        for name, used in model.scripts.items():
+            if used.any():
+                off[names.index(name)] = np.where(used, 0.0, _OFF_SCRIPT)
+        self.off_script = off
+        self.rows: dict[int, int] = {}
+        self.scores: list[np.ndarray] = []
+
+    def _score(self, key: int) -> int:
+        """Row of the score of a letter, or of a word's end, after up to two letters."""
+        a, b, c = key >> 42, (key >> 21) & 0x1FFFFF, key & 0x1FFFFF
+        before = f"{chr(a) if a else '^'}{chr(b)}" if b else "^"
+        scores = self.model.chances(before, chr(c) if c else "$")
+        if c:
+            scores = scores + self.off_script[self.script_at[bisect_right(_STARTS, c) - 1]]
+        self.rows[key] = len(self.scores)
+        self.scores.append(scores)
+        return self.rows[key]
+
+    def _words(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Scores and letter counts of the words of each text."""
+        lower = [t.lower() for t in texts]
+        codes = np.frombuffer("".join([f"{t}\n" for t in lower]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        ends = np.cumsum([len(t) + 1 for t in lower])
+        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        letter = _is_letter()[codes]
+        c = np.where(letter, codes, 0).astype(np.int64)
+        b = np.concatenate([[0], c[:-1]])
+        a = np.where(b > 0, np.concatenate([[0, 0], c[:-2]]), 0)
+        # The score of a letter, or of the end behind one; nothing elsewhere.
+        keys, inverse = np.unique((a << 42) | (b << 21) | c, return_inverse=True)
+        rows, score = self.rows, self._score
+        at = [rows[k] if k in rows else score(k) for k in keys.tolist() if k]
+        table = np.zeros((len(keys), len(self.model.languages)))
+        table[keys != 0] = np.array(self.scores)[at] if at else 0.0
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if not len(starts):
+            yield from ((table[:0], ends[:0]) for _ in texts)
+            return
+        words = np.add.reduceat(table[inverse], starts, axis=0)
+        letters = np.add.reduceat(letter.astype(np.int64), starts)
+        first = 0
+        for last in np.searchsorted(starts, ends):
+            yield words[first:last], letters[first:last]
+            first = last
 
     def label(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
         """(language, share of letters, spans of words) of each text."""
-        if len(self.rows) > _CACHED_WORDS:
-            self.rows, self.scores, self.sizes = {}, self.scores[:0], self.sizes[:0]
-        split = [split_words(t) if t else [] for t in texts]
-        placed = [list(map(self.rows.get, words)) for words in split]
-        missing = {
-            w: None
-            for words, at in zip(split, placed, strict=True)
-            if None in at
-            for w, row in zip(words, at, strict=True)
-            if row is None
-        }
-        if missing:
-            self._learn(list(missing))
         width = len(self.model.languages)
-        for words, at in zip(split, placed, strict=True):
-            if None in at:
-                at = [self.rows[w] if row is None else row for w, row in zip(words, at, strict=True)]
-            rows = np.array(at, dtype=np.int64)
-            letters = self.sizes[rows]
+        for scores, letters in self._words([t or "" for t in texts]):
             if not letters.any() or not width:
                 yield UNKNOWN, 0.0, []
                 continue
-            table = self.scores[rows]
-            path = best_path(table, self.penalty)
+            path = best_path(scores, self.penalty)
             share = np.bincount(path, weights=letters, minlength=width)
             winner = int(np.argmax(share))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
@@ -201,19 +189,30 @@ class Labeler:
             yield self.model.languages[winner], float(share[winner] / letters.sum()), spans
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold at most ``most`` together, or one row alone."""
+    first, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield first, at
+            first, held = at, 0
+        held += size
+    if len(sizes):
+        yield first, len(sizes)
+
+
 def fit_languages(
     txns: DataFrame, language: str, learn: Column, cols: TxnColumns, sample_rows: int, most_grams: int
 ) -> LanguageModel:
-    """Counts of letter runs over at most ``sample_rows`` labelled rows of each language, in hash order."""
+    """Counts of letter runs over a sample of labelled rows: about ``sample_rows`` of each language, by a hash of the id."""
     flagged = txns.withColumn("_learn", learn)
     source = columns(flagged, id=cols.transaction_id, text=cols.merchant, language=language, learn="_learn")
     labelled = source.filter("learn and language is not null and text is not null").withColumn(
-        "draw", F.xxhash64("id")
+        "draw", F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 52)) / float(1 << 52)
     )
-    place = F.row_number().over(Window.partitionBy("language").orderBy("draw"))
-    drawn = labelled.select("language", "draw").withColumn("place", place).filter(F.col("place") <= sample_rows)
-    # At most sample_rows for each language.
-    sample = labelled.join(F.broadcast(drawn.select("language", "draw").distinct()), ["language", "draw"])
+    sizes = labelled.groupBy("language").agg(F.least(F.lit(1.0), sample_rows / F.count(F.lit(1))).alias("share"))
+    # One row for each language.
+    sample = labelled.join(F.broadcast(sizes), "language").filter(F.col("draw") < F.col("share"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -259,7 +258,7 @@ def label_languages(
     """The language of every whole merchant descriptor, and of each stretch of a mixed one.
 
     Transactions have no language field, so ``language`` names any column with one; rows that meet ``learn``
-    and have a language and a text are learned from, at most ``sample_rows`` of each language. A word's script
+    and have a language and a text are learned from, about ``sample_rows`` of each language. A word's script
     narrows the languages to those that use it; its score in each is that of its letters given the two before. Viterbi
     over the words, where each switch costs ``penalty``, labels spans; the language with most letters wins.
 
@@ -284,8 +283,9 @@ def label_languages(
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeler = Labeler(shared.value, penalty)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            for first, last in _runs(sizes, _CHARACTERS):
+                part = batch.slice(first, last - first)
                 found = list(labeler.label(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [
