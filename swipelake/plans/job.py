@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,7 +11,14 @@ from pyspark.sql import types as T
 
 from swipelake.columns import CARD_COLUMNS, DEFAULT_COLUMNS
 from swipelake.operators.clean import amount_bands, chain, cleanse, date_parts, rename_columns
-from swipelake.sources.files import read_csv, read_parquet, write_csv, write_parquet
+from swipelake.sources.files import (
+    publish_path,
+    read_csv,
+    read_parquet,
+    remove_path,
+    write_csv,
+    write_parquet,
+)
 
 _READERS = ("csv", "parquet")
 _WRITERS = ("csv", "parquet")
@@ -27,6 +35,7 @@ class JobConfig:
     partition_by: tuple[str, ...] = ("year", "month")
     max_null_ratio: float | None = None
     min_rows: int = 0
+    enable_checks: bool = True
 
     def __post_init__(self):
         if self.input_format not in _READERS:
@@ -64,7 +73,8 @@ def transform(df: DataFrame) -> DataFrame:
 def run_job(spark: SparkSession, config: JobConfig) -> JobResult:
     """Run it. Counts and NULL counts are observed while writing, so the data is read once.
 
-    A failed check raises JobError after the write.
+    The rows are written to a folder beside the output, checked, and only then put in its place: a failed check
+    raises JobError and leaves the old output as it was. ``enable_checks`` off publishes without checks.
     """
     if config.input_format == "csv":
         df = read_csv(spark, config.input_path, config.schema)
@@ -78,12 +88,9 @@ def run_job(spark: SparkSession, config: JobConfig) -> JobResult:
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(c).isNull()).alias(c + "#nulls") for c in out.columns],
     )
-    if config.output_format == "parquet":
-        write_parquet(out, config.output_path, partition_by=config.partition_by)
-        output = spark.read.parquet(config.output_path)
-    else:
-        write_csv(out, config.output_path)
-        output = read_csv(spark, config.output_path, out.schema)
+    staged = f"{config.output_path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    write = write_parquet if config.output_format == "parquet" else write_csv
+    write(out, staged, "error", partition_by=config.partition_by)
     seen = made.get
     nulls = {c: seen[c + "#nulls"] for c in out.columns}
     metrics = {
@@ -93,13 +100,17 @@ def run_job(spark: SparkSession, config: JobConfig) -> JobResult:
         "success": True,
     }
     problems = []
-    if seen["rows"] < config.min_rows:
+    if config.enable_checks and seen["rows"] < config.min_rows:
         problems.append(f"{seen['rows']} rows, at least {config.min_rows} required")
-    if config.max_null_ratio is not None and seen["rows"]:
+    if config.enable_checks and config.max_null_ratio is not None and seen["rows"]:
         bad = [c for c, n in nulls.items() if n / seen["rows"] > config.max_null_ratio]
         if bad:
             problems.append(f"too many NULLs in {bad}")
     if problems:
+        remove_path(spark, staged)
         metrics |= {"success": False, "error": "; ".join(problems)}
         raise JobError(metrics["error"], metrics)
-    return JobResult(output, metrics)
+    publish_path(spark, staged, config.output_path)
+    if config.output_format == "parquet":
+        return JobResult(spark.read.parquet(config.output_path), metrics)
+    return JobResult(read_csv(spark, config.output_path, out.schema), metrics)

@@ -9,6 +9,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _store(spark: SparkSession, path: str):
+    """The path and its store, in any file system that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, store = _store(spark, path)
+    return store.exists(place)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    place, store = _store(spark, path)
+    store.delete(place, True)
+
+
+def publish_path(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a complete folder in the place of another. The old one stays until the new one is there."""
+    new, store = _store(spark, staged)
+    place, _ = _store(spark, path)
+    aside, _ = _store(spark, f"{staged}.replaced")
+    if store.exists(place):
+        store.rename(place, aside)
+    elif place.getParent() is not None:
+        store.mkdirs(place.getParent())
+    if not store.rename(new, place):
+        if store.exists(aside):
+            store.rename(aside, place)
+        raise OSError(f"could not publish {staged} as {path}")
+    store.delete(aside, True)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -94,9 +126,14 @@ def write_csv(
     mode: str = "overwrite",
     header: bool = True,
     delimiter: str = ",",
+    partition_by: Sequence[str] | None = None,
     **options,
 ) -> None:
-    df.write.mode(mode).options(header=header, sep=delimiter, **options).csv(path)
+    """CSV sink, partitioned by those of ``partition_by`` that exist, as for Parquet."""
+    by = _existing(df, partition_by)
+    df = df.hint("rebalance", *by) if by else df
+    writer = df.write.mode(mode).options(header=header, sep=delimiter, **options)
+    (writer.partitionBy(*by) if by else writer).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:

@@ -93,7 +93,8 @@ def checked_upsert(
 ) -> StreamingQuery:
     """Each micro-batch: run the checks, stop the stream if one fails, else upsert by key.
 
-    A batch repeated after a failure updates the same keys again, so the table is unchanged by it.
+    The table remembers which batches of this checkpoint it has, so a batch repeated after a failure is
+    skipped, whatever its keys are.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -102,6 +103,6 @@ def checked_upsert(
             names = [f"{r['check']}({r['column_name']})" for r in failed.collect()]
             if names:
                 raise ValueError(f"batch {batch_id} failed {names}")
-        upsert(batch, table, keys)
+        upsert(batch, table, keys, batch=f"{checkpoint}#{batch_id}")
 
     return for_each_batch(stream, checkpoint, apply)

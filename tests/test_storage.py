@@ -84,40 +84,86 @@ def test_upsert(spark, orders, tmp_path):
         snapshots.merged(orders, keyed.unionByName(keyed), ["id"])
 
 
-@pytest.mark.parametrize("limit", [0, snapshots.MERGE_ON_READ_BYTES])
+@pytest.mark.parametrize("by", [[], ["p"]])
 @pytest.mark.parametrize("update", [True, False])
-def test_many_upserts(spark, tmp_path, limit, update, monkeypatch):
-    """Merged on reading or written anew: the same table, and old versions stay."""
-    monkeypatch.setattr(snapshots, "MAX_MERGES", 2)
+def test_many_upserts(spark, tmp_path, by, update):
+    """Partitioned or not: the same table, and old versions stay."""
     path, expected = f"{tmp_path}/t", {}
     states = []
     for step in range(5):
         new = [(k, step) for k in range(step, step + 6)]
         if step == 2:
             new = [(100 + k, step) for k in range(4)]
-        frame = spark.createDataFrame(new, "k int, v int").coalesce(1)
+        frame = spark.createDataFrame(new, "k int, v int").withColumn("p", F.col("k") % 3).coalesce(1)
         if step == 2:
             snapshots.write_snapshot(frame, path, "append")
         else:
-            snapshots.upsert(frame, path, ["k"], update, merge_on_read_bytes=limit)
+            snapshots.upsert(frame, path, ["k"], update, by)
         for k, v in new:
             if update or k not in expected:
                 expected[k] = v
         states.append(sorted(expected.items()))
     for version in range(5):
-        assert rows(snapshots.read_snapshot(spark, path, version)) == sorted(states[version], key=repr)
+        got = snapshots.read_snapshot(spark, path, version).select("k", "v")
+        assert rows(got) == sorted(states[version], key=repr)
     held = snapshots.history(spark, path, 20).orderBy("version").collect()
     assert [r["total_rows"] for r in held] == [len(s) for s in states]
 
 
-def test_small_upsert_reads_without_shuffling_the_table(spark, tmp_path):
+def test_upsert_writes_touched_partitions_only(spark, tmp_path):
     path = f"{tmp_path}/t"
-    snapshots.upsert(spark.range(100).withColumn("v", F.lit(1)), path, ["id"])
-    snapshots.upsert(spark.range(95, 105).withColumn("v", F.lit(2)), path, ["id"])
+    table = spark.range(100).select("id", (F.col("id") % 10).alias("p"), F.lit(1).alias("v"))
+    assert snapshots.upsert(table, path, ["id"], partition_by=["p"]) == (0, 100, 0)
+    new = spark.createDataFrame([(3, 3, 2), (13, 5, 2), (200, 7, 2)], "id long, p long, v int")
+    assert snapshots.upsert(new, path, ["id"]) == (1, 1, 2)
+    first, second = [set(r["parts"]) for r in snapshots.versions(spark, path).orderBy("version").collect()]
+    assert len(first & second) == 9 and {p.rpartition("=")[2] for p in second - first} == {"3", "5", "7"}
+    want = {i: (i % 10, 1) for i in range(100)} | {3: (3, 2), 13: (5, 2), 200: (7, 2)}
+    assert {r["id"]: (r["p"], r["v"]) for r in snapshots.read_snapshot(spark, path).collect()} == want
+    newest = snapshots.history(spark, path).first()
+    assert (newest["row_count"], newest["total_rows"], newest["inserted"], newest["updated"]) == (11, 101, 1, 2)
+
+
+def test_types_are_checked_and_widened(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    snapshots.write_snapshot(spark.createDataFrame([(1, 1)], "id long, n int"), path)
+    snapshots.write_snapshot(spark.createDataFrame([(2, 2)], "n int, id int").select("n", "id"), path, "append")
+    snapshots.upsert(spark.createDataFrame([(1, 5)], "id int, n short"), path, ["id"])
+    for wrong in ("id string, n int", "id long, n long", "id double, n int"):
+        bad = spark.createDataFrame([], wrong)
+        with pytest.raises(TypeError, match="do not fit"):
+            snapshots.write_snapshot(bad, path, "append")
+        with pytest.raises(TypeError, match="do not fit"):
+            snapshots.upsert(bad, path, ["id"])
+    assert rows(snapshots.read_snapshot(spark, path)) == [(1, 5), (2, 2)]
+    assert snapshots.read_snapshot(spark, path).dtypes == [("id", "bigint"), ("n", "int")]
+
+
+def test_write_modes(spark, orders, tmp_path):
+    path = f"{tmp_path}/t"
+    assert snapshots.write_snapshot(orders, path, "ignore") == 0
+    assert snapshots.write_snapshot(orders.limit(1), path, "ignore") == 0
+    with pytest.raises(FileExistsError):
+        snapshots.write_snapshot(orders, path, "error")
+    with pytest.raises(ValueError, match="partitioned"):
+        snapshots.write_snapshot(orders, path, "append", ["s"])
+    assert rows(snapshots.read_snapshot(spark, path)) == rows(orders)
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    batch = spark.createDataFrame([(1, "a"), (None, "b")], "id int, s string")
+    assert [snapshots.upsert(batch, path, ["id"], batch="stream#0") for _ in range(3)] == [(0, 2, 0), (0, 0, 0), (0, 0, 0)]
+    assert rows(snapshots.read_snapshot(spark, path)) == [(1, "a"), (None, "b")]
+
+
+def test_appends_are_one_scan(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for i in range(4):
+        snapshots.write_snapshot(spark.range(i, i + 1), path, "append")
     df = snapshots.read_snapshot(spark, path)
-    assert df.count() == 105 and df.agg(F.sum("v")).first()[0] == 95 + 20
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "LeftOuter, BuildRight" in plan
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert df.count() == 4
 
 
 def test_upsert_changes_every_matching_row(spark, orders):
@@ -219,6 +265,17 @@ def test_job(spark, tmp_path):
     with pytest.raises(JobError, match="city") as failed:
         run_job(spark, bad)
     assert failed.value.metrics["success"] is False
+    assert not (tmp_path / "o2").exists() and not list(tmp_path.glob("o2.staged*"))
+    again = JobConfig(input_path=f"{tmp_path}/raw", output_path=f"{tmp_path}/out", schema=df.schema, min_rows=501)
+    with pytest.raises(JobError, match="501"):
+        run_job(spark, again)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 500
+    unchecked = JobConfig(
+        input_path=f"{tmp_path}/raw", output_path=f"{tmp_path}/csv", output_format="csv", schema=df.schema,
+        min_rows=501, enable_checks=False,
+    )
+    assert run_job(spark, unchecked).output.count() == 500
+    assert (tmp_path / "csv" / "year=2023").exists()
     with pytest.raises(ValueError, match="unsupported"):
         JobConfig(output_format="json")
 
@@ -263,7 +320,10 @@ def test_stream_upsert_and_checks(spark, tmp_path):
     checks = (NullCheck(("transaction_id",), 0.0), RangeCheck({"amount": (0, 1e6)}))
     wait(stream.checked_upsert(source, f"{tmp_path}/t", f"{tmp_path}/cp", ["transaction_id"], *checks))
     got = snapshots.read_snapshot(spark, f"{tmp_path}/t")
-    assert got.count() == 200
+    assert got.count() == 200 and got.filter("amount = 1.0").count() == 50
+    held = snapshots.versions(spark, f"{tmp_path}/t").count()
+    wait(stream.checked_upsert(source, f"{tmp_path}/t", f"{tmp_path}/cp", ["transaction_id"], *checks))
+    assert snapshots.versions(spark, f"{tmp_path}/t").count() == held >= 2
     strict = stream.checked_upsert(
         source, f"{tmp_path}/t2", f"{tmp_path}/cp2", ["transaction_id"], RangeCheck({"amount": (0, 2)})
     )
