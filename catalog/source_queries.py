@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from catalog.base import COLS, big, query, rounded, table, txn
 from swipelake.operators.quality import NullCheck, RangeCheck
-from swipelake.plans.job import JobConfig, run_job
-from swipelake.scratch import scratch_path
+from swipelake.plans.job import JobConfig, JobError, run_job
+from swipelake.scratch import scratch_path, written
 from swipelake.sources import files, snapshots
-from swipelake.sources.synthetic import synthetic_transactions
 from swipelake.streaming import ingest as stream
 
-_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+_ORDER_COLUMNS = (
+    "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
+)
 _ORDER_LIST = ", ".join(_ORDER_COLUMNS)
 
 
@@ -40,9 +41,12 @@ def scan_parquet(spark, folder):
     return files.read_parquet(spark, path, ["l_orderkey", "l_extendedprice"])
 
 
-@query("scan_json", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+@query(
+    "scan_json",
+    "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+)
 def scan_json(spark, folder):
-    df = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    df = big(table(spark, folder, "customer"), "c_nationkey")
     path = scratch_path(spark, "json")
     files.write_json(df, path)
     return files.read_json(spark, path, schema=df.schema)
@@ -143,68 +147,78 @@ def _changes(df):
     return some.unionByName(some.withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000_000))
 
 
-_NEW_ORDERS = f"""SELECT o_orderkey + 100000000000, o_custkey, o_orderstatus, o_totalprice * 2, o_orderpriority
-FROM orders WHERE o_orderkey % 3 = 0"""
+_NEW_ORDERS = f"""SELECT o_orderkey + 100000000000, o_custkey, o_orderstatus, o_totalprice * 2, o_orderdate,
+ o_orderpriority FROM orders WHERE o_orderkey % 3 = 0"""
 
+_UPSERTED = f"""SELECT o_orderkey, o_custkey, o_orderstatus,
+ CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+FROM orders UNION ALL {_NEW_ORDERS}"""
 
-@query(
-    "upsert_update",
-    f"""SELECT o_orderkey, o_custkey, o_orderstatus,
- CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderpriority
-FROM orders UNION ALL {_NEW_ORDERS}""",
-)
-def upsert_update(spark, folder):
+
+def _upserted(spark, folder, update=True, partition_by=()):
     df, path = _orders(spark, folder), scratch_path(spark, "table")
-    snapshots.upsert(df, path, ["o_orderkey"])
-    snapshots.upsert(_changes(df), path, ["o_orderkey"])
-    return snapshots.read_snapshot(spark, path)
+    snapshots.upsert(df, path, ["o_orderkey"], partition_by=partition_by)
+    snapshots.upsert(_changes(df), path, ["o_orderkey"], update)
+    return path
 
 
-@query("upsert_insert_only", f"SELECT {_ORDER_LIST} FROM orders UNION ALL {_NEW_ORDERS}")
-def upsert_insert_only(spark, folder):
-    df = _orders(spark, folder)
-    return snapshots.merged(df, _changes(df), ["o_orderkey"], update=False)
+@query("upsert_update", _UPSERTED)
+def upsert_update(spark, folder):
+    return snapshots.read_snapshot(spark, _upserted(spark, folder))
+
 
+@query("upsert_partitioned", _UPSERTED)
+def upsert_partitioned(spark, folder):
+    path = _upserted(spark, folder, partition_by=["o_orderstatus"])
+    return snapshots.read_snapshot(spark, path)
 
-# ---- generated rows ---------------------------------------------------------------------------
 
+@query("upsert_insert_only", f"SELECT {_ORDER_LIST} FROM orders UNION ALL {_NEW_ORDERS}")
+def upsert_insert_only(spark, folder):
+    return snapshots.read_snapshot(spark, _upserted(spark, folder, update=False))
 
-def _draw(salt):
-    return f"('0x' || substr(md5('42:{salt}:' || event_id), 1, 8))::BIGINT"
 
+@query("upsert_merged", _UPSERTED)
+def upsert_merged(spark, folder):
+    df = _orders(spark, folder)
+    return snapshots.merged(df, _changes(df), ["o_orderkey"])
 
-def _choice(salt, words):
-    listed = ", ".join(f"'{w}'" for w in words)
-    return f"[{listed}][1 + {_draw(salt)} % {len(words)}]"
 
+@query(
+    "upsert_statistics",
+    """
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS m FROM orders)
+SELECT 0::BIGINT AS version, 'overwrite' AS operation, n AS row_count, n AS total_rows, n AS inserted, 0::BIGINT AS updated FROM c
+UNION ALL SELECT 1, 'upsert', n + m, n + m, m, m FROM c
+""",
+)
+def upsert_statistics(spark, folder):
+    """One folder holds all orders, so all are written anew with the new ones."""
+    made = snapshots.history(spark, _upserted(spark, folder))
+    return made.select("version", "operation", "row_count", "total_rows", "inserted", "updated")
 
-def _synthetic_sql():
-    from swipelake import fixed_values as v
 
-    low = " ".join(f"WHEN '{c}' THEN {a}" for c, (a, _) in v.CATEGORY_AMOUNTS.items())
-    high = " ".join(f"WHEN '{c}' THEN {b}" for c, (_, b) in v.CATEGORY_AMOUNTS.items())
-    return f"""
-WITH d AS (SELECT event_id, {_choice('category', v.CATEGORY_AMOUNTS)} AS merchant_category,
-   {_draw('amount')} / 4294967296.0::DOUBLE AS a,
-   CASE WHEN {_draw('fraud')} / 4294967296.0::DOUBLE < 0.012 THEN 1 ELSE 0 END::BIGINT AS is_fraud,
-   {_draw('factor')} / 4294967296.0::DOUBLE * 8 + 2 AS factor FROM events)
-SELECT 'TXN_' || lpad(event_id::VARCHAR, 10, '0') AS transaction_id,
-   'CUST_' || lpad(({_draw('customer')} % 100)::VARCHAR, 6, '0') AS customer_id,
-   'MERCH_' || lpad(({_draw('merchant')} % 50)::VARCHAR, 5, '0') AS merchant_id, merchant_category,
-   {_choice('type', v.TRANSACTION_TYPES)} AS transaction_type,
-   round((CASE merchant_category {low} END + a * (CASE merchant_category {high} END - CASE merchant_category {low} END))
-     * CASE WHEN is_fraud = 1 THEN factor ELSE 1 END, 2) AS amount,
-   'USD' AS currency, {_choice('city', v.CITIES)} AS city,
-   strftime(TIMESTAMP '2023-01-01' + to_seconds({_draw('time')} % 63072001), '%Y-%m-%dT%H:%M:%S') AS transaction_time,
-   is_fraud, {_choice('card', v.CARD_TYPES)} AS card_type, {_choice('device', v.DEVICE_TYPES)} AS device_type
-FROM d"""
+@query("upsert_rewrite", f"SELECT {_ORDER_LIST} FROM orders")
+def upsert_rewrite(spark, folder):
+    """Every order replaced, then set back."""
+    df, path = _orders(spark, folder), scratch_path(spark, "table")
+    snapshots.upsert(df.withColumn("o_totalprice", F.lit(0.0)), path, ["o_orderkey"])
+    snapshots.upsert(df, path, ["o_orderkey"])
+    return snapshots.read_snapshot(spark, path)
 
 
-@query("synthetic_txns", _synthetic_sql())
-def synthetic_txns(spark, folder):
-    """One generated transaction per event."""
-    made = synthetic_transactions(table(spark, folder, "events"), "event_id")
-    return big(made)
+@query(
+    "append_widened",
+    f"SELECT {_ORDER_LIST} FROM orders UNION ALL"
+    " SELECT o_orderkey, (o_custkey % 1000)::BIGINT, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
+)
+def append_widened(spark, folder):
+    """An INT column appended to a BIGINT one."""
+    df, path = _orders(spark, folder), scratch_path(spark, "table")
+    snapshots.write_snapshot(df, path)
+    narrow = df.withColumn("o_custkey", (F.col("o_custkey") % 1000).cast("int"))
+    snapshots.write_snapshot(narrow, path, "append")
+    return snapshots.read_snapshot(spark, path)
 
 
 # ---- job and streams --------------------------------------------------------------------------
@@ -236,8 +250,25 @@ def job_batch(spark, folder):
     return big(done.output.select(*names))
 
 
-def _batches(spark, folder):
-    """Transactions as a folder of CSV files, and their schema."""
+@query("job_failed_check", "SELECT transaction_id, amount FROM txn")
+def job_failed_check(spark, folder):
+    """A run that fails its checks leaves the output of the run before."""
+    df = txn(spark, folder).select("transaction_id", F.col("amount").alias("amt"))
+    raw, fewer, out = (scratch_path(spark, n) for n in ("raw", "fewer", "job"))
+    files.write_csv(df, raw)
+    files.write_csv(df.filter("transaction_id % 2 = 0"), fewer)
+    done = run_job(spark, JobConfig(input_path=raw, output_path=out, schema=df.schema))
+    least = done.metrics["transform_count"]
+    try:
+        run_job(spark, JobConfig(input_path=fewer, output_path=out, schema=df.schema, min_rows=least))
+    except JobError as error:
+        if error.metrics["transform_count"] >= least:
+            raise
+    return spark.read.parquet(out).select("transaction_id", "amount")
+
+
+def _batches(spark, folder, parts=3):
+    """Transactions as a folder of CSV files, one for each range of ids, and their schema."""
     df = txn(spark, folder).select(
         "transaction_id",
         "customer_id",
@@ -248,7 +279,7 @@ def _batches(spark, folder):
         "transaction_type",
     )
     path = scratch_path(spark, "incoming")
-    files.write_csv(df, path)
+    files.write_csv(df.repartitionByRange(parts, "transaction_id"), path)
     return path, df.schema
 
 
@@ -295,15 +326,24 @@ def stream_scored(spark, folder):
     return spark.read.parquet(out).select(*names)
 
 
-@query("stream_upsert", "SELECT transaction_id, customer_id, amount FROM txn")
+@query(
+    "stream_upsert",
+    "SELECT transaction_id, customer_id, CASE WHEN transaction_id % 4 = 0 THEN amount + 1 ELSE amount END AS amount"
+    " FROM txn",
+)
 def stream_upsert(spark, folder):
-    """Checked micro-batches upserted into a versioned table."""
+    """Checked micro-batches upserted into a versioned table; the last ones change rows of the first."""
     path, schema = _batches(spark, folder)
+    later = spark.read.schema(schema).csv(path, header=True).filter("transaction_id % 4 = 0")
     target = scratch_path(spark, "table")
-    rows = stream.read_stream(spark, path, schema, files_per_batch=2)
     checks = (NullCheck(("transaction_id",), 0.0), RangeCheck({"amount": (0, 1_000_000)}))
-    started = stream.checked_upsert(
-        rows, target, scratch_path(spark, "progress"), ["transaction_id"], *checks
-    )
-    _finish(started)
+    progress = scratch_path(spark, "progress")
+    for change in (None, later.withColumn("amount", F.col("amount") + 1)):
+        if change is not None:
+            files.write_csv(written(change, "changes"), path, "append")
+        rows = stream.read_stream(spark, path, schema)
+        _finish(stream.checked_upsert(rows, target, progress, ["transaction_id"], *checks))
+    made = snapshots.versions(spark, target).count()
+    if made < 3:
+        raise AssertionError(f"{made} versions")
     return snapshots.read_snapshot(spark, target).select("transaction_id", "customer_id", "amount")

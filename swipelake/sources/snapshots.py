@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def _folders(spark: SparkSession, path: str, folder: str) -> list[str]:
     """Leaf folders below ``data`` that one write has filled."""
     root = f"/data/{_PART}={folder}"
     files = spark.read.schema("_none INT").parquet(f"{path}{root}").inputFiles()
-    return sorted({root[6:] + f.rpartition("/")[0].rpartition(root)[2] for f in files})
+    return sorted({root[6:] + unquote(f.rpartition("/")[0].rpartition(root)[2]) for f in files})
 
 
 def _commit(
@@ -296,7 +297,7 @@ def upsert(
         return Merge(line["version"], line["inserted"], 0)
     matched = table.select(*keys, _PLACE).join(source.select(*keys), keys, "left_semi")
     # One row for each folder of the table at most.
-    places = {r[0] for r in matched.select(_PLACE).distinct().collect()}
+    places = {unquote(r[0]) for r in matched.select(_PLACE).distinct().collect()}
     touched = [p for p in last["parts"] if p in places]
     kept = [p for p in last["parts"] if p not in places]
     held = _assembled(spark, path, last, touched).drop(_PART, _PLACE)

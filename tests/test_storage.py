@@ -124,6 +124,16 @@ def test_upsert_writes_touched_partitions_only(spark, tmp_path):
     assert (newest["row_count"], newest["total_rows"], newest["inserted"], newest["updated"]) == (11, 101, 1, 2)
 
 
+def test_upsert_into_partitions_with_odd_names(spark, tmp_path):
+    path, names = f"{tmp_path}/t", ["a b", "c/d", "50%", "é=1", "x+y", None, ""]
+    table = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, p string")
+    snapshots.upsert(table, path, ["id"], partition_by=["p"])
+    held = rows(snapshots.read_snapshot(spark, path))
+    assert snapshots.upsert(table.filter("id in (0, 1, 2, 3, 4)"), path, ["id"]) == (1, 0, 5)
+    assert rows(snapshots.read_snapshot(spark, path)) == held
+    assert len(held) == len(names)
+
+
 def test_types_are_checked_and_widened(spark, tmp_path):
     path = f"{tmp_path}/t"
     snapshots.write_snapshot(spark.createDataFrame([(1, 1)], "id long, n int"), path)
