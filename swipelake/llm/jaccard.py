@@ -163,8 +163,8 @@ class _Texts:
         texts = self.rows.join(keys, "row_hash", "left_semi")
         return _sets(texts, self.size, self.percent, late, prefix)
 
-    def linked(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Those of the pairs ``a, b`` of set keys that link, checked on the whole sets.
+    def met(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` of set keys with their whole sets ``of_a`` and ``of_b``, and what they ``share``.
 
         ``rows`` tells the row of each set.
         """
@@ -172,13 +172,27 @@ class _Texts:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
         wanted = written(rows.join(asked, "set_key").select("set_key", "row_hash"), "jaccard_wanted")
         whole = self.sets(wanted).select("set_key", "shingles")
-        whole = written(whole.join(_sized(asked, self.most), "set_key", "left_semi"), "jaccard_whole")
+        whole = written(
+            whole.join(_sized(wanted.select("set_key"), self.most), "set_key", "left_semi"), "jaccard_whole"
+        )
         left = whole.select(F.col("set_key").alias("a"), F.col("shingles").alias("of_a"))
         right = whole.select(F.col("set_key").alias("b"), F.col("shingles").alias("of_b"))
-        shared = F.size(F.array_intersect("of_a", "of_b"))
-        union = F.size("of_a") + F.size("of_b") - shared
-        met = pairs.join(left, "a").join(right, "b").filter(100 * shared >= self.percent * union)
-        return written(met.select("a", "b").distinct(), "jaccard_links")
+        share = F.size(F.array_intersect("of_a", "of_b"))
+        return pairs.join(left, "a").join(right, "b").withColumn("share", share)
+
+    def linked(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Those of the pairs that link."""
+        found = self.met(pairs, rows).filter(_links("of_a", "of_b", self.percent)).select("a", "b")
+        return written(found.distinct(), "jaccard_links")
+
+
+def _links(a: str, b: str, percent: int) -> Column:
+    return 100 * F.col("share") >= percent * (F.size(a) + F.size(b) - F.col("share"))
+
+
+def _most_apart(a: Column, b: Column, percent: int) -> Column:
+    """The largest symmetric difference of two linked sets of ``a`` and ``b`` shingles."""
+    return a + b - 2 * F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
 
 
 def _late_shingles(sets: DataFrame, above: int, most: int) -> np.ndarray:
@@ -238,10 +252,12 @@ def similar_transactions(
     2. Sets with identical prefixes and size form a group; prefix shingles of at least two sets give
        postings of groups.
     3. Each posting list has a leader, the group with the commonest shingles. Members are checked
-       against leaders first: a large family of near copies gets connected by as many checks as members.
-    4. Group pairs of one posting list that are not yet connected, fit in size and share as many prefix
-       shingles as linked sets must are expanded, and their members checked against the whole sets. No link
-       between classes is missed and no list is paired out within a class.
+       against leaders first: those that come near one are its family, and a member that links to it is connected.
+    4. Two members of a family, not both linked to the leader, can only link if they differ from it
+       in the same shingles: a second prefix join, on the differences, finds such pairs without pairing
+       out the family.
+    5. Group pairs of one posting list in different families that fit in size and share as many prefix
+       shingles as linked sets must are expanded. All pairs found are checked against the whole sets.
 
     Returns ``transaction_id, shingles, class_id, links``: the set's size, the smallest id of the class and the
     number of links found for the set. NULL and empty texts have no shingle and form no class but their own;
@@ -275,8 +291,11 @@ def similar_transactions(
 
     groups = _groups(sets)
     postings = _postings(sets, groups, broadcast_keys)
-    first = texts.linked(_leader_pairs(groups, postings, percent), firsts)
-    rest = texts.linked(_open_pairs(_connected(groups, postings, first), postings, percent), firsts)
+    families = _families(texts.met(_leader_pairs(groups, postings, percent), firsts), percent)
+    first = families.filter("linked").select("a", "b")
+    near = _placed(groups, postings, families)
+    pairs = _family_pairs(families, percent).unionByName(_open_pairs(near, postings, percent))
+    rest = texts.linked(pairs.distinct(), firsts)
     links = written(first.unionByName(rest).distinct(), "jaccard_links")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
         F.count(F.lit(1)).alias("links")
@@ -336,7 +355,7 @@ def _members(groups: DataFrame, gids: DataFrame, as_gid: str, as_member: str) ->
 def _leader_pairs(groups: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     """Each member with the leaders of its posting lists, and with the first of its own group.
 
-    A pair that shares too few shingles under this leader is left to the open pairs.
+    Pairs that share few shingles under this leader are left out: other pairs will do for them.
     """
     weight = postings.groupBy("gid").agg(F.sum("holders").alias("weight"))
     leaders = (
@@ -351,7 +370,7 @@ def _leader_pairs(groups: DataFrame, postings: DataFrame, percent: int) -> DataF
         .filter(apart)
         .groupBy("gid", "leader", "n", "leader_n")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .filter(F.col("shared") >= _must_share(F.col("n"), F.col("leader_n"), percent))
+        .filter(3 * F.col("shared") >= _must_share(F.col("n"), F.col("leader_n"), percent))
     )
     pairs = _members(groups, led.select("gid", F.col("leader").alias("b")), "gid", "a").select("a", "b")
     inside = groups.filter(F.col("set_key") != F.col("gid")).select(
@@ -360,19 +379,61 @@ def _leader_pairs(groups: DataFrame, postings: DataFrame, percent: int) -> DataF
     return pairs.unionByName(inside)
 
 
-def _connected(groups: DataFrame, postings: DataFrame, links: DataFrame) -> DataFrame:
-    """``set_key, gid, part``: sets of one part are known to be connected."""
+def _families(met: DataFrame, percent: int) -> DataFrame:
+    """Each member with one leader that it links to or comes near, and where the two differ.
+
+    ``a`` is the member and ``b`` the leader; ``apart`` holds the shingles of one of them only, the member's first.
+    """
+    near = met.filter(2 * F.col("share") >= F.size("of_a") + F.size("of_b") - F.col("share"))
+    linked = _links("of_a", "of_b", percent)
+    apart = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
+    told = near.select(
+        "a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), linked.alias("linked"), "share", apart.alias("apart")
+    )
+    told = written(told.distinct(), "jaccard_near")
+    home = told.groupBy("a").agg(F.max(F.struct("linked", "share", "b")).alias("best"))
+    home = home.select("a", F.col("best.b").alias("home"))
+    return written(
+        told.join(home, "a").withColumn("is_home", F.col("b") == F.col("home")).drop("home"), "jaccard_families"
+    )
+
+
+def _family_pairs(families: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one family that may link though not both link to the leader.
+
+    With ``d`` for how far a member is from the leader, two members are ``d1 + d2 - 2 * (shared differences)`` apart.
+    The first one does not link to the leader, so ``d1`` alone is more than linked sets may differ, and they
+    must share differences: more than half of ``d2``, but for what sizes make up. That is a prefix filter
+    on the differences, where those that the leader lacks come first, and these are rare.
+    """
+    home = families.filter("is_home").withColumn("d", F.size("apart"))
+    most = _most_apart(F.col("n_a"), F.col("n_b"), percent)
+    first = home.filter("not linked").select(
+        "b",
+        F.col("a").alias("one"),
+        F.explode(F.slice("apart", 1, (F.floor((F.col("d") + most) / 2) + 1).cast("int"))).alias("token"),
+    )
+    uneven = F.abs(F.col("n_a") - F.col("n_b"))
+    second = home.select(
+        "b",
+        F.col("a").alias("two"),
+        F.explode(F.slice("apart", 1, (F.floor((F.col("d") - 1 + uneven) / 2) + 1).cast("int"))).alias("token"),
+    )
+    met = first.join(second, ["b", "token"]).filter("one != two")
+    return met.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+
+
+def _placed(groups: DataFrame, postings: DataFrame, families: DataFrame) -> DataFrame:
+    """``set_key, gid, part``: sets of one part are in one family and need no open pairs."""
     listed = _members(groups, postings.select("gid").distinct(), "gid", "set_key")
-    up = links.groupBy(F.col("a").alias("set_key")).agg(F.max("b").alias("part"))
-    once = written(
-        listed.join(up, "set_key", "left").withColumn("part", F.coalesce("part", "set_key")), "jaccard_parts"
+    home = families.filter("is_home").select(F.col("a").alias("set_key"), F.col("b").alias("part"))
+    return written(
+        listed.join(home, "set_key", "left").withColumn("part", F.coalesce("part", "set_key")), "jaccard_parts"
     )
-    above = once.select(F.col("set_key").alias("part"), F.col("part").alias("top"))
-    return written(once.join(above, "part").select("set_key", "gid", F.col("top").alias("part")), "jaccard_parts")
 
 
 def _open_pairs(near: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different parts whose groups share what linked sets must."""
+    """Pairs of sets of different families whose groups share what linked sets must."""
     listed = postings.select("token", "gid", "n").join(near.select("gid", "part").distinct(), "gid")
     mixed = (
         listed.groupBy("token")
