@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swipelake.columns import TxnColumns
-from swipelake.skew import ROWS_PER_TASK
 
 COLS = TxnColumns(
     category="category", timestamp="txn_ts", lon="lon", merch_lat="merch_lat", merch_lon="merch_lon"
@@ -168,10 +167,8 @@ def big(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in chosen})
 
 
-def cut_size(df: DataFrame, parts: int = 200) -> int:
-    """Rows per task that make busy keys of a small table count as hot, so that its SQL twin
-    checks the cut path; on a large table it is the library's own limit."""
-    return min(ROWS_PER_TASK, max(2, df.count() // parts))
+# Rows per task that make busy keys of a small table count as hot, so that its SQL twin checks the cut path.
+CUT_ROWS = 50
 
 
 def pick(df: DataFrame, *names: str | Column) -> DataFrame:

@@ -258,12 +258,12 @@ WHERE rn = 1
 """
 
 
-def _deduped(spark, folder, rows_per_task=None):
+def _deduped(spark, folder, copies=1):
+    lines = table(spark, folder, "lineitem")
     df = clean.drop_duplicates(
-        table(spark, folder, "lineitem"),
+        lines.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy"),
         ["l_orderkey", "l_linenumber"],
         ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
-        rows_per_task,
     )
     price = F.round("l_extendedprice", 2).alias("price")
     return big(rounded(df.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", price)))
@@ -276,5 +276,5 @@ def dedupe_key(spark, folder):
 
 @query("dedupe_key_hot_keys", _DEDUPE)
 def dedupe_key_hot_keys(spark, folder):
-    """The same with keys of more than two rows pre-aggregated."""
-    return _deduped(spark, folder, rows_per_task=2)
+    """The same with every row three times."""
+    return _deduped(spark, folder, copies=3)

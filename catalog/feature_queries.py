@@ -1,6 +1,6 @@
 """The 24 features."""
 
-from catalog.base import COLS, cut_size, pick, query, txn
+from catalog.base import COLS, CUT_ROWS, pick, query, txn
 from swipelake.plans import features
 
 _TIME = """
@@ -77,7 +77,7 @@ def features_all(spark, folder):
 def features_all_hot_keys(spark, folder):
     """The same with busy customers treated as hot keys."""
     df = txn(spark, folder)
-    return _family(features.all_features(df, COLS, rows_per_task=cut_size(df)), None)
+    return _family(features.all_features(df, COLS, rows_per_task=CUT_ROWS), None)
 
 
 @query(

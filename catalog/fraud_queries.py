@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import COLS, big, cut_size, pick, placed, query, rounded, txn
+from catalog.base import COLS, CUT_ROWS, big, pick, placed, query, rounded, txn
 from swipelake.plans import fraud, geography
 
 
@@ -290,7 +290,7 @@ def geo_bucket(spark, folder):
 )
 def geo_bucket_hot_keys(spark, folder):
     base = txn(spark, folder)
-    df = geography.geographic_features(base, COLS, rows_per_task=cut_size(base))
+    df = geography.geographic_features(base, COLS, rows_per_task=CUT_ROWS)
     return pick(df, "transaction_id", "distance_bucket", "is_unusual_location")
 
 

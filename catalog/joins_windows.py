@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import big, cut_size, pick, query, rounded, table, txn
+from catalog.base import CUT_ROWS, big, pick, query, rounded, table, txn
 from swipelake.operators import joins, layout
 from swipelake.operators.windows import (
     KeyedWindows,
@@ -106,7 +106,7 @@ def salted_join(spark, folder):
     """Busy suppliers count as hot keys."""
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
-    cut = cut_size(lines, 1000)
+    cut = CUT_ROWS
     joined = joins.salted_join(lines, suppliers, ["s_suppkey"], 8, rows_per_task=cut)
     made = joined.groupBy("s_suppkey", "s_nationkey").agg(
         F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("price")
@@ -253,7 +253,7 @@ def windows_hot_keys(spark, folder):
         "event_id", "user_id", "ts", F.date_trunc("day", "ts").alias("day"), "value"
     )
     made = (
-        KeyedWindows(df, "user_id", "day", tie_break=["ts", "event_id"], rows_per_task=cut_size(df))
+        KeyedWindows(df, "user_id", "day", tie_break=["ts", "event_id"], rows_per_task=CUT_ROWS)
         .running_total("value", "total")
         .running_average("value", "average")
         .row_number("rn")
@@ -292,7 +292,7 @@ def sessionize_(spark, folder):
 @query("sessionize_hot_keys", _SESSIONS.format(gap=43200) + "SELECT event_id, session_id FROM s")
 def sessionize_hot_keys(spark, folder):
     events = _events(spark, folder)
-    df = sessionize(events, "user_id", "ts", 720, "event_id", rows_per_task=cut_size(events))
+    df = sessionize(events, "user_id", "ts", 720, "event_id", rows_per_task=CUT_ROWS)
     return df.select("event_id", "session_id")
 
 
@@ -310,23 +310,45 @@ def session_summary_(spark, folder):
 # ---- layout ---------------------------------------------------------------------------------
 
 
-@query("partition_profile", "SELECT 8::BIGINT AS num_partitions, count(*) / 8.0::DOUBLE AS avg_size FROM orders")
+def _by_status(spark, folder):
+    """Orders with one partition for each status."""
+    orders = table(spark, folder, "orders").filter("o_orderstatus IN ('F', 'O', 'P')")
+    return orders.repartitionById(3, F.instr(F.lit("FOP"), F.col("o_orderstatus")) - 1)
+
+
+@query(
+    "partition_profile",
+    """
+SELECT count(*) AS num_partitions, min(n) AS min_size, max(n) AS max_size, avg(n) AS avg_size
+FROM (SELECT count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderstatus)
+""",
+)
 def partition_profile(spark, folder):
-    """Smallest and largest size depend on the run and are left out."""
-    spread = layout.repartition_to(table(spark, folder, "orders"), 8)
-    return layout.partition_profile(spread).select("num_partitions", "avg_size")
+    return layout.partition_profile(_by_status(spark, folder))
+
+
+@query(
+    "coalesce_if_needed",
+    """
+SELECT CASE WHEN n / p >= 10000 THEN p ELSE greatest(1, n // 10000) END::BIGINT AS num_partitions, n AS total
+FROM (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS p FROM orders WHERE o_orderstatus IN ('F', 'O', 'P'))
+""",
+)
+def coalesce_if_needed(spark, folder):
+    found = layout.partition_profile(layout.coalesce_if_needed(_by_status(spark, folder)))
+    total = (F.col("avg_size") * F.col("num_partitions")).cast("long").alias("total")
+    return found.select("num_partitions", total)
 
 
 @query(
     "compact",
-    "SELECT l_orderkey, count(*) AS n, rnd(sum(l_quantity), 2) AS q FROM lineitem GROUP BY l_orderkey",
+    """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_extendedprice, l_discount,
+       l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem
+""",
 )
 def compact(spark, folder):
-    df = layout.compact(table(spark, folder, "lineitem").select("l_orderkey", "l_quantity"))
-    made = df.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")
-    )
-    return rounded(made, 2)
+    return big(layout.compact(table(spark, folder, "lineitem")))
 
 
 @query(
@@ -364,4 +386,4 @@ def group_stats_(spark, folder):
 
     df = table(spark, folder, "events").select("event_id", "event_type", "value")
     aggs = {"n": F.count(F.lit(1)), "mean": F.avg("value")}
-    return pick(group_stats(df, ["event_type"], aggs, rows_per_task=cut_size(df)), "event_id", "n", "mean")
+    return pick(group_stats(df, ["event_type"], aggs, rows_per_task=CUT_ROWS), "event_id", "n", "mean")

@@ -1,9 +1,13 @@
 """Segments and the classifier."""
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.base import COLS, big, pick, query, rounded, txn
 from swipelake.plans import features, geography, model, segments
+from swipelake.scratch import written
 
 _METRICS = """
 c AS (SELECT customer_id, count(*) AS txn_count, sum(amount) AS total_amount, avg(amount) AS avg_amount,
@@ -70,6 +74,30 @@ def segment_profiles_fitted(spark, folder):
     return segments.segment_profiles(segments.customer_segments(df, COLS))
 
 
+@query(
+    "kmeans_nearest",
+    "SELECT 0::BIGINT AS misplaced, count(DISTINCT user_id) AS customers, 4::BIGINT AS most_segments FROM events",
+)
+def kmeans_nearest(spark, folder):
+    """Customers that do not sit at their nearest centre, and customers over all segments."""
+    metrics = written(_metrics(spark, folder), "segment-metrics")
+    fitted = segments.fit_segments(metrics)
+    assigned = fitted.transform(metrics).withColumn("at", vector_to_array("features"))
+
+    def distance(centre):
+        parts = [(F.col("at")[i] - F.lit(float(c))) ** 2 for i, c in enumerate(centre)]
+        return reduce(lambda a, b: a + b, parts)
+
+    to = F.array(*[distance(c) for c in fitted.stages[-1].clusterCenters()])
+    off = F.count_if(to[F.col("segment")] > F.array_min(to) + 1e-9)
+    sizes = assigned.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), off.alias("off"))
+    return sizes.agg(
+        F.sum("off").alias("misplaced"),
+        F.sum("n").alias("customers"),
+        F.greatest(F.lit(4), F.count(F.lit(1))).cast("long").alias("most_segments"),
+    )
+
+
 # ---- classifier -------------------------------------------------------------------------------
 
 
@@ -111,7 +139,7 @@ def _trained(spark, folder):
     df = _model_rows(spark, folder)
     inputs = model.ModelInputs.of(df, COLS)
     train, test = model.split(model.prepare(df, inputs), "transaction_id", "is_fraud")
-    return model.train(train, inputs, trees=20, depth=6), train, test, inputs
+    return model.train(train, inputs), train, test, inputs
 
 
 @query("ml_train_score")
@@ -126,6 +154,54 @@ def ml_metrics(spark, folder):
     return model.model_summary(fitted, train, test, inputs)
 
 
+@query(
+    "ml_scored_ids",
+    """
+SELECT transaction_id FROM txn
+WHERE ('0x' || substr(md5('42:split:' || is_fraud || ':' || transaction_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2
+""",
+)
+def ml_scored_ids(spark, folder):
+    """Every row of the test side gets a prediction of 0 or 1."""
+    fitted, _, test, inputs = _trained(spark, folder)
+    return model.score(fitted, test, inputs).filter("prediction IN (0.0, 1.0)").select("transaction_id")
+
+
+def _rule_trained(spark, folder):
+    """A label that the one feature decides."""
+    flag = (F.col("amount") > 100).cast("int")
+    df = txn(spark, folder).select("transaction_id", "amount", flag.alias("flag"), flag.alias("is_fraud"))
+    inputs = model.ModelInputs(("flag",), ())
+    train, test = model.split(model.prepare(df, inputs), "transaction_id", "is_fraud")
+    return model.train(train, inputs), test, inputs
+
+
+_RULE_TEST = """
+t AS (SELECT transaction_id, CASE WHEN amount > 100 THEN 1 ELSE 0 END AS label FROM txn),
+s AS (SELECT *, ('0x' || substr(md5('42:split:' || label || ':' || transaction_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2
+ AS is_test FROM t)"""
+
+
+@query(
+    "ml_rule_predictions",
+    f"WITH {_RULE_TEST} SELECT transaction_id, label::DOUBLE AS prediction FROM s WHERE is_test",
+)
+def ml_rule_predictions(spark, folder):
+    fitted, test, inputs = _rule_trained(spark, folder)
+    return model.score(fitted, test, inputs).select("transaction_id", "prediction")
+
+
+@query(
+    "ml_rule_metrics",
+    f"""WITH {_RULE_TEST}, c AS (SELECT count(*) FILTER (label = 1)::DOUBLE AS p, count(*) FILTER (label = 0)::DOUBLE AS n FROM s WHERE is_test)
+SELECT unnest(['auc_roc', 'auc_pr', 'true_positive', 'false_positive', 'true_negative', 'false_negative', 'accuracy',
+  'precision', 'recall', 'f1_score']) AS metric, unnest([1.0, 1.0, p, 0.0, n, 0.0, 1.0, 1.0, 1.0, 1.0]::DOUBLE[]) AS "value" FROM c""",
+)
+def ml_rule_metrics(spark, folder):
+    fitted, test, inputs = _rule_trained(spark, folder)
+    return rounded(model.evaluate(fitted, test, inputs), 6)
+
+
 _MATRIX = """
 m AS (SELECT count(*) FILTER (is_fraud = 1 AND amount > 100) AS true_positive,
   count(*) FILTER (is_fraud = 0 AND amount > 100) AS false_positive,

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from swipelake.columns import numeric_columns, present
 from swipelake.functions import bands
-from swipelake.skew import find_hot_keys
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -110,14 +109,31 @@ def fill_nulls_median(
 
 
 def fill_nulls_mode(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Most frequent value, the lowest on ties; counted by a shuffle, not in one task's memory."""
+    """Most frequent value, the lowest on ties; all columns are counted in one pass by one shuffle."""
     names = present(df, df.columns if subset is None else subset)
+    if not names:
+        return df
+    types = [df.schema[c].dataType for c in names]
+    kinds = list(dict.fromkeys(t.simpleString() for t in types))
+
+    def place(kind: str) -> str:
+        return f"v{kinds.index(kind)}"
 
-    def most_frequent(name: str) -> Column:
-        counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-        return counts.agg(F.min_by(name, F.struct(-F.col("_n"), F.col(name)))).scalar()
+    def value(at: int, name: str) -> Column:
+        own = types[at].simpleString()
+        typed = [(F.col(name) if k == own else F.lit(None).cast(k)).alias(place(k)) for k in kinds]
+        return F.struct(F.lit(at).alias("at"), *typed)
 
-    return _fill_with(df, {c: most_frequent(c) for c in names})
+    flat = df.select(F.inline(F.array(*[value(i, c) for i, c in enumerate(names)])))
+    held = reduce(lambda a, b: a | b, [F.col(place(k)).isNotNull() for k in kinds])
+    counts = flat.filter(held).groupBy("at", *map(place, kinds)).agg(F.count(F.lit(1)).alias("n"))
+
+    def most_frequent(at: int) -> Column:
+        own = F.col(place(types[at].simpleString()))
+        return F.min_by(own, F.when(F.col("at") == at, F.struct(-F.col("n"), own)))
+
+    found = counts.agg(F.struct(*[most_frequent(i).alias(c) for i, c in enumerate(names)])).scalar()
+    return _fill_with(df, {c: found[c] for c in names})
 
 
 # ---- filters and derived columns -----------------------------------------------------------
@@ -212,15 +228,12 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def drop_duplicates(
-    df: DataFrame,
-    keys: Sequence[str] | None = None,
-    keep_first_by: Sequence[str] | None = None,
-    rows_per_task: int | None = None,
+    df: DataFrame, keys: Sequence[str] | None = None, keep_first_by: Sequence[str] | None = None
 ) -> DataFrame:
     """Distinct rows, or one row per key: the first by ``keep_first_by``, then all columns.
 
-    Distinct rows are pre-aggregated, so many copies of a row shrink before the shuffle. Per
-    key, a row number picks the row; copies of a hot key are pre-aggregated instead.
+    Distinct rows are pre-aggregated. Per key a row number picks the row; Spark keeps each map task's
+    first row of a key before the shuffle, so the copies of a hot key shrink there.
     """
     if keys is None:
         return df.dropDuplicates()
@@ -228,17 +241,8 @@ def drop_duplicates(
     if not rest:
         return df.select(*keys).distinct().select(*df.columns)
     first = list(keep_first_by or [])
-    order = [*first, *[c for c in rest if c not in first]]
-    hot = find_hot_keys(df, keys, rows_per_task)
-    by_order = Window.partitionBy(*keys).orderBy(*order)
-    plain = (df if hot is None else hot.others(df)).withColumn("_at", F.row_number().over(by_order))
-    plain = plain.filter(F.col("_at") == 1).drop("_at")
-    if hot is None:
-        return plain
-    kept = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    one = hot.rows(df).groupBy(*keys).agg(kept)
-    fields = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
-    return plain.unionByName(one.select(*fields))
+    by_order = Window.partitionBy(*keys).orderBy(*first, *[c for c in rest if c not in first])
+    return df.withColumn("_at", F.row_number().over(by_order)).filter(F.col("_at") == 1).drop("_at")
 
 
 def cleanse(

@@ -13,17 +13,14 @@ from swipelake.columns import present
 from swipelake.functions.bands import mapped
 from swipelake.scratch import written
 from swipelake.skew import (
+    ROWS_PER_TASK,
     HotKeys,
     count_hot_keys,
     find_hot_keys,
     hashable,
-    is_small,
-    source_bytes,
 )
 
 BROADCAST_BYTES = 64 << 20
-# Limit for written tables, whose files are compressed.
-BROADCAST_FILE_BYTES = 16 << 20
 
 
 def measured_bytes(df: DataFrame) -> float:
@@ -76,9 +73,9 @@ def salted_join(
     hot: HotKeys | None = None,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Equi-join with each hot key of ``big`` spread over ``salts`` tasks.
+    """Equi-join with each hot key of ``big`` spread over tasks: ``salts``, or more for a larger key.
 
-    Hot keys are searched for unless given; without any this is a plain join. The salt is a
+    A key gets as many salts as it holds times ``rows_per_task`` rows. Hot keys are searched for unless given; without any this is a plain join. The salt is a
     hash of the row, so a recomputed task gives the same rows. Only the rows of ``small`` that
     have a hot key are repeated, once per salt.
     """
@@ -103,13 +100,13 @@ def salted_join(
 def _salted(
     big: DataFrame, small: DataFrame, on: list[str], salts: int, how: str, hot: HotKeys
 ) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable(big)]), F.lit(salts)).cast("int")
-    copies = F.sequence(F.lit(0), F.lit(salts - 1))
-    left = hot.mark(big).withColumn("_salt", F.when(F.col("_is_hot"), salt).otherwise(0))
-    right = hot.mark(small).withColumn(
-        "_salt", F.explode(F.when(F.col("_is_hot"), copies).otherwise(F.array(F.lit(0))))
-    )
-    joined = left.drop("_is_hot").join(right.drop("_is_hot"), [*on, "_salt"], how)
+    wanted = F.greatest(F.lit(salts), F.ceil(F.col("_hot_rows") / hot.rows_per_task)).cast("int")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable(big)]), wanted).cast("int")
+    is_hot, none = F.col("_hot_rows").isNotNull(), F.array(F.lit(0))
+    left = hot.mark(big).withColumn("_salt", F.when(is_hot, salt).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), wanted - 1)).otherwise(none)
+    right = hot.mark(small).withColumn("_salt", F.explode(copies))
+    joined = left.drop("_hot_rows").join(right.drop("_hot_rows"), [*on, "_salt"], how)
     return joined.drop("_salt")
 
 
@@ -121,8 +118,8 @@ def join_group_stats(
 ) -> DataFrame:
     """Aggregates per key of ``rows`` (default ``df``) left-joined to each row of ``df``.
 
-    For a large input the aggregate is written first: its true size then decides on a
-    broadcast, and beyond that its row counts name the hot keys to salt.
+    The aggregate is written first: its measured size decides on a broadcast, and beyond that its row
+    counts name the hot keys to salt.
     Column order of ``df`` is kept; a NULL key matches nothing.
     """
     keys = list(keys)
@@ -130,14 +127,11 @@ def join_group_stats(
         *[c.alias(n) for n, c in aggs.items()], F.count(F.lit(1)).alias("_rows")
     )
     kept = [*keys, *aggs]
-    if is_small(df):
-        joined = df.join(stats.select(*kept), keys, "left")
+    stats = written(stats, "stats")
+    if measured_bytes(stats) <= BROADCAST_BYTES:
+        joined = df.join(F.broadcast(stats.select(*kept)), keys, "left")
+    elif hot := count_hot_keys(stats, keys, F.col("_rows"), ROWS_PER_TASK):
+        joined = salted_join(df, stats.select(*kept), keys, 64, "left", hot)
     else:
-        stats = written(stats, "stats")
-        if source_bytes(stats) <= BROADCAST_FILE_BYTES:
-            joined = df.join(F.broadcast(stats.select(*kept)), keys, "left")
-        elif hot := count_hot_keys(stats, keys, F.col("_rows")):
-            joined = salted_join(df, stats.select(*kept), keys, 64, "left", hot)
-        else:
-            joined = df.join(stats.select(*kept), keys, "left")
+        joined = df.join(stats.select(*kept), keys, "left")
     return joined.select(*df.columns, *aggs)

@@ -39,7 +39,9 @@ def size_shuffles(df: DataFrame, partition_bytes: int = 128 << 20, growth: float
     """
     wanted = math.ceil(source_bytes(df) * growth / partition_bytes)
     spark = df.sparkSession
-    wanted = min(MAX_SHUFFLE_PARTITIONS, max(wanted, spark.sparkContext.defaultParallelism))
+    wanted = max(wanted, spark.sparkContext.defaultParallelism)
+    if wanted > MAX_SHUFFLE_PARTITIONS:
+        raise ValueError(f"{wanted} shuffle partitions; choose larger partition_bytes")
     spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return wanted
 
@@ -55,6 +57,13 @@ def coalesce_to(df: DataFrame, rows: int, partitions: int, min_rows: int = 10_00
     return df.coalesce(max(1, int(rows / min_rows)))
 
 
+def coalesce_if_needed(df: DataFrame, min_rows: int = 10_000) -> DataFrame:
+    """``coalesce_to`` after counting rows and non-empty partitions, which takes one pass."""
+    found = partition_profile(df).first()
+    partitions = found["num_partitions"]
+    return coalesce_to(df, int((found["avg_size"] or 0) * partitions), partitions, min_rows)
+
+
 def compact(df: DataFrame, path: str | None = None, max_records: int = 0) -> DataFrame:
     """Write in evenly sized files and read back."""
     path = path or scratch_path(df.sparkSession, "compact")

@@ -174,19 +174,18 @@ def run_rules(df: DataFrame, *rules: Rule) -> DataFrame:
             (failed == 0).alias("passed"),
         )
 
-    predicates = [r for r in rules if r.predicate is not None]
-    frames = []
-    counted = F.count(F.lit(1)).alias("_total")
-    if predicates:
-        bad = [F.count_if(r.predicate).alias(f"_bad{i}") for i, r in enumerate(predicates)]
-        made = [row(r, F.col(f"_bad{i}")) for i, r in enumerate(predicates)]
-        frames.append(_unpivot(df.agg(counted, *bad), made))
-    for rule in rules:
-        if rule.predicate is None:
-            failed = rule.fails(df).agg(F.count(F.lit(1)).alias("_bad"))
-            both = failed.withColumn("_total", df.agg(counted).scalar())
-            frames.append(_unpivot(both, [row(rule, F.col("_bad"))]))
-    return reduce(DataFrame.unionByName, frames)
+    if not rules:
+        return df.sparkSession.createDataFrame(
+            [], "rule string, severity string, failed_count long, total_count long, pass_rate double, passed boolean"
+        )
+    bad = [F.count_if(r.predicate).alias(f"_bad{i}") for i, r in enumerate(rules) if r.predicate is not None]
+    counted = df.agg(F.count(F.lit(1)).alias("_total"), *bad)
+    keyed = {
+        f"_bad{i}": r.fails(df).agg(F.count(F.lit(1)).alias("_n")).scalar()
+        for i, r in enumerate(rules)
+        if r.predicate is None
+    }
+    return _unpivot(counted.withColumns(keyed), [row(r, F.col(f"_bad{i}")) for i, r in enumerate(rules)])
 
 
 def rules_summary(results: DataFrame) -> DataFrame:

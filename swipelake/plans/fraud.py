@@ -368,7 +368,7 @@ def findings(
             F.col("_at") + 1,
             F.format_string(
                 "Merchant %s: %d frauds (%.2f%%)",
-                F.substring(F.col(cols.merchant).cast("string"), 1, 40),
+                F.col(cols.merchant).cast("string"),
                 "fraud_count",
                 "fraud_rate_percent",
             ),

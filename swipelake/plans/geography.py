@@ -11,6 +11,11 @@ from swipelake.functions.geo import haversine_km
 from swipelake.skew import group_stats
 
 
+# Medians are exact for customers of up to so many rows, however these are split; beyond that the
+# rank is off by at most one in so many.
+MEDIAN_ACCURACY = 1_000_000
+
+
 def geographic_features(
     df: DataFrame,
     cols: TxnColumns = DEFAULT_COLUMNS,
@@ -25,8 +30,8 @@ def geographic_features(
     present(df, [cols.customer, cols.lat, cols.lon, cols.merch_lat, cols.merch_lon])
     has_state = cols.state in df.columns
     stats = {
-        "customer_median_lat": F.percentile_approx(cols.lat, 0.5),
-        "customer_median_long": F.percentile_approx(cols.lon, 0.5),
+        "customer_median_lat": F.percentile_approx(cols.lat, 0.5, MEDIAN_ACCURACY),
+        "customer_median_long": F.percentile_approx(cols.lon, 0.5, MEDIAN_ACCURACY),
     }
     if has_state:
         by = [c for c in (cols.timestamp, cols.transaction_id) if c in df.columns]

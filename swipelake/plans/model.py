@@ -73,10 +73,17 @@ def split(
 
 
 def train(
-    rows: DataFrame, inputs: ModelInputs, trees: int = 100, depth: int = 10, seed: int = 42
+    rows: DataFrame,
+    inputs: ModelInputs,
+    trees: int = 100,
+    depth: int = 10,
+    seed: int = 42,
+    max_bins: int = 32,
 ) -> PipelineModel:
     """Fit indexers and forest. The needed columns are written once for all tree levels.
 
+    A category column may have at most ``max_bins`` values, which bounds what its indexer brings to the driver.
+
     The model is saved and read back: the copy does not hold the training summary, which keeps
     a reference to the session and cannot be sent to executors once metrics were observed in it.
     """
@@ -95,7 +102,12 @@ def train(
     )
     stages.append(
         RandomForestClassifier(
-            labelCol=inputs.label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed
+            labelCol=inputs.label,
+            featuresCol="features",
+            numTrees=trees,
+            maxDepth=depth,
+            seed=seed,
+            maxBins=max_bins,
         )
     )
     path = scratch_path(rows.sparkSession, "model")

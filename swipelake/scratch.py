@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from swipelake.sources.files import remove_path
+
 
 @functools.cache
 def _local_folder() -> str:
@@ -29,6 +31,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_tables: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that ``written`` has made so far. Call it when no frame made from them is needed."""
+    while _tables:
+        remove_path(spark, _tables.pop())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -37,4 +48,5 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,12 +23,9 @@ from pyspark.sql.window import Window, WindowSpec
 from swipelake.scratch import written
 
 ROWS_PER_TASK = 10_000_000
-# Below this much source data no key can overload a task, so no search is made.
-SMALL_INPUT_BYTES = 64 << 20
-# Bounds every per-hot-key table. Keys left out hold under 1/MAX_HOT_KEYS of the rows each and
-# are handled as ordinary keys.
+# Bounds every per-hot-key table and the per-piece tables. Beyond them the caller must choose a larger
+# ``rows_per_task``; nothing is left out.
 MAX_HOT_KEYS = 20_000
-# Bounds the per-piece tables and the task count; beyond it the pieces just get larger.
 MAX_PIECES = 50_000
 
 
@@ -38,10 +35,6 @@ def source_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def is_small(df: DataFrame) -> bool:
-    return source_bytes(df) <= SMALL_INPUT_BYTES
-
-
 def key_hash(keys: Sequence[str]) -> Column:
     """One long per key; NULL keys have a value too. A collision only makes a key hot needlessly."""
     return F.xxhash64(*[F.col(k) for k in keys])
@@ -49,17 +42,21 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hashes of the hot keys (at most MAX_HOT_KEYS) and how many rows they hold together."""
+    """Hashes of the hot keys (at most MAX_HOT_KEYS) and how many rows each holds."""
 
     keys: tuple[str, ...]
     hashes: tuple[int, ...]
-    total_rows: int
+    sizes: tuple[int, ...]
     rows_per_task: int
 
+    @property
+    def total_rows(self) -> int:
+        return sum(self.sizes)
+
     def frame(self, df: DataFrame) -> DataFrame:
-        """The hashes as a table; bounded, so it may be broadcast."""
-        hashes = pa.table({"_hot_hash": pa.array(self.hashes, pa.int64())})
-        return F.broadcast(df.sparkSession.createDataFrame(hashes))
+        """The hashes and row counts as a table; bounded, so it may be broadcast."""
+        held = {"_hot_hash": pa.array(self.hashes, pa.int64()), "_hot_rows": pa.array(self.sizes, pa.int64())}
+        return F.broadcast(df.sparkSession.createDataFrame(pa.table(held)))
 
     def rows(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys."""
@@ -69,12 +66,15 @@ class HotKeys:
         return df.join(self.frame(df), key_hash(self.keys) == F.col("_hot_hash"), "left_anti")
 
     def mark(self, df: DataFrame) -> DataFrame:
-        """All rows with a boolean ``_is_hot``."""
+        """All rows with ``_hot_rows``: the rows of their key, or NULL where it is not hot."""
         marked = df.join(self.frame(df), key_hash(self.keys) == F.col("_hot_hash"), "left")
-        return marked.withColumn("_is_hot", F.col("_hot_hash").isNotNull()).drop("_hot_hash")
+        return marked.drop("_hot_hash")
 
     def pieces(self) -> int:
-        return min(MAX_PIECES, max(1, math.ceil(self.total_rows / self.rows_per_task)))
+        wanted = max(1, math.ceil(self.total_rows / self.rows_per_task))
+        if wanted > MAX_PIECES:
+            raise ValueError(f"{wanted} pieces of {self.rows_per_task} rows; choose more rows_per_task")
+        return wanted
 
 
 def count_hot_keys(
@@ -88,29 +88,23 @@ def count_hot_keys(
         df.groupBy(key_hash(keys).alias("h"))
         .agg(F.sum(rows).alias("n"))
         .filter(F.col("n") > rows_per_task)
-        .orderBy(F.desc("n"), "h")
-        .limit(MAX_HOT_KEYS)
+        .limit(MAX_HOT_KEYS + 1)
         .collect()
     )
+    if len(found) > MAX_HOT_KEYS:
+        raise ValueError(f"over {MAX_HOT_KEYS} keys hold over {rows_per_task} rows; choose more rows_per_task")
     if not found:
         return None
     return HotKeys(
-        tuple(keys), tuple(r["h"] for r in found), sum(r["n"] for r in found), rows_per_task
+        tuple(keys), tuple(r["h"] for r in found), tuple(r["n"] for r in found), rows_per_task
     )
 
 
 def find_hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None
 ) -> HotKeys | None:
-    """One pass over the key columns. None when no key is hot.
-
-    With ``rows_per_task`` unset, inputs under SMALL_INPUT_BYTES are not searched.
-    """
-    if rows_per_task is None:
-        if is_small(df):
-            return None
-        rows_per_task = ROWS_PER_TASK
-    return count_hot_keys(df, keys, F.lit(1).cast("long"), rows_per_task)
+    """One pass over the key columns. None when no key is hot."""
+    return count_hot_keys(df, keys, F.lit(1).cast("long"), rows_per_task or ROWS_PER_TASK)
 
 
 def hashable(df: DataFrame) -> list[str]:

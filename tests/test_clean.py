@@ -136,9 +136,18 @@ def test_duplicates(spark):
     df = spark.createDataFrame(rows, "k int, t int, v string")
     assert clean.cleanse(df).count() == 4
     assert clean.cleanse(df, nulls=True).count() == 2
-    for rows_per_task in (None, 1, 2):
-        got = set(values(clean.drop_duplicates(df, ["k"], ["t"], rows_per_task)))
-        assert got == {(1, 3, "z"), (None, 1, "n")}
+    got = set(values(clean.drop_duplicates(df, ["k"], ["t"])))
+    assert got == {(1, 3, "z"), (None, 1, "n")}
+    plan = clean.drop_duplicates(df, ["k"], ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+
+
+def test_modes_take_one_scan(spark, tmp_path):
+    rows = [(1, "b", 2.5), (1, "a", None), (2, "a", 2.5), (3, "b", 1.0), (None, None, None)]
+    spark.createDataFrame(rows, "i int, s string, d double").write.parquet(f"{tmp_path}/m")
+    made = clean.fill_nulls_mode(spark.read.parquet(f"{tmp_path}/m"))
+    assert values(made.filter("i = 1 and s = 'a'")) == [(1, "a", 2.5)]
+    assert (1, "a", 2.5) in values(made) and made.filter("i is null or s is null or d is null").count() == 0
 
 
 def test_scalars(spark):

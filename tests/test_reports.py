@@ -76,16 +76,14 @@ def test_features_hot_customer(made):
 
 
 def test_merchant_join_of_large_input(made, monkeypatch):
-    """The path for inputs that are not small: written statistics, salted hot merchants."""
+    """Statistics beyond the broadcast limit, and salted hot merchants."""
     from swipelake.operators import joins
 
     plain = by_id(features.merchant_features(made, COLS))
-    monkeypatch.setattr(joins, "is_small", lambda df: False)
-    assert by_id(features.merchant_features(made, COLS)) == plain
-    monkeypatch.setattr(joins, "BROADCAST_FILE_BYTES", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     assert by_id(features.merchant_features(made, COLS)) == plain
     counts = joins.count_hot_keys
-    monkeypatch.setattr(joins, "count_hot_keys", lambda s, k, r: counts(s, k, r, 200))
+    monkeypatch.setattr(joins, "count_hot_keys", lambda s, k, r, _: counts(s, k, r, 200))
     assert by_id(features.merchant_features(made, COLS)) == plain
 
 

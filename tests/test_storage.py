@@ -232,6 +232,8 @@ def test_layout(spark):
     assert one["num_partitions"] == 8 and one["avg_size"] == 125
     assert layout.coalesce_to(df.repartition(8), 1000, 8).rdd.getNumPartitions() == 1
     assert layout.coalesce_to(df.repartition(8), 10**6, 8).rdd.getNumPartitions() == 8
+    assert layout.coalesce_if_needed(df.repartition(8)).rdd.getNumPartitions() == 1
+    assert layout.coalesce_if_needed(df.repartition(8), 100).rdd.getNumPartitions() == 8
     assert layout.compact(df).count() == 1000
     seen = layout.map_batches(df, lambda b: b.assign(n=len(b))[["id", "n"]], "id long, n long", 100)
     assert seen.agg(F.max("n"), F.count("id")).first() == (100, 1000)
