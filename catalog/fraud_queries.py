@@ -240,6 +240,38 @@ def report_json(spark, folder):
     return made.select("category", "total_transactions", "fraud_rate_percent")
 
 
+@query(
+    "report_summaries",
+    f"""WITH {_ODD}, {_RATES.format(key='category')}, p AS ({_PATTERNS}),
+m AS (SELECT merchant_id, count(*) AS n, count(*) FILTER (is_fraud = 1) AS f FROM txn GROUP BY merchant_id),
+k AS (SELECT * FROM m WHERE n >= 10 ORDER BY round(f * 100.0::DOUBLE / n, 4) DESC, merchant_id LIMIT 20),
+h AS (SELECT hour(txn_ts) AS hr, round(count(*) FILTER (is_fraud = 1) * 100.0::DOUBLE / count(*), 2) AS rate FROM txn GROUP BY 1),
+e AS (SELECT count(*) FILTER (is_fraud = 1) AS f, round(count(*) FILTER (is_fraud = 1) * 100.0::DOUBLE / count(*), 4) AS rate,
+  round(sum(CASE WHEN is_fraud = 1 THEN amount ELSE 0 END), 2) AS lost FROM txn),
+o AS (SELECT count(*) AS n, count(*) FILTER (is_fraud = 1) AS f,
+  round(count(*) FILTER (is_fraud = 1) * 100.0::DOUBLE / count(*), 2) AS rate FROM a)
+SELECT 'executive_summary' AS section, 'Executive Summary' AS name,
+  format('Detected {{:,}} fraudulent transactions ({{:.2f}}%) totaling ${{:,.2f}}', f, rate, lost) AS summary FROM e
+UNION ALL SELECT 'fraud_by_category', 'Fraud by Category', format('Analyzed {{}} categories. Highest risk: {{}}',
+  count(*), arg_min(category, (-fraud_rate_percent, category))) FROM r
+UNION ALL SELECT 'fraud_by_merchant', 'Top 20 High-Risk Merchants', format('Identified {{}} merchants with fraud activity',
+  count(*) FILTER (f > 0)) FROM k
+UNION ALL SELECT 'high_risk_patterns', 'High-Risk Transaction Patterns', format('Analyzed {{}} transaction patterns', count(*)) FROM p
+UNION ALL SELECT 'anomalies', 'Anomaly Detection', format('Detected {{:,}} statistical anomalies, {{}} are fraud ({{:.1f}}%)', n, f, rate) FROM o
+UNION ALL SELECT 'fraud_by_hour', 'Time-Based Fraud Trends', format('Peak fraud hour: {{}}:00', arg_min(hr, (-rate, hr))) FROM h
+""",
+)
+def report_summaries(spark, folder):
+    """The sentences as written with the report."""
+    from swipelake.scratch import scratch_path
+    from swipelake.sources.files import read_json
+
+    path = scratch_path(spark, "report")
+    sections = fraud.report(txn(spark, folder), COLS)
+    fraud.write_report({"summaries": sections["summaries"]}, path)
+    return read_json(spark, f"{path}/summaries", schema=sections["summaries"].schema)
+
+
 # ---- geography ------------------------------------------------------------------------------
 
 

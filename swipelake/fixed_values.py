@@ -123,3 +123,13 @@ MODEL_NUMERIC = (
     "transaction_distance_km",
 )
 SEGMENT_INPUTS = ("txn_count", "avg_amount", "max_amount", "unique_merchants")
+
+# Names of the report's sections (fixed values).
+SECTION_NAMES = {
+    "executive_summary": "Executive Summary",
+    "fraud_by_category": "Fraud by Category",
+    "fraud_by_merchant": "Top 20 High-Risk Merchants",
+    "high_risk_patterns": "High-Risk Transaction Patterns",
+    "anomalies": "Anomaly Detection",
+    "fraud_by_hour": "Time-Based Fraud Trends",
+}

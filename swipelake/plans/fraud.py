@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swipelake.columns import DEFAULT_COLUMNS, TxnColumns, present
+from swipelake.fixed_values import SECTION_NAMES
 from swipelake.operators.clean import Step
 from swipelake.plans.cube import MEASURES, cube, facts
 
@@ -275,13 +276,14 @@ def peak_days(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, top: int = 2) -
 
 
 def report(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> dict[str, DataFrame]:
-    """All analyses by section.
+    """All analyses by section, with a ``summaries`` section of names and sentences.
 
     The counting sections share one pass over ``df``, made here and written as a cube; the
     amount sections (patterns, anomalies) read ``df`` once each, with one pass for its
     mean and deviation.
     """
-    return _sections(df, cube(df, cols), cols)
+    sections = _sections(df, cube(df, cols), cols)
+    return {**sections, "summaries": section_summaries(sections, cols)}
 
 
 def _sections(df: DataFrame, counts: DataFrame, cols: TxnColumns) -> dict[str, DataFrame]:
@@ -439,6 +441,47 @@ def findings(
     return reduce(DataFrame.unionByName, made)
 
 
+def section_summaries(sections: Mapping[str, DataFrame], cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
+    """``section, name, summary``: one sentence for each section of a report, from the section itself."""
+
+    def leading(key: str, rate: str) -> Column:
+        first = F.min_by(F.col(key), F.struct(-F.col(rate), F.col(key))).cast("string")
+        return F.coalesce(first, F.lit("N/A"))
+
+    rows = F.count(F.lit(1))
+    odd_rate = F.coalesce("anomaly_fraud_rate_percent", F.lit(0.0))
+    asked = {
+        "executive_summary": F.format_string(
+            "Detected %,d fraudulent transactions (%.2f%%) totaling $%,.2f",
+            "fraud_transactions",
+            F.coalesce("fraud_rate_percent", F.lit(0.0)),
+            F.coalesce("fraud_amount", F.lit(0.0)),
+        ),
+        "fraud_by_category": F.format_string(
+            "Analyzed %d categories. Highest risk: %s", rows, leading(cols.category, "fraud_rate_percent")
+        ),
+        "fraud_by_merchant": F.format_string(
+            "Identified %d merchants with fraud activity", F.count_if(F.col("fraud_count") > 0)
+        ),
+        "high_risk_patterns": F.format_string("Analyzed %d transaction patterns", rows),
+        "anomalies": F.format_string(
+            "Detected %,d statistical anomalies, %d are fraud (%.1f%%)",
+            "total_anomalies",
+            "fraudulent_anomalies",
+            odd_rate,
+        ),
+        "fraud_by_hour": F.format_string("Peak fraud hour: %s:00", leading("hour", "fraud_rate")),
+    }
+    whole = ("executive_summary", "anomalies")  # already one row
+    made = []
+    for section, text in asked.items():
+        frame = sections[section]
+        one = frame.select(text.alias("summary")) if section in whole else frame.agg(text.alias("summary"))
+        name = F.lit(SECTION_NAMES[section]).alias("name")
+        made.append(one.select(F.lit(section).alias("section"), name, "summary"))
+    return reduce(DataFrame.unionByName, made)
+
+
 def write_report(sections: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
     """Each section as its own JSON dataset under ``path``."""
     for name, frame in sections.items():
