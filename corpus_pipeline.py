@@ -20,8 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    return jaccard.distinct_transactions(docs, DOCS)
+    """One document of each class of near copies: 80 % of the five-word windows are the same."""
+    return jaccard.distinct_transactions(docs, DOCS, size=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
