@@ -23,15 +23,15 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 # Parts that are no finding alone: who, with what, and where.
 IDENTIFIER = (
     r"""(?<![A-Za-z0-9_])(?i:user(?:name|_id)?|login|client_?id|account|access_?key(?:_id)?)["']?\x20{0,4}"""
-    r"""[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,64}+"""
+    r"""[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}+"""
 )
 SECRET = (
     r"""(?<![A-Za-z0-9_])(?i:pass|pwd|passphrase|credential|private_?key|auth)["']?\x20{0,4}"""
-    r"""[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=-]{6,256}+"""
+    r"""[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=-]{6,}+"""
 )
 ENDPOINT = (
     r"(?<![A-Za-z0-9])(?i:https?|ftp|sftp|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)"
-    r"://[A-Za-z0-9._~:@%-]{3,256}+"
+    r"://[A-Za-z0-9._~:@%-]{3,}+"
 )
 
 
@@ -77,63 +77,40 @@ def weak_parts(text: Column) -> Column:
 
 
 def link_parts(parts: DataFrame, scope: int) -> DataFrame:
-    """Weak parts that a complementary part meets within ``scope`` characters.
+    """Weak parts that a complementary part meets: its nearest character is at most ``scope`` places away.
 
     ``parts`` has ``row, start, end, role, weak``; roles are identifier, secret and endpoint. The interval
-    join goes by blocks of one scope: all starts of a block are within reach of each other, and of the
-    two blocks beside it the nearest start tells, so each block is one row and nothing is paired. A
-    part is linked when a secret meets an identifier or an endpoint, and either of these a secret.
+    join goes by blocks of one scope, and nothing is paired. Each block keeps the first start and the last end
+    of every role among the parts that touch it. A part meets all that touch a block of its own; what touches
+    only the blocks beside them lies on one side, so there the nearest start or end tells. A part is
+    linked when a secret meets an identifier or an endpoint, and either of these a secret.
     """
-    placed = parts.withColumn("block", F.floor(F.col("start") / scope))
-    blocks = placed.groupBy("row", "block").agg(
-        *[
-            agg(F.when(F.col("role") == role, F.col("start"))).alias(f"{role}_{name}")
-            for role in LINKED
-            for name, agg in (("first", F.min), ("last", F.max))
-        ]
-    )
-    reach = blocks.select(
-        "row",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        (F.col("block") + step).alias("block"),
-                        *[
-                            F.col(f"{role}_{end}").alias(f"{role}_{side}")
-                            if side == mine
-                            else F.lit(None).cast("long").alias(f"{role}_{side}")
-                            for role in LINKED
-                            for side, end in (("before", "last"), ("beside", "first"), ("behind", "first"))
-                        ],
-                    )
-                    for step, mine in ((1, "before"), (0, "beside"), (-1, "behind"))
-                ]
-            )
-        ).alias("b"),
-    ).select("row", "b.*")
-    near = reach.groupBy("row", "block").agg(
-        *[
-            F.max(f"{role}_{side}").alias(f"{role}_{side}")
-            for role in LINKED
-            for side in ("before", "beside", "behind")
-        ]
+    placed = parts.withColumn("last", F.greatest(F.col("end") - 1, F.col("start")))
+    placed = placed.withColumn("low", F.floor(F.col("start") / scope)).withColumn("high", F.floor(F.col("last") / scope))
+    blocks = (
+        placed.withColumn("block", F.explode(F.sequence("low", "high")))
+        .groupBy("row", "block")
+        .agg(
+            *[
+                agg(F.when(F.col("role") == role, F.col(side))).alias(f"{role}_{side}")
+                for role in LINKED
+                for side, agg in (("start", F.min), ("last", F.max))
+            ]
+        )
     )
-    start = F.col("start")
+    reach = F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)).alias("block")
+    asked = placed.filter("weak").select("row", "start", "end", "last", "role", reach)
 
     def meets(role: str) -> Column:
-        return F.coalesce(
-            F.col(f"{role}_beside").isNotNull()
-            | (start - F.col(f"{role}_before") <= scope)
-            | (F.col(f"{role}_behind") - start <= scope),
-            F.lit(False),
-        )
+        behind = F.col(f"{role}_start") - F.col("last")
+        before = F.col("start") - F.col(f"{role}_last")
+        return F.coalesce((behind <= scope) & (before <= scope), F.lit(False))
 
     complement = F.when(F.col("role") == "secret", meets("identifier") | meets("endpoint")).otherwise(
         meets("secret")
     )
-    weak = placed.filter("weak")
-    return weak.join(near, ["row", "block"]).filter(complement).select("row", "start", "end", "role")
+    met = asked.join(blocks, ["row", "block"]).filter(complement)
+    return met.select("row", "start", "end", "role").distinct()
 
 
 def secret_spans(txns: DataFrame, cols: TxnColumns = CARD_COLUMNS, scope: int = 160) -> DataFrame:
@@ -141,7 +118,7 @@ def secret_spans(txns: DataFrame, cols: TxnColumns = CARD_COLUMNS, scope: int =
 
     Certain spans (``assign``, ``access``, ``hex`` by their fixed patterns) always stay. Weak parts, such as a
     user name, a short password or a server address, are reported only when complementary parts
-    co-occur within ``scope`` characters; certain spans take part in that as access identifiers and secrets.
+    co-occur within ``scope`` characters, from the end of one to the start of the next; certain spans take part in that as access identifiers and secrets.
 
     Returns ``transaction_id, spans``; a span has ``start, place, end, kind, base``, ordered by start, then kind.
     Rows with one id and one text share their answer, repeated rows are answered each. NULL and empty

@@ -1,5 +1,6 @@
 """Personal data and secrets against Python's own pattern matching."""
 
+import random
 import re
 
 import pytest
@@ -107,6 +108,40 @@ def test_linking_sees_across_blocks(spark):
         assert credentials.link_parts(parts, scope).count() == (2 if gap <= scope else 0), gap
 
 
+def test_long_parts_are_masked_whole_and_linked_by_their_ends(spark):
+    key, host = "Zz9+" * 400, "h" * 400
+    rows = [
+        ("K", f"user=bob private_key={key} end", "[secret] [secret] end"),
+        ("U", f"https://{host} pwd=hunter22 end", "[secret] [secret] end"),
+        ("N", f"login={'n' * 300} pwd: hunter22", "[secret] [secret]"),
+        ("P", f"pwd={key}, user=bob", "[secret], [secret]"),
+        ("F", f"https://{host}{' x' * 90} pwd=hunter22", None),
+    ]
+    frame = spark.createDataFrame([r[:2] for r in rows], "trans_num string, merchant string")
+    shown = {r["trans_num"]: r["merchant"] for r in credentials.masked(frame).collect()}
+    for name, text, want in rows:
+        assert shown[name] == (text if want is None else want), name
+
+
+def test_linking_equals_all_pairs(spark):
+    """Long and short parts, at all places within blocks, against the distance of every pair."""
+    draw, scope, parts = random.Random(5), 20, []
+    for row in range(150):
+        for _ in range(draw.randrange(2, 5)):
+            start = draw.randrange(0, 160)
+            end = start + draw.choice([1, 5, 19, 20, 21, 70])
+            parts.append((row, start, end, draw.choice(credentials.LINKED), draw.random() < 0.8))
+    frame = spark.createDataFrame(parts, "row int, start long, end long, role string, weak boolean")
+    want = {
+        p[:4]
+        for p in parts
+        for q in parts
+        if p[4] and p[0] == q[0] and (p[3] == "secret") != (q[3] == "secret")
+        and max(q[1] - (p[2] - 1), p[1] - (q[2] - 1)) <= scope
+    }
+    assert sorted(map(tuple, credentials.link_parts(frame, scope).collect())) == sorted(want)
+
+
 def test_masking_keeps_rows_and_columns(odd, txns):
     shown = credentials.masked(odd)
     assert shown.columns == odd.columns and shown.count() == odd.count()
