@@ -278,9 +278,7 @@ WITH g AS (SELECT *, epoch(ts)::BIGINT AS sec, lag(epoch(ts)::BIGINT) OVER (PART
 
 
 def _events(spark, folder):
-    return table(spark, folder, "events").select(
-        "event_id", "user_id", "value", F.date_trunc("second", "ts").alias("ts")
-    )
+    return table(spark, folder, "events").select("event_id", "user_id", "value", "ts")
 
 
 @query("sessionize", _SESSIONS.format(gap=1800) + "SELECT event_id, session_id FROM s")

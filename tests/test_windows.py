@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import joins_windows
 from swipelake.operators.windows import KeyedWindows, rank_in_group, sessionize
 from swipelake.skew import ROWS_PER_TASK, group_stats
 
@@ -117,3 +118,11 @@ def test_plain_windows_share_one_shuffle(skewed):
     plan = all_windows(skewed, ROWS_PER_TASK)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "EvalPython" not in plan
+
+
+def test_registered_sessions_read_microseconds(spark):
+    folder = "/root/testdata/sf0.001"
+    given = joins_windows._events(spark, folder).select("event_id", "ts")
+    read = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "ts")
+    assert read.filter(F.col("ts") != F.date_trunc("second", "ts")).count() > 0
+    assert given.exceptAll(read).count() == read.exceptAll(given).count() == 0
