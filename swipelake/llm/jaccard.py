@@ -257,10 +257,12 @@ def similar_transactions(
        in the same shingles: a second prefix join, on the differences, finds such pairs without pairing
        out the family.
     5. Group pairs of one posting list in different families that fit in size and share as many prefix
-       shingles as linked sets must are expanded. All pairs found are checked against the whole sets.
+       shingles as linked sets must are expanded. These pairs are checked against the whole sets.
+    6. Links of two members that both link to the leader join no further sets. They are counted: by size and
+       distance from the leader where these alone decide, else by the differences the two share.
 
     Returns ``transaction_id, shingles, class_id, links``: the set's size, the smallest id of the class and the
-    number of links found for the set. NULL and empty texts have no shingle and form no class but their own;
+    number of other sets that the set links to (texts of equal sets are one set). NULL and empty texts have no shingle and form no class but their own;
     repeated rows and equal texts share one class; NULL ids count for nothing in the smallest id. An
     empty table gives an empty one; extra columns do not matter. ``broadcast_keys`` bounds what
     is broadcast as a filter; beyond it the same join is shuffled.
@@ -296,13 +298,13 @@ def similar_transactions(
     near = _placed(groups, postings, families)
     pairs = _family_pairs(families, percent).unionByName(_open_pairs(near, postings, percent))
     rest = texts.linked(pairs.distinct(), firsts)
-    links = written(first.unionByName(rest).distinct(), "jaccard_links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
-        F.count(F.lit(1)).alias("links")
-    )
-    classes = components(links, "jaccard_components").join(degree, "node").withColumnRenamed("node", "set_key")
+    both = first.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = written(both.distinct(), "jaccard_links")
+    ends = F.explode(F.array("a", "b")).alias("node")
+    degree = _degrees(_outside_families(links, families).select(ends), _inside_families(families, percent))
+    classes = components(links, "jaccard_components").withColumnRenamed("node", "set_key")
     labelled = written(
-        firsts.join(classes, "set_key", "left").select(
+        firsts.join(classes, "set_key", "left").join(degree, "set_key", "left").select(
             "set_key",
             "first_id",
             F.coalesce("component", "set_key").alias("component"),
@@ -423,6 +425,55 @@ def _family_pairs(families: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
 
+def _home_linked(families: DataFrame) -> DataFrame:
+    """Members that link to the leader ``b`` of their family."""
+    return families.filter("is_home and linked")
+
+
+def _outside_families(links: DataFrame, families: DataFrame) -> DataFrame:
+    """The links but for those of two members that both link to the leader of their family."""
+    home = _home_linked(families)
+    home_a, home_b = (home.select(F.col("a").alias(s), F.col("b").alias(f"home_{s}")) for s in ("a", "b"))
+    placed = links.join(home_a, "a", "left").join(home_b, "b", "left")
+    return placed.filter("home_a is null or home_b is null or home_a != home_b").select("a", "b")
+
+
+def _inside_families(families: DataFrame, percent: int) -> DataFrame:
+    """``set_key, links``: how many others of its family a member links to, where all of them link to the leader.
+
+    Two members ``d1`` and ``d2`` apart from the leader are ``d1 + d2 - 2 * (shared differences)`` apart from
+    each other. Where ``d1 + d2`` is little enough they link whatever they share: those are counted by size and
+    distance, without pairs. Only of the others the shared differences are counted, pair by pair.
+    """
+    home = _home_linked(families).select("b", F.col("a").alias("set_key"), F.col("n_a").alias("n"), F.size("apart").alias("d"), "apart")
+    kinds = written(home.groupBy("b", "n", "d").agg(F.count(F.lit(1)).alias("members")), "jaccard_kinds")
+    other = kinds.select("b", F.col("n").alias("n_2"), F.col("d").alias("d_2"), F.col("members").alias("members_2"))
+    over = F.col("d") + F.col("d_2") - _most_apart(F.col("n"), F.col("n_2"), percent)
+    itself = (F.col("n") == F.col("n_2")) & (F.col("d") == F.col("d_2"))
+    met = kinds.join(other, "b").groupBy("b", "n", "d").agg(
+        F.sum(F.when(over <= 0, F.col("members_2") - F.when(itself, 1).otherwise(0)).otherwise(0)).alias("links"),
+        F.max(F.when(over > 0, over)).alias("open"),
+    )
+    placed = home.join(met, ["b", "n", "d"])
+    flat = placed.filter("open is not null").select("b", "set_key", "n", "d", F.explode("apart").alias("token"))
+    two = flat.select("b", "token", F.col("set_key").alias("set_2"), F.col("n").alias("n_2"), F.col("d").alias("d_2"))
+    linked = (
+        flat.join(two, ["b", "token"])
+        .filter((F.col("set_key") < F.col("set_2")) & (over > 0))
+        .groupBy("set_key", "set_2", over.alias("over"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .filter(2 * F.col("shared") >= F.col("over"))
+    )
+    ends = linked.select(F.explode(F.array("set_key", "set_2")).alias("set_key"))
+    return placed.select("set_key", "links").unionByName(ends.withColumn("links", F.lit(1).cast("long")))
+
+
+def _degrees(ends: DataFrame, inside: DataFrame) -> DataFrame:
+    """``set_key, links``: one for each of ``ends``, and the sums of ``inside``."""
+    each = ends.select(F.col("node").alias("set_key"), F.lit(1).cast("long").alias("links"))
+    return each.unionByName(inside).groupBy("set_key").agg(F.sum("links").alias("links"))
+
+
 def _placed(groups: DataFrame, postings: DataFrame, families: DataFrame) -> DataFrame:
     """``set_key, gid, part``: sets of one part are in one family and need no open pairs."""
     listed = _members(groups, postings.select("gid").distinct(), "gid", "set_key")

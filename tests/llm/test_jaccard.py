@@ -71,6 +71,29 @@ def test_classes_equal_brute_force(spark, seed):
     assert classes(spark, texts, common=4) == brute(texts)
 
 
+def brute_links(texts, size=4, percent=85):
+    """How many other sets each text's set links to."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append(frozenset(tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))) if words else frozenset())
+    every = set(sets) - {frozenset()}
+    return [sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in every) if a else 0 for a in sets]
+
+
+def test_links_are_counted_inside_families(spark):
+    """Members that all link to the leader: few and many edits, shared ones, exact copies, two families that meet."""
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(edited(base, 1, draw, 900)) for _ in range(60)] + family(21, 70, 90, 4, 6)
+    texts += family(22, 50, 150, 9, 300) + texts[:4] + ["", None, "one", "One"]
+    frame = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "trans_num long, merchant string, category string")
+    found = {r["trans_num"]: r["links"] for r in jaccard.similar_transactions(frame, common=4).collect()}
+    want = brute_links(texts)
+    assert max(want) > 50
+    assert [found[i] for i in range(len(texts))] == want
+
+
 def test_bounds_do_not_change_the_result(spark):
     texts = family(7, 50, 80, 7, 12)
     plain = classes(spark, texts)
