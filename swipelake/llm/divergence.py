@@ -75,6 +75,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0.0, 1.0))
 
 
+# Lengths in words at which word distances are drawn, and texts drawn for each; between them limits are interpolated.
+_LENGTHS = (12, 25, 50, 70, 100, 140, 200, 400)
+_DRAWN_TEXTS = 2000
+
+
 @dataclass(frozen=True)
 class References:
     """For each language: class counts, and counts of its common words and of all others."""
@@ -87,12 +92,16 @@ class References:
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest distances to the nearest reference, and the least sizes for which they count."""
+    """How far from the nearest reference is too far, and the least sizes for which it counts.
+
+    A word histogram may lie ``word_share`` as far off as that of a text without any common word, and in a short
+    text as far as all but ``word_chance`` of the texts of its length that are drawn from the reference.
+    """
 
     class_distance: float = 0.30
-    word_distance: float = 0.50
+    word_share: float = 0.9
+    word_chance: float = 0.001
     least_characters: int = 200
-    least_words: int = 80
     least_base_words: int = 50
     most_repeated: int = 50
 
@@ -204,6 +213,22 @@ class Judge:
             for column, j in enumerate(order):
                 self.words[at, column] = own.get(every[j], 0)
             self.words[at, -1] = references.others[at]
+        self.word_limits = [self._word_limits(counts) for counts in self.words]
+
+    def _word_limits(self, counts: np.ndarray) -> np.ndarray:
+        """The largest word distance to a reference for texts of each length in ``_LENGTHS``."""
+        if not counts.any():
+            return np.ones(len(_LENGTHS))
+        counts = np.append(counts[:-1][counts[:-1] > 0], counts[-1])
+        uncommon = np.zeros(len(counts))
+        uncommon[-1] = 1.0
+        limit = np.full(len(_LENGTHS), self.limits.word_share * float(js_distance(uncommon, counts)))
+        draw = np.random.default_rng(1)
+        for i, n in enumerate(_LENGTHS):
+            drawn = draw.multinomial(n, counts / counts.sum(), size=_DRAWN_TEXTS)
+            apart = [float(js_distance(text, counts)) for text in drawn]
+            limit[i] = max(limit[i], np.quantile(apart, 1 - self.limits.word_chance))
+        return limit
 
     def measure(self, text: str | None) -> tuple:
         """Counts, distances to the nearest reference, its language, and the verdicts."""
@@ -232,7 +257,7 @@ class Judge:
             of_class is not None
             and (
                 (len(text) >= limits.least_characters and of_class > limits.class_distance)
-                or (n >= limits.least_words and of_word > limits.word_distance)
+                or of_word > np.interp(np.log(n), np.log(_LENGTHS), self.word_limits[best])
             )
         )
         return (
@@ -264,7 +289,8 @@ def judge_quality(
     References come from all rows: for each value of ``language`` (transactions have no such field, any column
     will do) the counts of character classes, of its ``common`` commonest words and of all other words. A
     text is compared with the language whose words are nearest, by Jensen-Shannon distance; it fails when
-    its class histogram or its word histogram lies too far off, each only from a least length. Texts that fail
+    its class histogram (from a least length) or its word histogram lies too far off. The limit for words comes
+    from each reference: nearly the distance of a text without common words, more in short texts. Texts that fail
     the base limits (too few words, too many repeated) are not kept either.
 
     Returns ``transaction_id, words, word_chars, symbols, dup_lines, repeat_words, base_failed, kept, nearest,
@@ -274,14 +300,14 @@ def judge_quality(
     """
     ship(txns.sparkSession)
     references = fit_references(txns, cols, language, common)
-    shared = txns.sparkSession.sparkContext.broadcast(references)
+    shared = txns.sparkSession.sparkContext.broadcast(Judge(references, limits))
     source = columns(txns, transaction_id=cols.transaction_id, text=cols.merchant)
     schema = source.select("transaction_id", *[
         F.lit(None).cast(part.split()[1]).alias(part.split()[0]) for part in _SCHEMA.split(", ")
     ]).schema
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Judge(shared.value, limits)
+        own = shared.value
         for batch in batches:
             rows = [own.measure(t) for t in batch.column("text").to_pylist()]
             found = list(zip(*rows, strict=True)) or [()] * len(_MEASURES)

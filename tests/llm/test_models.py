@@ -238,3 +238,28 @@ def test_many_copies_of_one_vector(spark):
     found = neighbours.nearest_transactions(frame, F.col("trans_num") % 50 == 0, cell_rows=2).collect()
     assert len(found) == 5 * 8
     assert all([r["trans_num"] for r in found if r["query_id"] == q][:4] == [i for i in range(6) if i != q][:4] for q in (0, 50, 100))
+
+
+def test_word_limits_come_from_the_reference():
+    """Ordinary texts stay; a long salad of rare words and a short junk text do not."""
+    draw = np.random.default_rng(2)
+    common = [f"word{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(64)]
+    counts = [int(100_000 / (i + 1)) for i in range(64)]
+    others = int(sum(counts) * 7 / 3)
+    chance = np.array([*counts, others]) / (sum(counts) + others)
+    rare = iter(f"rare{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcdefghijklmn")
+
+    def text(n):
+        return " ".join(common[k] if k < 64 else next(rare) for k in draw.choice(65, size=n, p=chance))
+
+    classes = np.array([divergence.class_counts(text(300))])
+    judge = divergence.Judge(
+        divergence.References(["en"], classes, [dict(zip(common, counts, strict=True))], [others]), divergence.Limits()
+    )
+    assert all(judge.measure(text(n))[6] for n in (60, 60, 150, 400))
+    salad = judge.measure(" ".join(next(rare) for _ in range(400)))
+    assert not salad[5] and not salad[6] and salad[9] < 0.5
+    junk = judge.measure(" ".join(f"{common[0]} {common[63]} {next(rare)}" for _ in range(20)))
+    assert junk[0] == 60 and not junk[5] and not junk[6]
+    blank = divergence.Judge(divergence.References(["xx"], classes, [{}], [0]), divergence.Limits())
+    assert set(blank.word_limits[0]) == {1.0}
