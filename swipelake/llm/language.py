@@ -86,10 +86,12 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Viterbi: the language of each word, where every switch costs ``penalty``."""
     n, width = scores.shape
     home = int(np.argmax(scores.sum(axis=0)))
-    # No stretch gains enough elsewhere to pay for one switch: then nothing switches.
-    gain = np.cumsum(scores - scores[:, home : home + 1], axis=0)
-    floor = np.minimum.accumulate(np.vstack([np.zeros((1, width)), gain[:-1]]), axis=0)
-    if (gain - floor).max(initial=0.0) <= penalty:
+    # Each stretch away from home, in however many languages, pays for one switch at least (a whole text in one
+    # other language gains nothing). If no stretch gains that much by the best other language of each word, none leaves.
+    others = np.delete(scores, home, axis=1).max(axis=1, initial=-np.inf)
+    gain = np.cumsum(others - scores[:, home])
+    floor = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]]))
+    if width == 1 or (gain - floor).max(initial=0.0) <= penalty:
         return np.full(n, home)
     back = np.zeros((n, width), dtype=np.int32)
     best = scores[0].tolist()

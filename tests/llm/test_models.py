@@ -54,6 +54,14 @@ def test_best_path_equals_plain_viterbi():
         assert value(list(got)) == pytest.approx(value(want))
 
 
+def test_two_other_languages_share_a_switch():
+    """Neither half gains a switch alone, both together do."""
+    scores = np.array([[-5.0, 0, -20]] * 2 + [[-5.0, -20, 0]] * 2)
+    assert language.best_path(scores, 12.0).tolist() == [1, 1, 2, 2]
+    assert language.best_path(scores, 21.0).tolist() == [0, 0, 0, 0]
+    assert language.best_path(scores[:, :1], 12.0).tolist() == [0, 0, 0, 0]
+
+
 @pytest.fixture(scope="module")
 def spoken(spark):
     rows = [(f"E{i}", prose(ENGLISH, 40, i), "en", "c") for i in range(40)]
