@@ -19,6 +19,8 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
+# A text without one of these has no assigned secret.
+ASSIGNED = r"(?i:passw|secret|token|api_?key)"
 
 # Parts that are no finding alone: who, with what, and where.
 IDENTIFIER = (
@@ -49,7 +51,7 @@ def _kept(found: Column, kind: str, place: int, test) -> Column:
 
 def certain_spans(text: Column) -> Column:
     """Findings of the fixed patterns, by start and kind."""
-    keyword = F.regexp_like(text, F.lit(r"(?i:passw|secret|token|api_?key)"))
+    keyword = F.regexp_like(text, F.lit(ASSIGNED))
     return F.array_sort(
         F.concat(
             _kept(matches(text, ASSIGN, keyword, 1), "assign", 0, lambda s: F.length(s["text"]) >= 12),
@@ -65,11 +67,25 @@ def certain_spans(text: Column) -> Column:
 
 
 def weak_parts(text: Column) -> Column:
-    """Parts that count only together: identifiers, secrets, endpoints."""
+    """Parts that count only together: identifiers, secrets, endpoints.
+
+    What the fixed patterns find too short to be certain is such a part: an assigned value of 4 to 11 characters
+    is a secret, a short access key an identifier. Short hex runs are not, since plain words look like them.
+    """
     labelled = F.regexp_like(text, F.lit(r"[:=]"))
+    short = F.regexp_like(text, F.lit(ASSIGNED))
     return F.concat(
         _kept(matches(text, IDENTIFIER, labelled), "identifier", 3, lambda s: F.lit(True)),
+        _kept(
+            matches(text, ACCESS, F.contains(text, F.lit("AKIA"))),
+            "identifier",
+            3,
+            lambda s: F.length(s["hit"]) < 18,
+        ),
         _kept(matches(text, SECRET, labelled), "secret", 4, lambda s: F.lit(True)),
+        _kept(
+            matches(text, ASSIGN, short, 1), "secret", 4, lambda s: F.length(s["text"]).between(4, 11)
+        ),
         _kept(
             matches(text, ENDPOINT, F.contains(text, F.lit("://"))), "endpoint", 5, lambda s: F.lit(True)
         ),
@@ -242,54 +258,3 @@ def _cut(text: Column, spans: Column, mask: str) -> Column:
         state["done"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text))
     )
     return F.aggregate(spans, first, add, rest)
-
-
-def _span(span: Column, place: Column, base: bool) -> Column:
-    return F.struct(
-        span["start"].alias("start"),
-        place.alias("place"),
-        span["end"].alias("end"),
-        span["kind"].alias("kind"),
-        F.lit(base).alias("base"),
-    )
-
-
-def masked(
-    txns: DataFrame, cols: TxnColumns = CARD_COLUMNS, scope: int = 160, mask: str = "[secret]"
-) -> DataFrame:
-    """The transactions with every found secret in the merchant descriptor replaced by ``mask``.
-
-    Certain spans are replaced by their patterns where they stand, and linked weak parts by their places. Rows
-    and all other columns stay as they are; NULL texts stay NULL.
-    """
-    kept = txns.select(
-        F.struct(*[txns[c] for c in txns.columns]).alias("row"),
-        txns[cols.transaction_id].alias("transaction_id"),
-        txns[cols.merchant].alias("text"),
-    )
-    own = TxnColumns(transaction_id="transaction_id", merchant="text")
-    key = F.struct("transaction_id", F.xxhash64("text"), F.coalesce(F.length("text"), F.lit(0)))
-    spans = secret_spans(
-        kept.select(key.alias("transaction_id"), "text"), own, scope
-    ).filter(F.size("spans") > 0)
-    spans = spans.dropDuplicates(["transaction_id"]).withColumnRenamed("transaction_id", "key")
-    joined = kept.withColumn("key", key).join(spans, "key", "left")
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
-        lambda state, s: F.when(s["end"] <= state["at"], state).otherwise(
-            F.struct(
-                F.concat(
-                    state["done"],
-                    F.substring("text", state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"])),
-                    F.when(s["start"] >= state["at"], F.lit(mask)).otherwise(F.lit("")),
-                ).alias("done"),
-                s["end"].alias("at"),
-            )
-        ),
-        lambda state: F.concat(state["done"], F.substring("text", state["at"] + 1, F.length("text"))),
-    )
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)
-    return joined.select(
-        *[text.alias(c) if c == cols.merchant else F.col("row")[c].alias(c) for c in txns.columns]
-    )

@@ -123,6 +123,30 @@ def test_long_parts_are_masked_whole_and_linked_by_their_ends(spark):
         assert shown[name] == (text if want is None else want), name
 
 
+def test_values_too_short_to_be_certain_are_weak_secrets(spark):
+    rows = [
+        ("A", "user=bob password=hunter2 at https://db.example.com/x", "[secret] [secret] at [secret]/x"),
+        ("B", "login=bob token=abc123 at https://db.example.com", "[secret] [secret] at [secret]"),
+        ("C", "AKIA1234 with pwd=hunter22", "[secret] with [secret]"),
+        ("D", "db_password: abc1 (user_id = bob)", "db_[secret] ([secret])"),
+        ("E", "the password: hunter2 alone is no finding", None),
+        ("F", "user=bob and https://db.example.com without a key, token: no", None),
+        ("G", "AKIA1234 at https://db.example.com", None),
+    ]
+    frame = spark.createDataFrame([r[:2] for r in rows], "trans_num string, merchant string")
+    shown = {r["trans_num"]: r["merchant"] for r in credentials.masked(frame).collect()}
+    for name, text, want in rows:
+        assert shown[name] == (text if want is None else want), name
+
+
+def test_texts_without_weak_parts_are_masked_where_they_stand(txns):
+    """Only the branch of texts with weak parts joins anything."""
+    plan = credentials.masked(txns)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and plan.children().size() == 2
+    alone, linked = plan.children().apply(0).toString(), plan.children().apply(1).toString()
+    assert not re.search("Join|Aggregate|Sort|Repartition", alone) and "Join" in linked
+
+
 def test_linking_equals_all_pairs(spark):
     """Long and short parts, at all places within blocks, against the distance of every pair."""
     draw, scope, parts = random.Random(5), 20, []
