@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import credentials, divergence, jaccard, language, mixing, negatives, neighbours, packing, privacy, sharding, toxicity
+from swipelake.llm import credentials, divergence, jaccard, language, manifest, mixing, negatives, neighbours, packing, privacy, sharding, toxicity
 from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
@@ -142,6 +142,14 @@ def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_transactions(vectors, F.col("vec_id") % 50 == 0, own, "embedding", k=5)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    claimed = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    return manifest.transaction_manifest(docs, DOCS, fields, by="lang", claimed=claimed)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -164,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_source_mix,
         op10_forest_neighbours,
+        op11_merkle_manifest,
         op13_hard_negatives,
     )
 }
