@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import credentials, divergence, jaccard, language, manifest, mixing, negatives, neighbours, packing, privacy, sharding, toxicity
+from swipelake.llm import credentials, divergence, jaccard, language, manifest, mixing, negatives, neighbours, packing, privacy, sharding, toxicity, twins
 from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
@@ -178,25 +178,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op13_hard_negatives": """
-WITH grid AS MATERIALIZED (
-SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-       list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS g
-FROM embeddings
-WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-met AS MATERIALIZED (
-SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id,
-       CAST(list_inner_product(a.g, b.g) AS BIGINT) AS score
-FROM grid a JOIN grid b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-positive AS (
-SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE alike
-QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
-placed AS (
-SELECT p.anchor_id, p.positive_id, p.positive_score, m.vec_id AS negative_id, m.score AS negative_score,
-       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY m.score DESC, m.vec_id) AS rank
-FROM positive p JOIN met m ON m.anchor_id = p.anchor_id AND NOT m.alike
-     AND 30 * p.positive_score <= 100 * m.score AND 100 * m.score <= 90 * p.positive_score)
-SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score
-FROM placed WHERE rank <= 10""",
+    "op11_merkle_manifest": twins.merkle_manifest(),
+    "op13_hard_negatives": twins.HARD_NEGATIVES,
 }
