@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swipelake.columns import TxnColumns
-from swipelake.llm import credentials, divergence, jaccard, language, manifest, mixing, negatives, neighbours, packing, privacy, sharding, toxicity, twins
+from swipelake.llm import credentials, divergence, jaccard, language, manifest, mixing, negatives, neighbours, packing, privacy, sharding, toxicity, twins, urls
 from swipelake.llm.text import listed
 
 # ``documents`` as records of this library: the text is the descriptor, the source the category.
@@ -150,6 +150,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.transaction_manifest(docs, DOCS, fields, by="lang", claimed=claimed)
 
 
+# The rules of ``op12``: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op12_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge_pages(table(spark, sf_dir, "pages"), rules)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -173,11 +188,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_source_mix,
         op10_forest_neighbours,
         op11_merkle_manifest,
+        op12_url_verdicts,
         op13_hard_negatives,
     )
 }
 
 SQL: dict[str, str] = {
     "op11_merkle_manifest": twins.merkle_manifest(),
+    "op12_url_verdicts": twins.judge_pages(URL_RULES),
     "op13_hard_negatives": twins.HARD_NEGATIVES,
 }

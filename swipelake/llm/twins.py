@@ -106,3 +106,75 @@ FROM positive p JOIN met m ON m.anchor_id = p.anchor_id AND NOT m.alike
      AND 30 * p.positive_score <= 100 * m.score AND 100 * m.score <= 90 * p.positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score
 FROM placed WHERE rank <= 10"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _host(url: str) -> str:
+    found = f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '')"
+    return f"translate({found}, '{_UPPER}', '{_LOWER}')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _node(url: str) -> str:
+    query = f"regexp_extract({url}, '(?s)^[^?#]*(\\?[^#]*)', 1)"
+    return f"CASE WHEN {_host(url)} <> '' THEN {_host(url)} || {_path(url)} || {query} END"
+
+
+def _own_rule(name: str, source: str) -> str:
+    """``key, rule, verdict``: the longest rule for rows ``key, host, path``."""
+    return (
+        f"{name} AS MATERIALIZED (SELECT key, arg_max(struct_pack(rule, verdict), "
+        f"10000 * length(rule) + 10 * length(r.host) + CAST(verdict = 'allow' AS INT)) AS best "
+        f"FROM {source} s JOIN held r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) "
+        f"AND starts_with(s.path, r.path) WHERE s.host <> '' GROUP BY key)"
+    )
+
+
+def judge_pages(rules: list[tuple[str, str, str]]) -> str:
+    held = ", ".join(f"('{h}', '{p}', '{v}', '{h}{p}')" for h, p, v in rules)
+    scheme = r"regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
+    site = f"{scheme} || '://' || host"
+    links = (
+        "list_transform(list_filter(regexp_extract_all(html, '(?is)<link\\b[^>]*>'), lambda t: "
+        "regexp_matches(t, '(?is)\\brel\\s*=\\s*[\"'']?[^\"''>]*\\bcanonical\\b')), lambda t: "
+        "regexp_extract(t, '(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1))"
+    )
+    metas = (
+        "list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\\b[^>]*>'), lambda t: "
+        "regexp_matches(t, '(?is)\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b')), lambda t: "
+        "regexp_extract(t, '(?is)\\bcontent\\s*=\\s*[\"'']?[\\d.\\s]*;\\s*url\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1))"
+    )
+    folder = "regexp_replace(path, '[^/]*$', '')"
+    parts = [
+        f"held(host, path, verdict, rule) AS (VALUES {held})",
+        f"page AS MATERIALIZED (SELECT row_number() OVER () AS key, page_id, url, html, {_host('url')} AS host, "
+        f"{_path('url')} AS path, {_node('url')} AS node FROM pages)",
+        _own_rule("own", "page"),
+        f"told AS (SELECT url, host, path, node, replace(unnest(list_concat({links}, {metas})), '&amp;', '&') AS target "
+        "FROM page WHERE regexp_matches(html, '(?i)\\bcanonical\\b|\\brefresh\\b'))",
+        f"led AS (SELECT url AS from_url, node AS a, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target "
+        f"WHEN starts_with(target, '//') THEN {scheme} || ':' || target WHEN starts_with(target, '/') THEN {site} || target "
+        f"WHEN starts_with(target, '?') THEN {site} || path || target WHEN starts_with(target, '#') THEN url "
+        f"ELSE {site} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || target END AS to_url FROM told WHERE target <> '')",
+        f"link AS MATERIALIZED (SELECT * FROM (SELECT from_url, to_url, a, {_node('to_url')} AS b FROM led) "
+        "WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b)",
+        "ends AS (SELECT a AS key, from_url AS url FROM link UNION SELECT b, to_url FROM link)",
+        f"known AS (SELECT DISTINCT key, {_host('url')} AS host, {_path('url')} AS path FROM ends)",
+        _own_rule("decided", "known"),
+        "both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link)",
+        "reach(a, b) AS (SELECT DISTINCT a, a FROM both_ways UNION "
+        "SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b)",
+        "caught AS (SELECT r.a AS node FROM reach r LEFT JOIN decided d ON d.key = r.b GROUP BY r.a "
+        "HAVING count_if(d.best.verdict = 'block') > 0 AND count_if(d.best.verdict = 'allow') = 0)",
+    ]
+    return (
+        f"WITH RECURSIVE {', '.join(parts)} SELECT page_id, host, path, o.best.rule AS rule, "
+        "CASE WHEN o.best.rule IS NOT NULL THEN o.best.verdict WHEN c.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, "
+        "CASE WHEN o.best.rule IS NOT NULL THEN 'rule' WHEN c.node IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by "
+        "FROM page p LEFT JOIN own o ON o.key = p.key LEFT JOIN caught c ON c.node = p.node"
+    )
