@@ -11,6 +11,7 @@ from swipelake.operators.windows import (
     session_summary,
     sessionize,
 )
+from swipelake.skew import group_medians, group_stats
 
 def _orders(spark, folder):
     return table(spark, folder, "orders").select(
@@ -18,47 +19,47 @@ def _orders(spark, folder):
     )
 
 
-def _broadcast(spark, folder, how):
-    suppliers = table(spark, folder, "supplier").filter("s_suppkey % 3 = 0")
+def _broadcast(spark, folder, how, suppliers=None):
+    suppliers = table(spark, folder, "supplier") if suppliers is None else suppliers
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
     return joins.broadcast_join(lines, suppliers, ["s_suppkey"], how)
 
 
-_JOINED = "lineitem l {how} JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) s ON l.l_suppkey = s.s_suppkey"
+_JOINED = "lineitem l {how} JOIN {side} s ON l.l_suppkey = s.s_suppkey"
+_LINES = "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber"
 
 
 @query(
     "broadcast_join",
-    f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_suppkey AS s_suppkey, s_name FROM {_JOINED.format(how='INNER')}",
+    f"{_LINES}, l_suppkey AS s_suppkey, s_name FROM {_JOINED.format(how='INNER', side='supplier')}",
 )
 def broadcast_join(spark, folder):
     df = _broadcast(spark, folder, "inner")
     return big(df.select("l_orderkey", "l_linenumber", "s_suppkey", "s_name"))
 
 
+# Suppliers in debt: lines of all others have no partner here.
+_IN_DEBT = "(SELECT * FROM supplier WHERE s_acctbal < 0)"
+
+
 @query(
     "broadcast_join_left",
-    f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_suppkey AS s_suppkey, s_name FROM {_JOINED.format(how='LEFT')}",
+    f"{_LINES}, l_suppkey AS s_suppkey, s_name FROM {_JOINED.format(how='LEFT', side=_IN_DEBT)}",
 )
 def broadcast_join_left(spark, folder):
-    df = _broadcast(spark, folder, "left")
+    df = _broadcast(spark, folder, "left", table(spark, folder, "supplier").filter("s_acctbal < 0"))
     return big(df.select("l_orderkey", "l_linenumber", "s_suppkey", "s_name"))
 
 
-@query(
-    "broadcast_join_semi",
-    f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM {_JOINED.format(how='SEMI')}",
-)
+@query("broadcast_join_semi", f"{_LINES} FROM {_JOINED.format(how='SEMI', side='supplier')}")
 def broadcast_join_semi(spark, folder):
     return big(_broadcast(spark, folder, "left_semi").select("l_orderkey", "l_linenumber"))
 
 
-@query(
-    "broadcast_join_anti",
-    f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM {_JOINED.format(how='ANTI')}",
-)
+@query("broadcast_join_anti", f"{_LINES} FROM {_JOINED.format(how='ANTI', side=_IN_DEBT)}")
 def broadcast_join_anti(spark, folder):
-    return big(_broadcast(spark, folder, "left_anti").select("l_orderkey", "l_linenumber"))
+    in_debt = table(spark, folder, "supplier").filter("s_acctbal < 0")
+    return big(_broadcast(spark, folder, "left_anti", in_debt).select("l_orderkey", "l_linenumber"))
 
 
 @query(
@@ -380,8 +381,20 @@ FROM events
 """,
 )
 def group_stats_(spark, folder):
-    from swipelake.skew import group_stats
-
     df = table(spark, folder, "events").select("event_id", "event_type", "value")
     aggs = {"n": F.count(F.lit(1)), "mean": F.avg("value")}
     return pick(group_stats(df, ["event_type"], aggs, rows_per_task=CUT_ROWS), "event_id", "n", "mean")
+
+
+@query(
+    "group_medians",
+    """
+SELECT customer_id, quantile_disc(amount, 0.5) AS median_amount,
+       quantile_disc(merchant_id, 0.5)::BIGINT AS median_merchant, quantile_disc(lat, 0.5) AS median_lat
+FROM txn GROUP BY customer_id
+""",
+)
+def group_medians_(spark, folder):
+    """Exact medians, with every busy customer cut into pieces."""
+    medians = {"median_amount": "amount", "median_merchant": "merchant_id", "median_lat": "lat"}
+    return big(group_medians(txn(spark, folder), ["customer_id"], medians, rows_per_task=CUT_ROWS))

@@ -56,6 +56,7 @@ class KeyedWindows:
         self._keys = _names(partition_by)
         order, ties = _names(order_by), _names(tie_break)
         present(df, [*self._keys, *order, *ties])
+        self._descending = descending
         self._order = [F.desc(c) if descending else F.asc(c) for c in order]
         self._order_names = order
         self._full_order = [*self._order, *[F.asc(c) for c in ties]]
@@ -138,95 +139,93 @@ class KeyedWindows:
         return df.select(*self._df.columns, *[w.alias for w in self._wanted])
 
     def _carried(self, pieces: Pieces) -> DataFrame:
-        """Values that need totals of all earlier pieces."""
-        df = pieces.numbered()
+        """Values that need totals of all earlier pieces.
+
+        One summary holds the partial state of every wanted column, one scan over the pieces of a key adds the
+        states up, and one join gives each row the state before its piece.
+        """
+        running = [w for w in self._wanted if w.kind in ("running_sum", "running_avg")]
+        sums = list(dict.fromkeys(w.column for w in running))
+        ranked = any(w.kind in ("rank", "dense_rank") for w in self._wanted)
+        states = self._states(pieces, sums, ranked)
+
+        by_value = Window.partitionBy(*pieces.keys, "_piece").orderBy(*self._order)
+        local = {}
+        for i, c in enumerate(sums):
+            local[f"_sum_{i}"] = F.sum(c).over(pieces.running())
+            local[f"_cnt_{i}"] = F.count(c).over(pieces.running())
+        if ranked:
+            local["_rk"], local["_drk"] = F.rank().over(by_value), F.dense_rank().over(by_value)
+        rows = pieces.rows.select("*", *[c.alias(n) for n, c in local.items()])
+        df = pieces.attach(rows, states)
+
+        place = F.col("_seq") - F.col("_start") + 1 + F.col("_rows_before")
+        made = {"_global_rn": place.cast("long")}
         for w in self._wanted:
             if w.kind == "row_number":
-                df = df.withColumn(w.alias, F.col("_global_rn").cast("int"))
+                made[w.alias] = place.cast("int")
             elif w.kind == "ntile":
-                df = pieces.with_totals(df, {"_size": F.count(F.lit(1))})
-                df = df.withColumn(w.alias, _tile(F.col("_global_rn"), F.col("_size"), w.n))
-                df = df.drop("_size")
+                made[w.alias] = _tile(place, F.col("_size"), w.n)
             elif w.kind in ("running_sum", "running_avg"):
-                df = self._running(pieces, df, w)
-            elif w.kind in ("rank", "dense_rank"):
-                df = self._ranked(pieces, df, w)
-        return df
-
-    def _running(self, pieces: Pieces, df: DataFrame, w: _Wanted) -> DataFrame:
-        sums = pieces.summary(pieces.rows, {"_sum": F.sum(w.column), "_cnt": F.count(w.column)})
-        sums = sums.select(
-            *pieces.keys,
-            "_piece",
-            F.sum("_sum").over(pieces.before()).alias("_sum_before"),
-            F.sum("_cnt").over(pieces.before()).alias("_cnt_before"),
-        )
-        df = pieces.attach(df, sums)
-        total = _total(F.sum(w.column).over(pieces.running()), F.col("_sum_before"))
-        if w.kind == "running_avg":
-            seen = _total(F.count(w.column).over(pieces.running()), F.col("_cnt_before"))
-            total = F.try_divide(total, seen)
-        return df.withColumn(w.alias, total).drop("_sum_before", "_cnt_before")
-
-    def _ranked(self, pieces: Pieces, df: DataFrame, w: _Wanted) -> DataFrame:
-        """Ranks across cuts: equal order values may lie on both sides of a cut."""
-        by_value = Window.partitionBy(*pieces.keys, "_piece").orderBy(*self._order)
-        value = F.struct(*self._order_names)
-        local = pieces.rows.select(
+                i = sums.index(w.column)
+                total = _total(F.col(f"_sum_{i}"), F.col(f"_sum_before_{i}"))
+                seen = _total(F.col(f"_cnt_{i}"), F.col(f"_cnt_before_{i}"))
+                made[w.alias] = total if w.kind == "running_sum" else F.try_divide(total, seen)
+            elif w.kind == "rank":
+                goes_on = F.col("_split") & (F.col("_rk") == 1)
+                rank = F.when(goes_on, F.col("_carried_rank")).otherwise(F.col("_rk") + F.col("_rows_before"))
+                made[w.alias] = rank.cast("int")
+            elif w.kind == "dense_rank":
+                made[w.alias] = (F.col("_drk") + F.col("_distinct_before")).cast("int")
+        return df.select(*self._df.columns, *[c.alias(n) for n, c in made.items()])
+
+    def _states(self, pieces: Pieces, sums: Sequence[str], ranked: bool) -> DataFrame:
+        """Per key and piece: first row, rows before, key size, sums before, and how ranks go on across the cut.
+
+        With ranks, rows of one order value are added up first, as equal values may lie on both sides of a cut.
+        """
+        parts = {"_n": F.count(F.lit(1)), "_start": F.min("_seq")}
+        for i, c in enumerate(sums):
+            parts |= {f"_s{i}": F.sum(c), f"_c{i}": F.count(c)}
+        if ranked:
+            value = F.struct(*self._order_names).alias("_value")
+            rows = pieces.rows.groupBy(*pieces.keys, "_piece", value).agg(*[c.alias(n) for n, c in parts.items()])
+            first, last, last_by = F.min, F.max, F.max_by
+            if self._descending:
+                first, last, last_by = F.max, F.min, F.min_by
+            parts = {n: F.min(n) if n == "_start" else F.sum(n) for n in parts} | {
+                "_first": first("_value"),
+                "_last": last("_value"),
+                "_last_n": last_by("_n", "_value"),
+                "_distinct": F.count(F.lit(1)),
+            }
+        else:
+            rows = pieces.rows
+        states = pieces.summary(rows, parts)
+        along, before = pieces.along(), pieces.before()
+        upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        kept = [
             *pieces.keys,
             "_piece",
-            "_rn",
-            value.alias("_value"),
-            F.rank().over(by_value).alias("_rk"),
-            F.dense_rank().over(by_value).alias("_drk"),
-        )
-        edges = pieces.summary(
-            local,
-            {
-                "_n": F.count(F.lit(1)),
-                "_first": F.min_by("_value", "_rn"),
-                "_last": F.max_by("_value", "_rn"),
-                "_rk_last": F.max("_rk"),
-                "_distinct": F.max("_drk"),
-            },
-        )
-        along, before = pieces.along(), pieces.before()
-        edges = edges.select(
-            "*",
+            "_start",
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
-            F.coalesce(F.lag("_last").over(along) == F.col("_first"), F.lit(False)).alias("_split"),
-        )
+            F.sum("_n").over(Window.partitionBy(*pieces.keys)).alias("_size"),
+        ]
+        for i in range(len(sums)):
+            kept.append(F.sum(f"_s{i}").over(before).alias(f"_sum_before_{i}"))
+            kept.append(F.sum(f"_c{i}").over(before).alias(f"_cnt_before_{i}"))
+        if not ranked:
+            return states.select(*kept)
+        split = F.coalesce(F.lag("_last").over(along) == F.col("_first"), F.lit(False))
+        states = states.select(*kept, "_n", "_last_n", "_distinct", split.alias("_split"))
         # Rank of the last value of each piece; a piece of one continued value keeps the old rank.
         continued = F.col("_split") & (F.col("_distinct") == 1)
-        edges = edges.withColumn(
-            "_last_rank",
-            F.last(
-                F.when(~continued, F.col("_rows_before") + F.col("_rk_last")), ignorenulls=True
-            ).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-        edges = edges.select(
-            *pieces.keys,
-            "_piece",
-            "_split",
-            "_rows_before",
-            F.lag("_last_rank").over(along).alias("_carried_rank"),
-            (
-                F.coalesce(F.sum("_distinct").over(before), F.lit(0))
-                - F.sum(F.col("_split").cast("int")).over(
-                    along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                )
-            ).alias("_distinct_before"),
-        )
-        df = pieces.attach(df, edges)
-        if w.kind == "dense_rank":
-            made = F.dense_rank().over(by_value) + F.col("_distinct_before")
-        else:
-            here = F.rank().over(by_value)
-            made = F.when(F.col("_split") & (here == 1), F.col("_carried_rank")).otherwise(
-                here + F.col("_rows_before")
-            )
-        return df.withColumn(w.alias, made.cast("int")).drop(
-            "_split", "_rows_before", "_carried_rank", "_distinct_before"
+        own = F.col("_rows_before") + F.col("_n") - F.col("_last_n") + 1
+        states = states.withColumn("_last_rank", F.last(F.when(~continued, own), ignorenulls=True).over(upto))
+        carried = F.lag("_last_rank").over(along).alias("_carried_rank")
+        seen = F.coalesce(F.sum("_distinct").over(before), F.lit(0)) - F.sum(F.col("_split").cast("int")).over(upto)
+        return states.select("*", carried, seen.alias("_distinct_before")).drop(
+            "_n", "_last_n", "_distinct", "_last_rank"
         )
 
     def _near_rows(self, df: DataFrame, near: Sequence[_Wanted], size: int) -> DataFrame:
@@ -334,17 +333,29 @@ def sessionize(
     if hot is None:
         return plain
     pieces = Pieces(df, hot, order)
-    marked = pieces.with_previous(pieces.rows, {"_prev": timestamp}).withColumn(
-        "_starts", _starts_session(F.col(timestamp), F.col("_prev"), gap_minutes)
-    )
-    before = pieces.summary(marked, {"_sessions": F.sum("_starts")}).select(
+    before = F.lag(timestamp).over(pieces.window)
+    at_cut = F.lag("_seq").over(pieces.window).isNull()
+    inner = F.when(at_cut, 0).otherwise(_starts_session(F.col(timestamp), before, gap_minutes))
+    marked = pieces.rows.withColumn("_starts", inner)
+    # A piece adds its inner starts, and one more where its first row begins a session.
+    ends = pieces.summary(
+        marked,
+        {
+            "_inner": F.sum("_starts"),
+            "_first": F.min_by(timestamp, "_seq"),
+            "_last": F.max_by(timestamp, "_seq"),
+        },
+    ).withColumn("_carried", F.lag("_last").over(pieces.along()))
+    begins = _starts_session(F.col("_first"), F.col("_carried"), gap_minutes)
+    ends = ends.withColumn("_begins", begins).select(
         *keys,
         "_piece",
-        F.coalesce(F.sum("_sessions").over(pieces.before()), F.lit(0)).alias("_sessions_before"),
-    )
-    cut = pieces.attach(marked, before).withColumn(
-        "session_id", F.sum("_starts").over(pieces.running()) + F.col("_sessions_before")
+        (
+            F.coalesce(F.sum(F.col("_inner") + F.col("_begins")).over(pieces.before()), F.lit(0)) + F.col("_begins")
+        ).alias("_sessions_before"),
     )
+    counted = marked.withColumn("_here", F.sum("_starts").over(pieces.running()))
+    cut = pieces.attach(counted, ends).withColumn("session_id", F.col("_here") + F.col("_sessions_before"))
     return plain.unionByName(cut.select(*df.columns, "session_id"))
 
 

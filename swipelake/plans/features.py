@@ -70,7 +70,7 @@ def _customer_features(
     rows_per_task: int | None,
 ) -> DataFrame:
     """Per-customer columns. Ordinary customers: one shuffle for everything. Hot customers:
-    aggregates broadcast back (bounded), order columns carried across pieces."""
+    aggregates and order columns carried to their pieces."""
     totals = {}
     if amounts:
         totals["customer_avg_amount"] = F.avg(cols.amount)
@@ -115,16 +115,9 @@ def _hot_customers(
 ) -> DataFrame:
     kept = [*df.columns, *totals]
     if not velocity:
-        rows = hot.rows(df)
-        stats = rows.groupBy(F.col(cols.customer).alias("_on")).agg(
-            *[c.alias(n) for n, c in totals.items()]
-        )
-        match = rows[cols.customer].eqNullSafe(stats["_on"])
-        return rows.join(F.broadcast(stats), match, "left").select(*kept)
-    pieces = Pieces(df, hot, order)
-    rows = pieces.with_previous(pieces.numbered(), {"_prev_ts": cols.timestamp})
-    rows = rows.withColumn("txn_number", F.col("_global_rn").cast("int"))
-    return pieces.with_totals(rows, totals).select(*kept, "txn_number", "_prev_ts")
+        return Pieces(df, hot, order).with_totals(totals).select(*kept)
+    rows = Pieces(df, hot, order).numbered({"_prev_ts": cols.timestamp}, totals)
+    return rows.withColumn("txn_number", F.col("_global_rn").cast("int")).select(*kept, "txn_number", "_prev_ts")
 
 
 def amount_features(

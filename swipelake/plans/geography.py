@@ -11,11 +11,6 @@ from swipelake.functions.geo import haversine_km
 from swipelake.skew import group_stats
 
 
-# Medians are exact for customers of up to so many rows, however these are split; beyond that the
-# rank is off by at most one in so many.
-MEDIAN_ACCURACY = 1_000_000
-
-
 def geographic_features(
     df: DataFrame,
     cols: TxnColumns = DEFAULT_COLUMNS,
@@ -24,19 +19,17 @@ def geographic_features(
 ) -> DataFrame:
     """Distances, distance band, unusual-location flag and, with a state column, home state.
 
-    The home is the customer's median position; the home state is that of the earliest row.
+    The home is the customer's exact median position; the home state is that of the earliest row.
     A NULL distance falls in the farthest band unless ``null_distance_as`` names it.
     """
     present(df, [cols.customer, cols.lat, cols.lon, cols.merch_lat, cols.merch_lon])
     has_state = cols.state in df.columns
-    stats = {
-        "customer_median_lat": F.percentile_approx(cols.lat, 0.5, MEDIAN_ACCURACY),
-        "customer_median_long": F.percentile_approx(cols.lon, 0.5, MEDIAN_ACCURACY),
-    }
+    medians = {"customer_median_lat": cols.lat, "customer_median_long": cols.lon}
+    stats = {}
     if has_state:
         by = [c for c in (cols.timestamp, cols.transaction_id) if c in df.columns]
         stats["customer_home_state"] = F.min_by(cols.state, F.struct(*(by or [cols.state])))
-    df = group_stats(df, [cols.customer], stats, rows_per_task)
+    df = group_stats(df, [cols.customer], stats, rows_per_task, medians)
     lat, lon = F.col(cols.lat), F.col(cols.lon)
     to_merchant = haversine_km(lat, lon, F.col(cols.merch_lat), F.col(cols.merch_lon))
     from_home = haversine_km(F.col("customer_median_lat"), F.col("customer_median_long"), lat, lon)

@@ -1,11 +1,14 @@
 """Hot keys cut into pieces must give what plain windows give."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from catalog import joins_windows
 from swipelake.operators.windows import KeyedWindows, rank_in_group, sessionize
-from swipelake.skew import ROWS_PER_TASK, group_stats
+from swipelake import skew
+from swipelake.skew import ROWS_PER_TASK, group_medians, group_stats
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +129,46 @@ def test_registered_sessions_read_microseconds(spark):
     read = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "ts")
     assert read.filter(F.col("ts") != F.date_trunc("second", "ts")).count() > 0
     assert given.exceptAll(read).count() == read.exceptAll(given).count() == 0
+
+
+def test_cut_windows_join_twice(skewed):
+    """Cut keys meet their hot keys and one summary; rows of other keys only the hot keys."""
+    plan = all_windows(skewed, 150)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin (LeftAnti|LeftSemi|Inner|LeftOuter)", plan)) == 2
+
+
+@pytest.mark.parametrize("rows_per_task", [3, 40, ROWS_PER_TASK])
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_any_cut_gives_the_same(skewed, monkeypatch, rows_per_task, limit):
+    """Many more pieces than tasks, and summaries joined by a shuffle where they are too many to broadcast."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+    same(all_windows(skewed, ROWS_PER_TASK), all_windows(skewed, rows_per_task))
+    plain = sessionize(skewed, "k", "ts", tie_break="id", rows_per_task=ROWS_PER_TASK)
+    same(plain, sessionize(skewed, "k", "ts", tie_break="id", rows_per_task=rows_per_task))
+    aggs = {"n": F.count(F.lit(1)), "m": F.avg("v")}
+    medians = {"med": "v", "mid": "o"}
+    same(
+        group_stats(skewed, ["k"], aggs, ROWS_PER_TASK, medians),
+        group_stats(skewed, ["k"], aggs, rows_per_task, medians),
+    )
+    same(
+        group_stats(skewed, ["k"], {}, ROWS_PER_TASK, medians),
+        group_stats(skewed, ["k"], {}, rows_per_task, medians),
+    )
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 7, 200, ROWS_PER_TASK])
+def test_medians_are_exact(skewed, rows_per_task):
+    """Against sorting all values: ties, NULLs, a NULL key, a key without values, any cut."""
+    rows = [(r["k"], r["v"], r["o"]) for r in skewed.collect()] + [(99, None, None)] * 300
+    frame = skewed.sparkSession.createDataFrame(rows, "k long, v double, o int").repartition(5)
+    got = {r["k"]: (r["a"], r["b"]) for r in group_medians(frame, ["k"], {"a": "v", "b": "o"}, rows_per_task).collect()}
+
+    def middle(values):
+        kept = sorted(v for v in values if v is not None)
+        return kept[(len(kept) + 1) // 2 - 1] if kept else None
+
+    want = {
+        k: tuple(middle([r[c] for r in rows if r[0] == k]) for c in (1, 2)) for k in {r[0] for r in rows}
+    }
+    assert got == want
