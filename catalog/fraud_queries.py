@@ -123,15 +123,15 @@ _ODD = f"""{_STATS}, z AS (SELECT *, abs((amount - (SELECT m FROM st)) / (SELECT
  a AS (SELECT * FROM z WHERE z_score > 3)"""
 
 
-@query(
-    "anomaly_summary",
-    f"""WITH {_ODD}
+_ANOMALIES = f"""WITH {_ODD}
 SELECT 'Z-Score > 3' AS detection_method, (SELECT round(m, 2) FROM st) AS mean_amount, (SELECT round(sd, 2) FROM st) AS std_amount,
        (SELECT round(m + 3 * sd, 2) FROM st) AS threshold_amount, count(*) AS total_anomalies,
        count(*) FILTER (is_fraud = 1) AS fraudulent_anomalies,
        round(count(*) FILTER (is_fraud = 1) * 100.0::DOUBLE / count(*), 2) AS anomaly_fraud_rate_percent FROM a
-""",
-)
+"""
+
+
+@query("anomaly_summary", _ANOMALIES)
 def anomaly_summary(spark, folder):
     return fraud.anomaly_summary(txn(spark, folder), COLS)
 
@@ -223,26 +223,7 @@ def findings(spark, folder):
     return big(fraud.findings(txn(spark, folder), COLS))
 
 
-@query(
-    "report_json",
-    f"WITH {_RATES.format(key='category')} SELECT category, total_transactions, fraud_rate_percent FROM r",
-)
-def report_json(spark, folder):
-    """Sections written as JSON datasets, one of them read back."""
-    from swipelake.scratch import scratch_path
-    from swipelake.sources.files import read_json
-
-    path = scratch_path(spark, "report")
-    sections = fraud.report(txn(spark, folder), COLS)
-    fraud.write_report(sections, path)
-    schema = sections["fraud_by_category"].schema
-    made = read_json(spark, f"{path}/fraud_by_category", schema=schema)
-    return made.select("category", "total_transactions", "fraud_rate_percent")
-
-
-@query(
-    "report_summaries",
-    f"""WITH {_ODD}, {_RATES.format(key='category')}, p AS ({_PATTERNS}),
+_SUMMARIES = f"""WITH {_ODD}, {_RATES.format(key='category')}, p AS ({_PATTERNS}),
 m AS (SELECT merchant_id, count(*) AS n, count(*) FILTER (is_fraud = 1) AS f FROM txn GROUP BY merchant_id),
 k AS (SELECT * FROM m WHERE n >= 10 ORDER BY round(f * 100.0::DOUBLE / n, 4) DESC, merchant_id LIMIT 20),
 h AS (SELECT hour(txn_ts) AS hr, round(count(*) FILTER (is_fraud = 1) * 100.0::DOUBLE / count(*), 2) AS rate FROM txn GROUP BY 1),
@@ -259,7 +240,80 @@ UNION ALL SELECT 'fraud_by_merchant', 'Top 20 High-Risk Merchants', format('Iden
 UNION ALL SELECT 'high_risk_patterns', 'High-Risk Transaction Patterns', format('Analyzed {{}} transaction patterns', count(*)) FROM p
 UNION ALL SELECT 'anomalies', 'Anomaly Detection', format('Detected {{:,}} statistical anomalies, {{}} are fraud ({{:.1f}}%)', n, f, rate) FROM o
 UNION ALL SELECT 'fraud_by_hour', 'Time-Based Fraud Trends', format('Peak fraud hour: {{}}:00', arg_min(hr, (-rate, hr))) FROM h
-""",
+"""
+
+
+# Key and numbers of each section as published.
+_PUBLISHED = {
+    "executive_summary": (None, ("total_transactions", "fraud_transactions", "legitimate_transactions", "fraud_rate_percent",
+        "total_amount", "fraud_amount", "amount_at_risk_percent", "avg_fraud_transaction", "avg_legitimate_transaction")),
+    "fraud_by_category": ("category", ("total_transactions", "fraud_count", "total_amount", "fraud_amount", "fraud_rate_percent")),
+    "fraud_by_merchant": ("merchant_id", ("total_transactions", "fraud_count", "total_amount", "fraud_rate_percent")),
+    "high_risk_patterns": ("pattern", ("occurrences", "fraud_count", "fraud_rate_percent")),
+    "anomalies": ("detection_method", ("mean_amount", "std_amount", "threshold_amount", "total_anomalies",
+        "fraudulent_anomalies", "anomaly_fraud_rate_percent")),
+    "anomaly_examples": ("transaction_id", ("amount", "z_score", "is_fraud")),
+    "fraud_by_hour": ("hour", ("total", "fraud_count", "fraud_rate")),
+    "fraud_by_weekday": ("day_of_week", ("total", "fraud_count", "fraud_rate")),
+    "findings": ("message", ("rank",)),
+    "summaries": ("summary", ()),
+}
+
+
+def _published(section: str, source: str) -> str:
+    key, numbers = _PUBLISHED[section]
+    item = "''" if key is None else f"CAST({key} AS VARCHAR)"
+    names = ", ".join(f"'{n}'" for n in numbers) or "'text'"
+    values = ", ".join(f"CAST({n} AS DOUBLE)" for n in numbers) or "CAST(NULL AS DOUBLE)"
+    return (
+        f"SELECT section, item, measure, rnd(value, 4) AS value FROM (SELECT '{section}' AS section, {item} AS item, "
+        f"unnest([{names}]) AS measure, unnest([{values}]) AS value FROM {source})"
+    )
+
+
+def _report_sql() -> str:
+    sources = {
+        "executive_summary": f"(WITH {_SUMMARY} {_SUMMARY_ROW})",
+        "fraud_by_category": f"(WITH {_RATES.format(key='category')} SELECT * FROM r)",
+        "fraud_by_merchant": f"({_merchants(20)})",
+        "high_risk_patterns": f"(WITH {_STATS} {_PATTERNS})",
+        "anomalies": f"({_ANOMALIES})",
+        "anomaly_examples": f"(WITH {_ODD} SELECT * FROM a ORDER BY z_score DESC, transaction_id LIMIT 10)",
+        "fraud_by_hour": f"(WITH {_HOUR} SELECT * FROM t)",
+        "fraud_by_weekday": f"(WITH {_DAY} SELECT * FROM t)",
+        "findings": f"({_FINDINGS})",
+        "summaries": f"({_SUMMARIES})",
+    }
+    return " UNION ALL ".join(_published(section, source) for section, source in sources.items())
+
+
+@query("report_json", _report_sql())
+def report_json(spark, folder):
+    """All sections written as JSON datasets and read back: their numbers and sentences."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from swipelake.scratch import scratch_path
+    from swipelake.sources.files import read_json
+
+    path = scratch_path(spark, "report")
+    sections = fraud.report(txn(spark, folder), COLS)
+    fraud.write_report(sections, path)
+    made = []
+    for name, frame in sections.items():
+        key, numbers = _PUBLISHED[name]
+        item = F.lit("") if key is None else F.col(key).cast("string")
+        values = [(n, F.col(n).cast("double")) for n in numbers] or [("text", F.lit(None).cast("double"))]
+        pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), v.alias("value")) for n, v in values]))
+        read = read_json(spark, f"{path}/{name}", schema=frame.schema)
+        made.append(read.select(F.lit(name).alias("section"), item.alias("item"), pairs))
+    return rounded(reduce(DataFrame.unionByName, made), 4)
+
+
+@query(
+    "report_summaries",
+    _SUMMARIES,
 )
 def report_summaries(spark, folder):
     """The sentences as written with the report."""

@@ -133,3 +133,10 @@ SECTION_NAMES = {
     "anomalies": "Anomaly Detection",
     "fraud_by_hour": "Time-Based Fraud Trends",
 }
+
+# Titles of the amount patterns (fixed values).
+PATTERN_NAMES = {
+    "high": "High-Value Transactions",
+    "low": "Low-Value Transactions (Card Testing)",
+    "round": "Round Amount Transactions",
+}

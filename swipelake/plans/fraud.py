@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swipelake.columns import DEFAULT_COLUMNS, TxnColumns, present
-from swipelake.fixed_values import SECTION_NAMES
+from swipelake.fixed_values import PATTERN_NAMES, SECTION_NAMES
 from swipelake.operators.clean import Step
 from swipelake.plans.cube import MEASURES, cube, facts
+from swipelake.scratch import written
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -126,57 +128,43 @@ def risky_merchants(
     return enough.orderBy(F.desc("fraud_rate_percent"), cols.merchant).limit(top)
 
 
-def _amount_stats(df: DataFrame, cols: TxnColumns) -> Column:
-    """Mean and deviation of the amount as one scalar subquery."""
-    pair = F.struct(F.avg(cols.amount).alias("mean"), F.stddev(cols.amount).alias("sd"))
-    return df.agg(pair).scalar()
+@dataclass(frozen=True)
+class AmountFacts:
+    """What the pattern and anomaly sections need: two tables, each from one pass over the transactions.
 
+    ``stats`` is one row: mean and deviation of the amount and the counts that need neither. ``outliers`` are
+    the rows beyond a limit, narrow and with their ``z_score``: at most a quarter of all rows can lie
+    more than two deviations from the mean.
+    """
 
-def _risk_level(rate: Column) -> Column:
-    return F.when(rate > 5, "HIGH").when(rate > 1, "MEDIUM").otherwise("LOW")
+    stats: DataFrame
+    outliers: DataFrame
+    limit: float
 
+    def pair(self) -> Column:
+        """Mean and deviation as one scalar subquery."""
+        return self.stats.select(F.struct("mean", "sd")).scalar()
 
-def risk_patterns(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
-    """High, very low and round amounts: three conditional counts in one pass, three rows."""
+
+def amount_facts(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, limit: float = 3) -> AmountFacts:
     present(df, [cols.fraud, cols.amount])
-    stats, amount = _amount_stats(df, cols), F.col(cols.amount)
-    limit = F.coalesce(stats["mean"], F.lit(0.0)) + 2 * F.coalesce(stats["sd"], F.lit(0.0))
-    patterns = (
-        ("High-Value Transactions", F.format_string(">$%.2f", limit), amount > limit),
-        ("Low-Value Transactions (Card Testing)", F.lit("<$5.00"), amount < 5),
-        ("Round Amount Transactions", F.lit("Divisible by $100"), amount % 100 == 0),
-    )
-    fraud = F.col(cols.fraud) == 1
-    counts = [
-        F.struct(F.count_if(hit).alias("occurrences"), F.count_if(hit & fraud).alias("fraud_count"))
-        for _, _, hit in patterns
-    ]
-    one = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)])
-    rows = one.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("pattern"),
-                        threshold.alias("threshold"),
-                        F.col(f"c{i}")["occurrences"].alias("occurrences"),
-                        F.col(f"c{i}")["fraud_count"].alias("fraud_count"),
-                    )
-                    for i, (name, threshold, _) in enumerate(patterns)
-                ]
-            )
-        )
-    )
-    rate = _percent(F.col("fraud_count"), F.col("occurrences"))
-    return rows.withColumns(
-        {"fraud_rate_percent": F.round(rate, 2), "risk_level": _risk_level(rate)}
+    amount, fraud = F.col(cols.amount), F.col(cols.fraud) == 1
+    low, whole = amount < 5, amount % 100 == 0
+    stats = df.agg(
+        F.avg(amount).alias("mean"),
+        F.stddev(amount).alias("sd"),
+        F.count_if(low).alias("low"),
+        F.count_if(low & fraud).alias("low_frauds"),
+        F.count_if(whole).alias("round"),
+        F.count_if(whole & fraud).alias("round_frauds"),
     )
-
-
-def with_abs_zscore(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> DataFrame:
-    stats = _amount_stats(df, cols)
-    mean, sd = _mean_sd(stats)
-    return df.withColumn("z_score", F.abs((F.col(cols.amount) - mean) / sd))
+    stats = written(stats, "amount_stats")
+    pair = stats.select(F.struct("mean", "sd")).scalar()
+    mean, sd = _mean_sd(pair)
+    named = [c for c in (cols.transaction_id, cols.category) if c in df.columns]
+    narrow = df.select(*named, cols.amount, cols.fraud).withColumn("z_score", F.abs((amount - mean) / sd))
+    far = narrow.filter((F.col("z_score") > limit) | (amount > _high_limit(pair)))
+    return AmountFacts(stats, written(far, "amount_outliers"), limit)
 
 
 def _mean_sd(stats: Column) -> tuple[Column, Column]:
@@ -185,16 +173,59 @@ def _mean_sd(stats: Column) -> tuple[Column, Column]:
     return F.coalesce(stats["mean"], F.lit(0.0)), sd
 
 
-def anomaly_summary(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, limit: float = 3) -> DataFrame:
+def _high_limit(stats: Column) -> Column:
+    return F.coalesce(stats["mean"], F.lit(0.0)) + 2 * F.coalesce(stats["sd"], F.lit(0.0))
+
+
+def _risk_level(rate: Column) -> Column:
+    return F.when(rate > 5, "HIGH").when(rate > 1, "MEDIUM").otherwise("LOW")
+
+
+def risk_patterns(
+    df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, amounts: AmountFacts | None = None
+) -> DataFrame:
+    """High, very low and round amounts, three rows. ``amounts`` are facts made earlier."""
+    amounts = amounts or amount_facts(df, cols)
+    limit = _high_limit(amounts.pair())
+    high = amounts.outliers.filter(F.col(cols.amount) > limit)
+    high = high.agg(F.count(F.lit(1)).alias("high"), F.count_if(F.col(cols.fraud) == 1).alias("high_frauds"))
+    one = amounts.stats.crossJoin(F.broadcast(high))  # one row each
+    names = PATTERN_NAMES
+    patterns = (
+        (names["high"], F.format_string(">$%.2f", limit), "high"),
+        (names["low"], F.lit("<$5.00"), "low"),
+        (names["round"], F.lit("Divisible by $100"), "round"),
+    )
+    listed = [
+        F.struct(
+            F.lit(name).alias("pattern"),
+            threshold.alias("threshold"),
+            F.col(count).alias("occurrences"),
+            F.col(f"{count}_frauds").alias("fraud_count"),
+        )
+        for name, threshold, count in patterns
+    ]
+    rate = _percent(F.col("fraud_count"), F.col("occurrences"))
+    return one.select(F.inline(F.array(*listed))).withColumns(
+        {"fraud_rate_percent": F.round(rate, 2), "risk_level": _risk_level(rate)}
+    )
+
+
+def anomaly_summary(
+    df: DataFrame,
+    cols: TxnColumns = DEFAULT_COLUMNS,
+    limit: float = 3,
+    amounts: AmountFacts | None = None,
+) -> DataFrame:
     """Rows more than ``limit`` deviations from the mean, on either side.
 
     The reported threshold is the upper one.
     """
-    mean, sd = _mean_sd(_amount_stats(df, cols))
-    odd = F.col("z_score") > limit
-    one = with_abs_zscore(df, cols).agg(
-        F.count_if(odd).alias("total_anomalies"),
-        F.count_if(odd & (F.col(cols.fraud) == 1)).alias("fraudulent_anomalies"),
+    amounts = amounts or amount_facts(df, cols, limit)
+    mean, sd = _mean_sd(amounts.pair())
+    one = amounts.outliers.filter(F.col("z_score") > limit).agg(
+        F.count(F.lit(1)).alias("total_anomalies"),
+        F.count_if(F.col(cols.fraud) == 1).alias("fraudulent_anomalies"),
     )
     return one.select(
         F.lit(f"Z-Score > {limit:g}").alias("detection_method"),
@@ -210,10 +241,16 @@ def anomaly_summary(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, limit: fl
 
 
 def top_anomalies(
-    df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, limit: float = 3, top: int = 10
+    df: DataFrame,
+    cols: TxnColumns = DEFAULT_COLUMNS,
+    limit: float = 3,
+    top: int = 10,
+    amounts: AmountFacts | None = None,
 ) -> DataFrame:
     """The ``top`` rows farthest out, ties by id."""
-    odd = with_abs_zscore(df, cols).filter(F.col("z_score") > limit)
+    present(df, [cols.transaction_id])
+    amounts = amounts or amount_facts(df, cols, limit)
+    odd = amounts.outliers.filter(F.col("z_score") > limit)
     named = [c for c in (cols.category,) if c in df.columns]
     return (
         odd.select(cols.transaction_id, cols.amount, "z_score", cols.fraud, *named)
@@ -275,31 +312,45 @@ def peak_days(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, top: int = 2) -
     return fraud_by_weekday(df, cols).orderBy(F.desc("fraud_rate"), "day_of_week").limit(top)
 
 
+class _Facts:
+    """Everything the sections are made from, each part made when first needed: three passes over ``df`` in all."""
+
+    def __init__(self, df: DataFrame, cols: TxnColumns):
+        self.df, self.cols = df, cols
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return cube(self.df, self.cols)
+
+    @cached_property
+    def amounts(self) -> AmountFacts:
+        return amount_facts(self.df, self.cols)
+
+
+_SECTIONS: dict[str, Callable[[_Facts], DataFrame]] = {
+    "executive_summary": lambda f: fraud_summary(f.counts, f.cols),
+    "fraud_by_category": lambda f: fraud_by_category(f.counts, f.cols),
+    "fraud_by_merchant": lambda f: risky_merchants(f.counts, f.cols),
+    "high_risk_patterns": lambda f: risk_patterns(f.df, f.cols, f.amounts),
+    "anomalies": lambda f: anomaly_summary(f.df, f.cols, amounts=f.amounts),
+    "anomaly_examples": lambda f: top_anomalies(f.df, f.cols, amounts=f.amounts),
+    "fraud_by_hour": lambda f: fraud_by_hour(f.counts, f.cols),
+    "fraud_by_weekday": lambda f: fraud_by_weekday(f.counts, f.cols),
+    "findings": lambda f: findings(f.df, f.cols, f.counts, f.amounts),
+}
+
+
 def report(df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS) -> dict[str, DataFrame]:
     """All analyses by section, with a ``summaries`` section of names and sentences.
 
-    The counting sections share one pass over ``df``, made here and written as a cube; the
-    amount sections (patterns, anomalies) read ``df`` once each, with one pass for its
-    mean and deviation.
+    ``df`` is read three times, here: for the cube behind the counting sections, for mean and deviation, and for
+    the rows far from the mean. All sections, findings and sentences come from these written tables.
     """
-    sections = _sections(df, cube(df, cols), cols)
+    facts = _Facts(df, cols)
+    sections = {name: make(facts) for name, make in _SECTIONS.items()}
     return {**sections, "summaries": section_summaries(sections, cols)}
 
 
-def _sections(df: DataFrame, counts: DataFrame, cols: TxnColumns) -> dict[str, DataFrame]:
-    return {
-        "executive_summary": fraud_summary(counts, cols),
-        "fraud_by_category": fraud_by_category(counts, cols),
-        "fraud_by_merchant": risky_merchants(counts, cols),
-        "high_risk_patterns": risk_patterns(df, cols),
-        "anomalies": anomaly_summary(df, cols),
-        "anomaly_examples": top_anomalies(df, cols),
-        "fraud_by_hour": fraud_by_hour(counts, cols),
-        "fraud_by_weekday": fraud_by_weekday(counts, cols),
-        "findings": findings(df, cols, counts),
-    }
-
-
 def _lines(df: DataFrame, section: str, rank: Column | int, text: Column) -> DataFrame:
     rank = rank if isinstance(rank, Column) else F.lit(rank)
     return df.select(
@@ -315,11 +366,15 @@ def _ranked(df: DataFrame, top: int, *order: Column | str) -> DataFrame:
 
 
 def findings(
-    df: DataFrame, cols: TxnColumns = DEFAULT_COLUMNS, counts: DataFrame | None = None
+    df: DataFrame,
+    cols: TxnColumns = DEFAULT_COLUMNS,
+    counts: DataFrame | None = None,
+    amounts: AmountFacts | None = None,
 ) -> DataFrame:
-    """What to act on, as rows (section, rank, message). ``counts`` is a cube made earlier."""
+    """What to act on, as rows (section, rank, message). ``counts`` and ``amounts`` are facts made earlier."""
     made: list[DataFrame] = []
     counts = cube(df, cols) if counts is None else counts
+    amounts = amounts or amount_facts(df, cols)
     total = fraud_summary(counts, cols)
     rate, paid, legit = (
         F.col("fraud_rate_percent"),
@@ -376,9 +431,9 @@ def findings(
             ),
         )
     )
-    patterns = risk_patterns(df, cols).filter(F.col("risk_level") != "LOW")
-    order = F.when(F.col("pattern").startswith("High"), 1).when(
-        F.col("pattern").startswith("Low"), 2
+    patterns = risk_patterns(df, cols, amounts).filter(F.col("risk_level") != "LOW")
+    order = F.when(F.col("pattern") == PATTERN_NAMES["high"], 1).when(
+        F.col("pattern") == PATTERN_NAMES["low"], 2
     )
     made.append(
         _lines(
@@ -390,9 +445,8 @@ def findings(
             ),
         )
     )
-    # One row with both sentences, so that the anomalies are counted once.
     odd_rate = F.col("anomaly_fraud_rate_percent")
-    odd = anomaly_summary(df, cols).select(
+    odd = anomaly_summary(df, cols, amounts=amounts).select(
         F.inline(
             F.array(
                 F.struct(
@@ -489,5 +543,7 @@ def write_report(sections: Mapping[str, DataFrame], path: str, mode: str = "over
 
 
 def analysis(question: str, cols: TxnColumns = DEFAULT_COLUMNS) -> Step:
-    """One section as a step for ``chain``."""
-    return lambda df: report(df, cols)[question]
+    """One section as a step for ``chain``: only what it needs is read."""
+    if question == "summaries":
+        return lambda df: report(df, cols)[question]
+    return lambda df: _SECTIONS[question](_Facts(df, cols))

@@ -174,6 +174,34 @@ def test_patterns_and_anomalies(made):
     assert [r["amount"] for r in top] == sorted((r["amount"] for r in odd), reverse=True)[:10]
 
 
+def test_report_reads_the_source_three_times(made, spark, tmp_path, monkeypatch):
+    """Cube, mean and deviation, outliers; all ten sections come from these tables."""
+    from swipelake.plans import cube as cubes
+
+    made.write.parquet(str(tmp_path / "source"))
+    source = spark.read.parquet(str(tmp_path / "source"))
+    fields = sorted(source.columns)
+
+    def scans(frame):
+        """Leaves of the plan that read the source, told by its files' columns."""
+        plan = frame._jdf.queryExecution().analyzed()
+        leaves = plan.collectLeaves()
+        read = [leaves.apply(i) for i in range(leaves.size())]
+        return sum(sorted(a.strip("[]").split("#")[0].strip() for a in str(r.output().mkString(",")).split(",")) == fields for r in read)
+
+    seen = []
+    for module in (fraud, cubes):
+        real = module.written
+        monkeypatch.setattr(module, "written", lambda df, label, real=real: seen.append(scans(df)) or real(df, label))
+    sections = fraud.report(source, COLS)
+    assert len(sections) == 10 and sum(seen) == 3 and len(seen) == 3
+    assert all(scans(frame) == 0 for frame in sections.values())
+    assert all(frame.count() > 0 for frame in sections.values())
+    seen.clear()
+    hours = fraud.analysis("fraud_by_hour", COLS)(source)
+    assert sum(seen) == 1 and hours.collect() == sections["fraud_by_hour"].collect()
+
+
 def test_weekday_names(sample):
     got = {r["day_of_week"]: r["day"] for r in fraud.fraud_by_weekday(sample).collect()}
     assert got == {5: "Thursday", 6: "Friday", 7: "Saturday"}
