@@ -1,6 +1,7 @@
 """Joins, windows, set operations and layout."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from catalog.base import CUT_ROWS, big, pick, query, rounded, table, txn
 from swipelake.operators import joins, layout
@@ -96,6 +97,36 @@ def join_colocated(spark, folder):
     return _per_customer(orders.join(joins.colocated(lines, ["o_orderkey"]), "o_orderkey"))
 
 
+@query(
+    "join_bucketed",
+    """
+SELECT o_orderkey, l_linenumber::BIGINT AS l_linenumber, o_custkey, rnd(l_extendedprice / o_totalprice, 6) AS part,
+       row_number() OVER (PARTITION BY o_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS place,
+       count(*) OVER (PARTITION BY o_orderkey) AS lines
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+""",
+)
+def join_bucketed(spark, folder):
+    """Orders and lines stored by order key; the join and the windows find each order in one place."""
+    orders, lines = _bucketed(spark, folder)
+    by_order = Window.partitionBy("o_orderkey")
+    ranked = by_order.orderBy(F.desc("l_extendedprice"), "l_partkey", "l_linenumber")
+    made = joins.bucketed_join(lines, orders, ["o_orderkey"]).select(
+        "o_orderkey",
+        "l_linenumber",
+        "o_custkey",
+        (F.col("l_extendedprice") / F.col("o_totalprice")).alias("part"),
+        F.row_number().over(ranked).cast("long").alias("place"),
+        F.count(F.lit(1)).over(by_order).alias("lines"),
+    )
+    return big(rounded(made, 6))
+
+
+def _bucketed(spark, folder, buckets=8):
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return joins.bucketed(_orders(spark, folder), ["o_orderkey"], buckets), joins.bucketed(lines, ["o_orderkey"], buckets)
+
+
 @query(
     "salted_join",
     """

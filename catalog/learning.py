@@ -148,12 +148,54 @@ def ml_train_score(spark, folder):
     return model.score(fitted, test, inputs).select("transaction_id", "is_fraud", "prediction")
 
 
-@query("ml_metrics")
-def ml_metrics(spark, folder):
+@query("ml_model_summary")
+def ml_model_summary(spark, folder):
     fitted, train, test, inputs = _trained(spark, folder)
     return model.model_summary(fitted, train, test, inputs)
 
 
+@query(
+    "ml_metrics",
+    """
+WITH s AS (SELECT is_fraud AS label, floor(amount / 5) AS score, CASE WHEN amount > 100 THEN 1 ELSE 0 END AS said,
+  ('0x' || substr(md5('42:split:' || is_fraud || ':' || transaction_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 AS is_test FROM txn),
+g AS (SELECT score, count(*) FILTER (label = 1)::DOUBLE AS p, count(*) FILTER (label = 0)::DOUBLE AS n FROM s WHERE is_test GROUP BY score),
+c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS ap, sum(n) OVER () AS an FROM g WINDOW w AS (ORDER BY score DESC)),
+a AS (SELECT sum(n * (tp - p / 2)) / max(ap * an) AS roc, sum(p / ap * (tp / (tp + fp)
+  + CASE WHEN tp - p + fp - n > 0 THEN (tp - p) / (tp - p + fp - n) ELSE tp / (tp + fp) END) / 2) AS pr, sum(p / ap * tp / (tp + fp)) AS mean FROM c),
+m AS (SELECT count(*) FILTER (label = 1 AND said = 1)::DOUBLE AS tp, count(*) FILTER (label = 0 AND said = 1)::DOUBLE AS fp,
+  count(*) FILTER (label = 0 AND said = 0)::DOUBLE AS tn, count(*) FILTER (label = 1 AND said = 0)::DOUBLE AS fn FROM s WHERE is_test),
+d AS (SELECT *, tp + fp + tn + fn AS n, tp / (tp + fp) AS p1, tp / (tp + fn) AS r1, tn / (tn + fn) AS p0, tn / (tn + fp) AS r0 FROM m)
+SELECT 'metrics' AS section, unnest(['auc_roc', 'auc_pr', 'average_precision', 'true_positive', 'false_positive', 'true_negative',
+  'false_negative', 'accuracy', 'precision', 'recall', 'f1_score']) AS name, unnest([rnd(roc, 6), rnd(pr, 6), rnd(mean, 6), tp, fp, tn, fn,
+  rnd((tp + tn) / n, 6), rnd(((tp + fn) * p1 + (tn + fp) * p0) / n, 6), rnd(((tp + fn) * r1 + (tn + fp) * r0) / n, 6),
+  rnd(((tp + fn) * 2 * p1 * r1 / (p1 + r1) + (tn + fp) * 2 * p0 * r0 / (p0 + r0)) / n, 6)]) AS "value" FROM a, d
+UNION ALL SELECT 'rows', 'train_rows', count(*) FILTER (NOT is_test)::DOUBLE FROM s
+UNION ALL SELECT 'rows', 'test_rows', count(*) FILTER (is_test)::DOUBLE FROM s
+""",
+)
+def ml_metrics(spark, folder):
+    """The summary of a fixed score and rule, so that SQL can tell every figure."""
+    train, test = model.split(txn(spark, folder), "transaction_id", "is_fraud")
+    said = F.when(F.col("amount") > 100, 1).otherwise(0).alias("prediction")
+    predictions = test.select("is_fraud", F.floor(F.col("amount") / 5).alias("score"), said)
+    return rounded(model.summary_rows(predictions, None, train), 6)
+
+
+@query(
+    "ml_vocabulary",
+    """
+WITH v AS (SELECT 'merchant_id' AS feature, merchant_id::VARCHAR AS value FROM txn
+  UNION ALL SELECT 'device_type', device_type FROM txn UNION ALL SELECT 'customer_id', customer_id::VARCHAR FROM txn)
+SELECT feature, value, count(*) AS rows FROM v WHERE value IS NOT NULL GROUP BY feature, value
+QUALIFY row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, value) <= 31
+""",
+)
+def ml_vocabulary(spark, folder):
+    """The category values that a forest of 32 bins keeps."""
+    return model.category_vocabulary(txn(spark, folder), ["merchant_id", "device_type", "customer_id"], 31)
+
+
 @query(
     "ml_scored_ids",
     """
@@ -194,8 +236,8 @@ def ml_rule_predictions(spark, folder):
 @query(
     "ml_rule_metrics",
     f"""WITH {_RULE_TEST}, c AS (SELECT count(*) FILTER (label = 1)::DOUBLE AS p, count(*) FILTER (label = 0)::DOUBLE AS n FROM s WHERE is_test)
-SELECT unnest(['auc_roc', 'auc_pr', 'true_positive', 'false_positive', 'true_negative', 'false_negative', 'accuracy',
-  'precision', 'recall', 'f1_score']) AS metric, unnest([1.0, 1.0, p, 0.0, n, 0.0, 1.0, 1.0, 1.0, 1.0]::DOUBLE[]) AS "value" FROM c""",
+SELECT unnest(['auc_roc', 'auc_pr', 'average_precision', 'true_positive', 'false_positive', 'true_negative', 'false_negative', 'accuracy',
+  'precision', 'recall', 'f1_score']) AS metric, unnest([1.0, 1.0, 1.0, p, 0.0, n, 0.0, 1.0, 1.0, 1.0, 1.0]::DOUBLE[]) AS "value" FROM c""",
 )
 def ml_rule_metrics(spark, folder):
     fitted, test, inputs = _rule_trained(spark, folder)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from swipelake.columns import present
 from swipelake.functions.bands import mapped
-from swipelake.scratch import written
+from swipelake.scratch import scratch_path, written
 from swipelake.skew import (
     ROWS_PER_TASK,
     HotKeys,
@@ -64,6 +65,34 @@ def colocated(df: DataFrame, keys: Sequence[str], partitions: int | None = None)
     return df.repartition(partitions, *by) if partitions else df.repartition(*by)
 
 
+def bucketed(
+    df: DataFrame,
+    keys: Sequence[str],
+    buckets: int | None = None,
+    sort: Sequence[str] = (),
+    name: str | None = None,
+) -> DataFrame:
+    """``df`` stored once as a table hashed by ``keys`` into ``buckets``, each sorted by keys and ``sort``.
+
+    Joins of two tables with as many buckets, and windows and aggregates by the keys, then need no shuffle, however
+    often they run. The default is the session's number of shuffle partitions. Each bucket is written by one
+    task, so a key that fills a task alone belongs in ``salted_join``. The table stays under ``name`` (default: a fresh one)
+    until the caller drops it; its files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    by = present(df, keys)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    placed = df.repartition(n, *[F.col(k) for k in by]).write.bucketBy(n, *by).sortBy(*by, *present(df, sort))
+    placed.option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+def bucketed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Merge join of two ``bucketed`` tables where they lie; sides of unequal layout are shuffled as usual."""
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,

@@ -7,15 +7,17 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from swipelake.columns import DEFAULT_COLUMNS, TxnColumns, numeric_columns, present
 from swipelake.fixed_values import MODEL_NUMERIC
 from swipelake.functions.draws import uniform
 from swipelake.scratch import scratch_path, written
+from swipelake.skew import ROWS_PER_TASK, cut_by_range
 
 
 @dataclass(frozen=True)
@@ -72,6 +74,32 @@ def split(
     return both.filter(~test).drop("is_test"), both.filter(test).drop("is_test")
 
 
+def category_vocabulary(rows: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """``feature, value, rows``: the ``most`` commonest values of each column, ties by value, NULL left out.
+
+    All columns are counted in one shuffle, and only the chosen values leave it.
+    """
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns]
+    counted = rows.select(F.inline(F.array(*pairs))).filter("value is not null").groupBy("feature", "value").count()
+    place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("count"), "value"))
+    kept = counted.withColumn("place", place).filter(F.col("place") <= most)
+    return kept.select("feature", "value", F.col("count").alias("rows"))
+
+
+def bound_categories(rows: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """``rows`` with all but the ``most`` commonest values of each category column set to NULL."""
+    if not columns:
+        return rows
+    vocabulary = written(category_vocabulary(rows, columns, most), "vocabulary")
+    for c in columns:
+        # At most ``most`` values.
+        known = vocabulary.filter(F.col("feature") == c).select(F.col("value").alias("_known"))
+        value = F.col(c).cast("string")
+        rows = rows.join(F.broadcast(known), value == F.col("_known"), "left")
+        rows = rows.withColumn(c, F.col("_known")).drop("_known")
+    return rows
+
+
 def train(
     rows: DataFrame,
     inputs: ModelInputs,
@@ -82,13 +110,16 @@ def train(
 ) -> PipelineModel:
     """Fit indexers and forest. The needed columns are written once for all tree levels.
 
-    A category column may have at most ``max_bins`` values, which bounds what its indexer brings to the driver.
+    A category column keeps its ``max_bins - 1`` commonest values, found on the executors; all others share the bin
+    of NULL and unseen values, in training and in scoring alike. So a column may have any number of values, and an
+    indexer brings at most ``max_bins - 1`` of them to the driver.
 
     The model is saved and read back: the copy does not hold the training summary, which keeps
     a reference to the session and cannot be sent to executors once metrics were observed in it.
     """
     used = [inputs.label, *inputs.numeric, *inputs.categorical]
-    rows = written(rows.select(*dict.fromkeys(used)), "train")
+    rows = bound_categories(rows.select(*dict.fromkeys(used)), inputs.categorical, max_bins - 1)
+    rows = written(rows, "train")
     stages = [
         StringIndexer(inputCol=c, outputCol=f"{c}_indexed", handleInvalid="keep")
         for c in inputs.categorical
@@ -162,21 +193,76 @@ def class_metrics(matrix: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(model: PipelineModel, test: DataFrame, inputs: ModelInputs) -> DataFrame:
-    """(metric, value) rows: AUC-ROC, AUC-PR, accuracy, precision, recall, F1, test rows.
+def score_areas(
+    predictions: DataFrame,
+    label: str = "is_fraud",
+    score_column: str = "score",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """One row: exact ``auc_roc``, ``auc_pr`` (trapezoids) and ``average_precision`` of a score.
 
-    The predictions are written once, with label, raw score and class only.
+    Rows of one score are added up, so ties count half in the ROC area and are one step of the curve. The scores are cut
+    by range, highest first; each piece starts from the sums of the pieces before it. Rows without label or score
+    are left out; NULL where a class is missing.
     """
-    scored = score(model, test, inputs).select(inputs.label, "rawPrediction", "prediction")
-    scored = written(scored, "predictions")
-    areas = [
-        (name, BinaryClassificationEvaluator(labelCol=inputs.label, metricName=area).evaluate(scored))
-        for name, area in (("auc_roc", "areaUnderROC"), ("auc_pr", "areaUnderPR"))
-    ]
-    one = class_metrics(confusion_matrix(scored, inputs.label)).first().asDict()
-    return test.sparkSession.createDataFrame(
-        [*areas, *[(n, float(v)) for n, v in one.items()]], "metric string, value double"
+    used = predictions.filter(F.col(label).isin(0, 1) & F.col(score_column).isNotNull())
+    steps = used.groupBy(F.col(score_column).cast("double").alias("_score")).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )
+    steps = written(steps, "score_steps")
+    cut = cut_by_range(steps, [F.desc("_score")], steps.count(), rows_per_task)
+    sums = cut.groupBy("_piece").agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    # One row for each piece.
+    ahead = Window.partitionBy().orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    sums = sums.select(
+        F.col("_piece").alias("_in"),
+        F.coalesce(F.sum("_p").over(ahead), F.lit(0)).alias("_p_before"),
+        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n_before"),
+        F.sum("_p").over(every).cast("double").alias("_all_pos"),
+        F.sum("_n").over(every).cast("double").alias("_all_neg"),
+    )
+    here = Window.partitionBy("_piece").orderBy(F.desc("_score")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.select("_piece", "_pos", "_neg", F.sum("_pos").over(here).alias("_tp"), F.sum("_neg").over(here).alias("_fp"))
+    placed = placed.join(sums, F.col("_piece") == F.col("_in"))
+    hit, miss = F.col("_tp") + F.col("_p_before"), F.col("_fp") + F.col("_n_before")
+    hit_before, miss_before = hit - F.col("_pos"), miss - F.col("_neg")
+    precision = hit / (hit + miss)
+    last_precision = F.coalesce(F.try_divide(hit_before, hit_before + miss_before), precision)
+    width = F.try_divide(F.col("_pos"), F.col("_all_pos"))
+    above = F.col("_neg") * (hit_before + F.col("_pos") / 2)
+    return placed.agg(
+        F.sum(F.try_divide(above, F.col("_all_pos") * F.col("_all_neg"))).alias("auc_roc"),
+        F.sum(width * (precision + last_precision) / 2).alias("auc_pr"),
+        F.sum(width * precision).alias("average_precision"),
+    )
+
+
+def _named(one: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns of a one-row frame as ``metric, value`` rows."""
+    pairs = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
+    return one.select(F.inline(F.array(*pairs)))
+
+
+def prediction_metrics(
+    predictions: DataFrame, label: str = "is_fraud", score_column: str = "score", prediction: str = "prediction"
+) -> DataFrame:
+    """(metric, value) rows of predictions: areas under the curves, the four counts, accuracy, precision, recall, F1."""
+    classes = class_metrics(confusion_matrix(predictions, label, prediction))
+    areas = score_areas(predictions, label, score_column)
+    return _named(areas, areas.columns).unionByName(_named(classes, classes.columns))
+
+
+def predictions_of(model: PipelineModel, test: DataFrame, inputs: ModelInputs) -> DataFrame:
+    """Label, score (of class 1) and prediction of test rows, written once."""
+    scored = score(model, test, inputs)
+    shown = scored.select(inputs.label, vector_to_array("probability")[1].alias("score"), "prediction")
+    return written(shown, "predictions")
+
+
+def evaluate(model: PipelineModel, test: DataFrame, inputs: ModelInputs) -> DataFrame:
+    """``prediction_metrics`` of a model on test rows."""
+    return prediction_metrics(predictions_of(model, test, inputs), inputs.label)
 
 
 def importances(model: PipelineModel, df: DataFrame, top: int = 15) -> DataFrame:
@@ -187,22 +273,28 @@ def importances(model: PipelineModel, df: DataFrame, top: int = 15) -> DataFrame
     return df.sparkSession.createDataFrame(rows[:top], "feature string, importance double")
 
 
-def model_summary(
-    model: PipelineModel, train_rows: DataFrame, test_rows: DataFrame, inputs: ModelInputs
+def summary_rows(
+    predictions: DataFrame, weights: DataFrame | None, train_rows: DataFrame, label: str = "is_fraud"
 ) -> DataFrame:
-    """Metrics, importances and row counts as (section, name, value) rows."""
+    """Metrics of predictions, feature importances and row counts as (section, name, value) rows."""
 
     def section(name: str, df: DataFrame, key: str, value: str) -> DataFrame:
         return df.select(
             F.lit(name).alias("section"), F.col(key).alias("name"), F.col(value).alias("value")
         )
 
-    sizes = [("train_rows", train_rows), ("test_rows", test_rows)]
-    counts = [
-        df.agg(F.lit(n).alias("n"), F.count(F.lit(1)).cast("double").alias("v")) for n, df in sizes
-    ]
-    made = section("metrics", evaluate(model, test_rows, inputs), "metric", "value")
-    made = made.unionByName(section("importance", importances(model, test_rows), "feature", "importance"))
-    for df in counts:
-        made = made.unionByName(section("rows", df, "n", "v"))
+    made = section("metrics", prediction_metrics(predictions, label), "metric", "value")
+    if weights is not None:
+        made = made.unionByName(section("importance", weights, "feature", "importance"))
+    for name, df in (("train_rows", train_rows), ("test_rows", predictions)):
+        count = df.agg(F.lit(name).alias("n"), F.count(F.lit(1)).cast("double").alias("v"))
+        made = made.unionByName(section("rows", count, "n", "v"))
     return made
+
+
+def model_summary(
+    model: PipelineModel, train_rows: DataFrame, test_rows: DataFrame, inputs: ModelInputs
+) -> DataFrame:
+    """Metrics, importances and row counts of a fitted model as (section, name, value) rows."""
+    predictions = predictions_of(model, test_rows, inputs)
+    return summary_rows(predictions, importances(model, test_rows), train_rows, inputs.label)
