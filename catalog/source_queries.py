@@ -347,3 +347,32 @@ def stream_upsert(spark, folder):
     if made < 3:
         raise AssertionError(f"{made} versions")
     return snapshots.read_snapshot(spark, target).select("transaction_id", "customer_id", "amount")
+
+
+@query(
+    "stream_with_stats",
+    """
+WITH b AS (SELECT t.*, least(2, (3 * (epoch(txn_ts)::BIGINT - low)) // (high - low + 1)) AS k
+  FROM txn t, (SELECT min(epoch(txn_ts)::BIGINT) AS low, max(epoch(txn_ts)::BIGINT) AS high FROM txn)),
+g AS (SELECT customer_id, k, count(*) AS n, sum(amount) AS a FROM b GROUP BY customer_id, k),
+p AS (SELECT customer_id, k, sum(n) OVER w AS n, sum(a) OVER w AS a FROM g
+  WINDOW w AS (PARTITION BY customer_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT transaction_id, p.n::BIGINT AS customer_txn_before, rnd(p.a / p.n, 4) AS customer_avg_before
+FROM b LEFT JOIN p ON p.customer_id = b.customer_id AND p.k = b.k
+""",
+)
+def stream_with_stats(spark, folder):
+    """Three batches, oldest transactions first: each meets the statistics that the ones before have made."""
+    rows = txn(spark, folder).select("transaction_id", "customer_id", "amount", "txn_ts")
+    second = F.unix_timestamp(F.col("txn_ts").cast("timestamp"))
+    ends = rows.agg(F.min(second).alias("low"), F.max(second).alias("high")).first()
+    third = F.least(F.lit(2), F.floor(3 * (second - ends["low"]) / (ends["high"] - ends["low"] + 1)))
+    path, stats, out, progress = (scratch_path(spark, n) for n in ("arrived", "stats", "enriched", "progress"))
+    for batch in range(3):
+        files.write_csv(rows.filter(third == batch), path, "append")
+        arriving = stream.read_stream(spark, path, rows.schema, files_per_batch=1_000_000)
+        _finish(stream.enrich_and_renew(arriving, stats, out, progress, COLS))
+    if snapshots.versions(spark, stats).count() != 3:
+        raise AssertionError("each batch renews the statistics once")
+    made = spark.read.parquet(out).select("transaction_id", "customer_txn_before", "customer_avg_before")
+    return rounded(made, 4)

@@ -50,7 +50,7 @@ def versions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _latest(spark: SparkSession, path: str, condition: Column | None = None) -> Row | None:
-    if not path_exists(spark, f"{path}/_versions"):
+    if not table_exists(spark, path):
         return None
     found = versions(spark, path)
     if condition is not None:
@@ -214,6 +214,16 @@ def _assembled(spark: SparkSession, path: str, found: Row, parts: Sequence[str])
     return df.withColumn(_PLACE, place).select(*schema.names, _PART, _PLACE)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a version has been made there."""
+    return path_exists(spark, f"{path}/_versions")
+
+
+def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether some version of the table was made by the work named ``batch``."""
+    return table_exists(spark, path) and versions(spark, path).filter(F.col("batch") == batch).limit(1).count() > 0
+
+
 def history(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
     """Versions, newest first, with rows written and held."""
     kept = versions(spark, path).drop("parts", "table_schema", "partition_by", "batch")
