@@ -241,6 +241,7 @@ def similar_transactions(
     common: int = 24,
     late_shingles: int = 200_000,
     broadcast_keys: int = 1_000_000,
+    count_links: bool = False,
 ) -> DataFrame:
     """Classes of transactions whose merchant descriptors share most of their word windows.
 
@@ -254,15 +255,16 @@ def similar_transactions(
     3. Each posting list has a leader, the group with the commonest shingles. Members are checked
        against leaders first: those that come near one are its family, and a member that links to it is connected.
     4. Two members of a family, not both linked to the leader, can only link if they differ from it
-       in the same shingles: a second prefix join, on the differences, finds such pairs without pairing
-       out the family.
-    5. Group pairs of one posting list in different families that fit in size and share as many prefix
+       in the same shingles: a second prefix join, on the differences. Its lists have heads in turn: members are checked
+       against the head of their list, by their differences alone. What is connected by then needs no pair any more;
+       only members of different components in one list are paired.
+    5. Group pairs of one posting list in different components that fit in size and share as many prefix
        shingles as linked sets must are expanded. These pairs are checked against the whole sets.
-    6. Links of two members that both link to the leader join no further sets. They are counted: by size and
-       distance from the leader where these alone decide, else by the differences the two share.
 
-    Returns ``transaction_id, shingles, class_id, links``: the set's size, the smallest id of the class and the
-    number of other sets that the set links to (texts of equal sets are one set). NULL and empty texts have no shingle and form no class but their own;
+    Returns ``transaction_id, shingles, class_id``: the set's size and the smallest id of the class. Texts of equal sets
+    are one set. No link between sets of different classes is lost; links inside a class that join nothing further are
+    not searched, unless ``count_links`` asks for ``links``, the number of other sets that a set links to: that
+    costs the square of a family whose members share an edit. NULL and empty texts have no shingle and form no class but their own;
     repeated rows and equal texts share one class; NULL ids count for nothing in the smallest id. An
     empty table gives an empty one; extra columns do not matter. ``broadcast_keys`` bounds what
     is broadcast as a filter; beyond it the same join is shuffled.
@@ -294,35 +296,50 @@ def similar_transactions(
     groups = _groups(sets)
     postings = _postings(sets, groups, broadcast_keys)
     families = _families(texts.met(_leader_pairs(groups, postings, percent), firsts), percent)
-    first = families.filter("linked").select("a", "b")
-    near = _placed(groups, postings, families)
-    pairs = _family_pairs(families, percent).unionByName(_open_pairs(near, postings, percent))
-    rest = texts.linked(pairs.distinct(), firsts)
-    both = first.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = written(both.distinct(), "jaccard_links")
-    ends = F.explode(F.array("a", "b")).alias("node")
-    degree = _degrees(_outside_families(links, families).select(ends), _inside_families(families, percent))
-    classes = components(links, "jaccard_components").withColumnRenamed("node", "set_key")
+    lists = _family_lists(families, percent)
+    first = families.filter("linked").select("a", "b").unionByName(_linked_by_differences(_head_pairs(lists), families, percent))
+    parts = written(components(_ordered(first), "jaccard_components"), "jaccard_parts_of")
+    near = _placed(groups, postings, families, parts)
+    inside = _linked_by_differences(_family_pairs(lists, parts, percent), families, percent)
+    rest = texts.linked(_open_pairs(near, postings, percent), firsts).unionByName(inside)
+    # Links between parts, by their components so far; parts that nothing joins keep theirs.
+    sides = [parts.select(F.col("node").alias(s), F.col("component").alias(f"part_{s}")) for s in ("a", "b")]
+    joined = rest.join(sides[0], "a", "left").join(sides[1], "b", "left").select(
+        F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")
+    )
+    merged = components(_ordered(joined.filter("a != b")), "jaccard_merged")
+    merged = merged.select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    every = parts.select("node", "component").unionByName(
+        rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").withColumn("component", F.col("node"))
+    )
+    classes = every.join(merged, F.col("component") == F.col("part"), "left").select(
+        F.col("node").alias("set_key"), F.coalesce("whole", "component").alias("component")
+    )
+    counts = _link_counts(groups, postings, families, texts, firsts, percent) if count_links else None
+    shown = ["links"] if count_links else []
     labelled = written(
-        firsts.join(classes, "set_key", "left").join(degree, "set_key", "left").select(
-            "set_key",
-            "first_id",
-            F.coalesce("component", "set_key").alias("component"),
-            F.coalesce("links", F.lit(0)).alias("links"),
+        _with_links(firsts.join(classes, "set_key", "left"), counts).select(
+            "set_key", "first_id", F.coalesce("component", "set_key").alias("component"), *shown
         ),
         "jaccard_labels",
     )
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    by_set = labelled.join(smallest, "component").select("set_key", "class_id", "links")
+    by_set = labelled.join(smallest, "component").select("set_key", "class_id", *shown)
     with_words = full.select("transaction_id", "set_key", "n").join(by_set, "set_key")
     without = digest.filter("n = 0").select(
-        "transaction_id", "n", F.col("transaction_id").alias("class_id"), F.lit(0).cast("long").alias("links")
+        "transaction_id", "n", F.col("transaction_id").alias("class_id"), *[F.lit(0).cast("long").alias(c) for c in shown]
     )
     return with_words.select(*without.columns).unionByName(without).select(
-        F.col("transaction_id").alias(cols.transaction_id), F.col("n").alias("shingles"), "class_id", "links"
+        F.col("transaction_id").alias(cols.transaction_id), F.col("n").alias("shingles"), "class_id", *shown
     )
 
 
+def _with_links(sets: DataFrame, counts: DataFrame | None) -> DataFrame:
+    if counts is None:
+        return sets
+    return sets.join(counts, "set_key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+
+
 def _groups(sets: DataFrame) -> DataFrame:
     """``set_key, gid, n`` of sets that share prefix and size with others; the rest are their own group."""
     key = F.struct("n", F.xxhash64("shingles"), F.hash("shingles"), F.element_at("shingles", -1))
@@ -382,7 +399,7 @@ def _leader_pairs(groups: DataFrame, postings: DataFrame, percent: int) -> DataF
 
 
 def _families(met: DataFrame, percent: int) -> DataFrame:
-    """Each member with one leader that it links to or comes near, and where the two differ.
+    """Each member with the leaders that it links to or comes near, one of them its home, and where they differ.
 
     ``a`` is the member and ``b`` the leader; ``apart`` holds the shingles of one of them only, the member's first.
     """
@@ -393,14 +410,91 @@ def _families(met: DataFrame, percent: int) -> DataFrame:
         "a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), linked.alias("linked"), "share", apart.alias("apart")
     )
     told = written(told.distinct(), "jaccard_near")
-    home = told.groupBy("a").agg(F.max(F.struct("linked", "share", "b")).alias("best"))
+    # The leader with most members near it: families of one text become one, whose members meet by their differences.
+    size = told.groupBy(F.col("b").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+    sized = told.join(size, F.col("b") == F.col("of"))
+    home = sized.groupBy("a").agg(F.max(F.struct("size", "share", "b")).alias("best"))
     home = home.select("a", F.col("best.b").alias("home"))
     return written(
         told.join(home, "a").withColumn("is_home", F.col("b") == F.col("home")).drop("home"), "jaccard_families"
     )
 
 
-def _family_pairs(families: DataFrame, percent: int) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Links once each, the smaller key first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _family_lists(families: DataFrame, percent: int) -> DataFrame:
+    """``b, token, member, n, d, asks, linked``: the members of a family that differ from its leader in one shingle.
+
+    With ``d`` for how far a member is from the leader, two members are ``d1 + d2 - 2 * (shared differences)`` apart.
+    One that does not link to the leader ``asks``: its ``d1`` alone is more than linked sets may differ, so it
+    must share differences with each partner, more than half of ``d2`` but for what sizes make up. That is a prefix filter
+    on the differences, where those that the leader lacks come first, and these are rare.
+    """
+    home = families.filter("is_home").withColumn("d", F.size("apart"))
+    most = _most_apart(F.col("n_a"), F.col("n_b"), percent)
+    uneven = F.abs(F.col("n_a") - F.col("n_b"))
+    kept = ["b", F.col("a").alias("member"), F.col("n_a").alias("n"), "d", "linked"]
+    asks = home.filter("not linked").select(
+        *kept,
+        F.lit(True).alias("asks"),
+        F.explode(F.slice("apart", 1, (F.floor((F.col("d") + most) / 2) + 1).cast("int"))).alias("token"),
+    )
+    answers = home.select(
+        *kept,
+        F.lit(False).alias("asks"),
+        F.explode(F.slice("apart", 1, (F.floor((F.col("d") - 1 + uneven) / 2) + 1).cast("int"))).alias("token"),
+    )
+    return written(asks.unionByName(answers), "jaccard_lists")
+
+
+def _head_pairs(lists: DataFrame) -> DataFrame:
+    """Each asking member with the head of its lists: one that links to the leader, if there is any."""
+    heads = lists.filter("not asks").groupBy("b", "token").agg(F.min(F.struct(~F.col("linked"), "member")).alias("head"))
+    heads = heads.select("b", "token", F.col("head.member").alias("head"))
+    asked = lists.filter("asks").select("b", "token", "member").join(heads, ["b", "token"]).filter("member != head")
+    return asked.select(F.col("member").alias("a"), F.col("head").alias("b")).distinct()
+
+
+def _linked_by_differences(pairs: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs, members of one family each, that link: their sets differ where their differences do."""
+    home = families.filter("is_home")
+    one = home.select("a", F.col("n_a").alias("n_1"), F.col("apart").alias("apart_1"))
+    two = home.select(F.col("a").alias("b"), F.col("n_a").alias("n_2"), F.col("apart").alias("apart_2"))
+    met = written(pairs, "jaccard_asked").join(one, "a").join(two, "b")
+    apart = F.size("apart_1") + F.size("apart_2") - 2 * F.size(F.array_intersect("apart_1", "apart_2"))
+    links = apart <= _most_apart(F.col("n_1"), F.col("n_2"), percent)
+    return written(met.filter(links).select("a", "b"), "jaccard_family_links")
+
+
+def _family_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list that are not connected yet, where size and distance from the leader leave a link open."""
+    of = parts.select(F.col("node").alias("member"), F.col("component").alias("part"))
+    placed = lists.join(of, "member", "left").withColumn("part", F.coalesce("part", "member"))
+    mixed = (
+        placed.groupBy("b", "token")
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("asks").alias("asked"))
+        .filter("asked and low < high")
+        .select("b", "token")
+    )
+    placed = written(placed.join(mixed, ["b", "token"], "left_semi"), "jaccard_mixed")
+    one, two = (
+        placed.filter(F.col("asks") == asks).select("b", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("member", "n", "d", "part")])
+        for asks, s in ((True, 1), (False, 2))
+    )
+    two = two.withColumnsRenamed({"b": "of", "token": "by"})
+    close = F.abs(F.col("d_1") - F.col("d_2")) <= _most_apart(F.col("n_1"), F.col("n_2"), percent)
+    open_ = (F.col("part_1") != F.col("part_2")) & _sizes_fit(F.col("n_1"), F.col("n_2"), percent) & close
+    met = one.join(two, (F.col("b") == F.col("of")) & (F.col("token") == F.col("by")) & open_)
+    return met.select(F.least("member_1", "member_2").alias("a"), F.greatest("member_1", "member_2").alias("b")).distinct()
+
+
+# ---- numbers of links, where they are asked for ------------------------------------------------------
+
+
+def _every_family_pair(families: DataFrame, percent: int) -> DataFrame:
     """Pairs of one family that may link though not both link to the leader.
 
     With ``d`` for how far a member is from the leader, two members are ``d1 + d2 - 2 * (shared differences)`` apart.
@@ -425,6 +519,18 @@ def _family_pairs(families: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
 
+def _link_counts(
+    groups: DataFrame, postings: DataFrame, families: DataFrame, texts: _Texts, firsts: DataFrame, percent: int
+) -> DataFrame:
+    """``set_key, links`` of all sets with a link: every pair that may link is checked or counted."""
+    near = _placed(groups, postings, families, None)
+    pairs = _every_family_pair(families, percent).unionByName(_open_pairs(near, postings, percent))
+    rest = texts.linked(pairs.distinct(), firsts)
+    links = written(_ordered(families.filter("linked").select("a", "b").unionByName(rest)), "jaccard_links")
+    ends = _outside_families(links, families).select(F.explode(F.array("a", "b")).alias("node"))
+    return _degrees(ends, _inside_families(families, percent))
+
+
 def _home_linked(families: DataFrame) -> DataFrame:
     """Members that link to the leader ``b`` of their family."""
     return families.filter("is_home and linked")
@@ -474,22 +580,34 @@ def _degrees(ends: DataFrame, inside: DataFrame) -> DataFrame:
     return each.unionByName(inside).groupBy("set_key").agg(F.sum("links").alias("links"))
 
 
-def _placed(groups: DataFrame, postings: DataFrame, families: DataFrame) -> DataFrame:
-    """``set_key, gid, part``: sets of one part are in one family and need no open pairs."""
+# ---- pairs of different components -------------------------------------------------------------------
+
+
+def _placed(groups: DataFrame, postings: DataFrame, families: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``set_key, gid, part``: a set's family and, if given, its component so far.
+
+    Sets of one family have met by their differences, and sets of one component need not meet.
+    """
     listed = _members(groups, postings.select("gid").distinct(), "gid", "set_key")
-    home = families.filter("is_home").select(F.col("a").alias("set_key"), F.col("b").alias("part"))
-    return written(
-        listed.join(home, "set_key", "left").withColumn("part", F.coalesce("part", "set_key")), "jaccard_parts"
-    )
+    home = families.filter("is_home").select(F.col("a").alias("set_key"), F.col("b").alias("home"))
+    if parts is None:
+        own = home.select("set_key", F.col("set_key").alias("component"))
+    else:
+        own = parts.select(F.col("node").alias("set_key"), "component")
+    placed = listed.join(home, "set_key", "left").join(own, "set_key", "left")
+    part = F.struct(F.coalesce("home", "set_key").alias("home"), F.coalesce("component", "set_key").alias("component"))
+    return written(placed.select("set_key", "gid", part.alias("part")), "jaccard_parts")
 
 
 def _open_pairs(near: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different families whose groups share what linked sets must."""
+    """Pairs of sets of different families and components whose groups share what linked sets must."""
     listed = postings.select("token", "gid", "n").join(near.select("gid", "part").distinct(), "gid")
     mixed = (
         listed.groupBy("token")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        .filter("low < high")
+        .agg(
+            *[f(f"part.{c}").alias(f"{n}_{c}") for c in ("home", "component") for n, f in (("low", F.min), ("high", F.max))]
+        )
+        .filter("low_home < high_home and low_component < high_component")
         .select("token")
     )
     listed = written(listed.join(mixed, "token", "left_semi"), "jaccard_open")
@@ -501,7 +619,8 @@ def _open_pairs(near: DataFrame, postings: DataFrame, percent: int) -> DataFrame
         for s in ("a", "b")
     )
     reach = (100 * F.col("high_b") >= percent * F.col("low_a")) & (100 * F.col("high_a") >= percent * F.col("low_b"))
-    pairs = half_a.join(half_b, "token").filter((F.col("part_a") < F.col("part_b")) & reach)
+    apart = (F.col("part_a.home") != F.col("part_b.home")) & (F.col("part_a.component") != F.col("part_b.component"))
+    pairs = half_a.join(half_b, "token").filter((F.col("part_a") < F.col("part_b")) & apart & reach)
     # Most parts have one group in a list: those pairs are complete.
     alone = (F.col("gids_a") == 1) & (F.col("gids_b") == 1)
     names = ["gid_a", "part_a", "n_a", "gid_b", "part_b", "n_b"]

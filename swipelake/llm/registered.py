@@ -85,7 +85,7 @@ def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.similar_transactions(table(spark, sf_dir, "documents"), DOCS)
     return found.select(
-        "doc_id", F.col("shingles").alias("n_shingles"), F.col("class_id").alias("component_id"), "links"
+        "doc_id", F.col("shingles").alias("n_shingles"), F.col("class_id").alias("component_id")
     )
 
 

@@ -88,12 +88,39 @@ def test_links_are_counted_inside_families(spark):
     texts = [" ".join(edited(base, 1, draw, 900)) for _ in range(60)] + family(21, 70, 90, 4, 6)
     texts += family(22, 50, 150, 9, 300) + texts[:4] + ["", None, "one", "One"]
     frame = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "trans_num long, merchant string, category string")
-    found = {r["trans_num"]: r["links"] for r in jaccard.similar_transactions(frame, common=4).collect()}
+    found = {r["trans_num"]: r["links"] for r in jaccard.similar_transactions(frame, common=4, count_links=True).collect()}
     want = brute_links(texts)
     assert max(want) > 50
     assert [found[i] for i in range(len(texts))] == want
 
 
+def test_a_shared_edit_is_not_paired_out(spark):
+    """Members that all share one edit and are far from the leader: heads connect them, few pairs stay open."""
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    far = [*base[:40], *[f"shared{i}" for i in range(8)], *base[48:]]
+    texts = [" ".join(base)] * 2 + [" ".join(edited(base, 1, draw, 900)) for _ in range(60)]
+    texts += [" ".join(edited(far, 1, draw, 900)) for _ in range(150)]
+    seen = {}
+
+    def count(name, real):
+        def run(*args):
+            made = real(*args)
+            seen[name] = seen.get(name, 0) + made.count()
+            return made
+
+        return run
+
+    patch = pytest.MonkeyPatch()
+    for name in ("_family_pairs", "_head_pairs", "_open_pairs"):
+        patch.setattr(jaccard, name, count(name, getattr(jaccard, name)))
+    try:
+        assert classes(spark, texts, common=4) == brute(texts)
+    finally:
+        patch.undo()
+    assert seen["_head_pairs"] < 20 * len(texts) and seen["_family_pairs"] + seen["_open_pairs"] < 20 * len(texts)
+
+
 def test_bounds_do_not_change_the_result(spark):
     texts = family(7, 50, 80, 7, 12)
     plain = classes(spark, texts)
