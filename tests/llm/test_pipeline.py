@@ -49,4 +49,4 @@ def test_near_copies_share_80_percent_of_five_word_windows(spark):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registered.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
