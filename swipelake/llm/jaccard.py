@@ -19,6 +19,7 @@ from swipelake.scratch import written
 
 _CACHED_WORDS = 500_000
 _TOGETHER = 500
+_LATE_ROUNDS = 3
 # Any odd multipliers do; they set the places of a window's words apart.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -208,12 +209,12 @@ def _late_shingles(sets: DataFrame, above: int, most: int) -> np.ndarray:
     return np.sort(rows.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _with_late(sets: DataFrame, texts: _Texts, late: np.ndarray) -> DataFrame:
-    """Sets with the prefixes of the order in which ``late`` shingles come last.
+def _with_late(sets: DataFrame, texts: _Texts, late: np.ndarray, new: np.ndarray) -> DataFrame:
+    """Sets with the prefixes of the order in which ``late`` shingles come last, ``new`` ones among them.
 
-    Only a set whose prefix holds a late shingle gets another prefix; its text is read again.
+    Only a set whose prefix holds a new late shingle gets another prefix; its text is read again.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(late)
+    shared = sets.sparkSession.sparkContext.broadcast(new)
 
     def touched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,11 +250,13 @@ def similar_transactions(
     ``100 * intersection >= percent * union``; a class is what links reach. Steps:
 
     1. Equal sets become one. Every set has its prefix: the first shingles in hash order, so many that linked
-       sets share some. Prefix shingles held by over ``common`` sets come last in the order instead.
+       sets share some. Prefix shingles held by over ``common`` sets come last in the order instead, and so do those
+       that then take their places.
     2. Sets with identical prefixes and size form a group; prefix shingles of at least two sets give
        postings of groups.
     3. Each posting list has a leader, the group with the commonest shingles. Members are checked
        against leaders first: those that come near one are its family, and a member that links to it is connected.
+       Then sets outside the largest family of a list are checked against the leader of that family.
     4. Two members of a family, not both linked to the leader, can only link if they differ from it
        in the same shingles: a second prefix join, on the differences. Its lists have heads in turn: members are checked
        against the head of their list, by their differences alone. What is connected by then needs no pair any more;
@@ -289,13 +292,21 @@ def similar_transactions(
         .filter("first_row is null or first_row = row_hash")
         .select("set_key", "n", "row_hash", "shingles")
     )
-    late = _late_shingles(sets, common, late_shingles)
-    if len(late):
-        sets = _with_late(sets, texts, late)
+    # Shingles that move up into the prefix instead of late ones may be as common as those.
+    late = np.zeros(0, np.uint64)
+    for _ in range(_LATE_ROUNDS):
+        new = np.setdiff1d(_late_shingles(sets, common, late_shingles), late)[: late_shingles - len(late)]
+        if not len(new):
+            break
+        late = np.union1d(late, new)
+        sets = _with_late(sets, texts, late, new)
 
     groups = _groups(sets)
     postings = _postings(sets, groups, broadcast_keys)
-    families = _families(texts.met(_leader_pairs(groups, postings, percent), firsts), percent)
+    told = _near(texts.met(_leader_pairs(groups, postings, percent), firsts), percent)
+    others = _hub_pairs(groups, postings, told, _families(told), common)
+    told = told.unionByName(_near(texts.met(others, firsts), percent))
+    families = written(_families(told), "jaccard_families")
     lists = _family_lists(families, percent)
     first = families.filter("linked").select("a", "b").unionByName(_linked_by_differences(_head_pairs(lists), families, percent))
     parts = written(components(_ordered(first), "jaccard_components"), "jaccard_parts_of")
@@ -398,8 +409,8 @@ def _leader_pairs(groups: DataFrame, postings: DataFrame, percent: int) -> DataF
     return pairs.unionByName(inside)
 
 
-def _families(met: DataFrame, percent: int) -> DataFrame:
-    """Each member with the leaders that it links to or comes near, one of them its home, and where they differ.
+def _near(met: DataFrame, percent: int) -> DataFrame:
+    """Each member with the leaders that it links to or comes near, and where they differ.
 
     ``a`` is the member and ``b`` the leader; ``apart`` holds the shingles of one of them only, the member's first.
     """
@@ -409,15 +420,36 @@ def _families(met: DataFrame, percent: int) -> DataFrame:
     told = near.select(
         "a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), linked.alias("linked"), "share", apart.alias("apart")
     )
-    told = written(told.distinct(), "jaccard_near")
-    # The leader with most members near it: families of one text become one, whose members meet by their differences.
+    return written(told.distinct(), "jaccard_near")
+
+
+def _families(told: DataFrame) -> DataFrame:
+    """Near pairs and whether the leader is the member's home: the one with most members near it.
+
+    Families of one text become one so, whose members meet by their differences.
+    """
     size = told.groupBy(F.col("b").alias("of")).agg(F.count(F.lit(1)).alias("size"))
     sized = told.join(size, F.col("b") == F.col("of"))
     home = sized.groupBy("a").agg(F.max(F.struct("size", "share", "b")).alias("best"))
     home = home.select("a", F.col("best.b").alias("home"))
-    return written(
-        told.join(home, "a").withColumn("is_home", F.col("b") == F.col("home")).drop("home"), "jaccard_families"
-    )
+    return told.join(home, "a").withColumn("is_home", F.col("b") == F.col("home")).drop("home")
+
+
+def _hub_pairs(groups: DataFrame, postings: DataFrame, told: DataFrame, families: DataFrame, common: int) -> DataFrame:
+    """Sets outside the largest family of a posting list, with the leader of that family.
+
+    Only lists count where that family has over ``common`` groups: it would be met member by member otherwise.
+    """
+    homes = families.filter("is_home").select(F.col("a").alias("set_key"), F.col("b").alias("home"))
+    placed = _members(groups, postings.select("gid").distinct(), "gid", "set_key").join(homes, "set_key", "left")
+    placed = written(placed.withColumn("home", F.coalesce("home", "set_key")), "jaccard_homes")
+    by_home = placed.select("gid", "home").distinct().join(postings.select("token", "gid"), "gid")
+    counted = by_home.groupBy("token", "home").agg(F.count(F.lit(1)).alias("size"))
+    top = counted.groupBy("token").agg(F.max(F.struct("size", "home")).alias("top"), F.count(F.lit(1)).alias("homes"))
+    top = top.filter((F.col("homes") > 1) & (F.col("top.size") > common)).select("token", F.col("top.home").alias("b"))
+    asked = postings.select("token", "gid").join(top, "token").select("gid", "b").distinct()
+    pairs = placed.join(asked, "gid").filter("home != b and set_key != b").select(F.col("set_key").alias("a"), "b")
+    return pairs.distinct().join(told.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -614,13 +646,20 @@ def _open_pairs(near: DataFrame, postings: DataFrame, percent: int) -> DataFrame
     held = listed.groupBy("token", "part").agg(
         F.min("gid").alias("gid"), F.count(F.lit(1)).alias("gids"), F.min("n").alias("low"), F.max("n").alias("high")
     )
+    # Homes of a list first, so that the many parts of one family do not meet each other.
+    home_a, home_b = (held.select("token", F.col("part.home").alias(f"home_{s}")).distinct() for s in ("a", "b"))
+    homes = home_a.join(home_b, "token").filter("home_a < home_b")
     half_a, half_b = (
-        held.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "gid", "gids", "low", "high")])
+        held.select(
+            "token",
+            F.col("part.home").alias(f"home_{s}"),
+            *[F.col(c).alias(f"{c}_{s}") for c in ("part", "gid", "gids", "low", "high")],
+        )
         for s in ("a", "b")
     )
     reach = (100 * F.col("high_b") >= percent * F.col("low_a")) & (100 * F.col("high_a") >= percent * F.col("low_b"))
-    apart = (F.col("part_a.home") != F.col("part_b.home")) & (F.col("part_a.component") != F.col("part_b.component"))
-    pairs = half_a.join(half_b, "token").filter((F.col("part_a") < F.col("part_b")) & apart & reach)
+    apart = F.col("part_a.component") != F.col("part_b.component")
+    pairs = homes.join(half_a, ["token", "home_a"]).join(half_b, ["token", "home_b"]).filter(apart & reach)
     # Most parts have one group in a list: those pairs are complete.
     alone = (F.col("gids_a") == 1) & (F.col("gids_b") == 1)
     names = ["gid_a", "part_a", "n_a", "gid_b", "part_b", "n_b"]
