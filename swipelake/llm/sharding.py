@@ -42,15 +42,15 @@ def shard_transactions(
     cols: TxnColumns = CARD_COLUMNS,
     shards: int = 24,
     grains: int = 256,
-    max_group_share: float = 0.25,
+    max_group_share: float = 1.0,
 ) -> DataFrame:
     """Put transactions into shards that are near equal in bytes, tokens and rows.
 
     Transactions with equal merchant descriptors form a group and stay together. The items that are
     packed are bounded in number: groups above 1/``grains`` of a shard in some dimension are items of their
     own (at most ``3 * shards * grains``), the many small groups are hashed into ``shards * grains``
-    bundles. A group above ``max_group_share`` of a shard, such as one that holds a third of all rows, is
-    cut into pieces by a hash of the id. Only the items' sums (bounded as above) reach the driver, which
+    bundles. Only a group above ``max_group_share`` of a shard (a whole one), such as one that holds a third of all rows,
+    is cut into pieces by a hash of the id; it fits into no shard. Only the items' sums (bounded as above) reach the driver, which
     places the largest first by the dot product with residual capacity. Slots number the rows of a shard
     without gaps: item offsets plus a row number inside small slices of an item.
 
@@ -85,7 +85,7 @@ def shard_transactions(
         return F.col(of) / F.lit(max(1, total[of]))
 
     largest = F.greatest(*[share(c) for c in (*loads, "rows")])
-    # A large group is an item of its own, in as many pieces as it has quarter shards; each item has
+    # A large group is an item of its own, in as many pieces as it fills shards; each item has
     # slices for numbering.
     large = written(
         groups.withColumn("_share", largest)

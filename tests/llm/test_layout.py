@@ -38,6 +38,16 @@ def test_equal_texts_share_a_shard_unless_hot(spark):
     assert found.groupby("shard")["bytes"].sum().std() < 0.05 * found.groupby("shard")["bytes"].sum().mean()
 
 
+def test_a_group_that_fits_a_shard_stays_whole(spark):
+    """40 equal texts fill 4/5 of a shard in bytes, tokens and rows."""
+    rows = [(f"T{i}", "shop 000" if i < 40 else f"shop {i:03d}", "c") for i in range(200)]
+    txns = spark.createDataFrame(rows, "trans_num string, merchant string, category string")
+    found = sharding.shard_transactions(txns, shards=4).toPandas().merge(txns.toPandas(), on="trans_num")
+    assert found[found.merchant == "shop 000"]["shard"].nunique() == 1
+    sums = found.groupby("shard")["bytes"].sum()
+    assert len(sums) == 4 and sums.max() - sums.min() < 0.05 * sums.mean()
+
+
 def test_dot_product_picks_the_shard_with_matching_room():
     loads = np.array([[9.0, 1, 1], [1, 9, 1], [8, 1, 1], [1, 8, 1]])
     chosen = sharding.place_items(loads, 2)
