@@ -87,7 +87,45 @@ def test_em_finds_the_reliable_voter():
     prior, table, belief = privacy.expect_reliabilities(patterns)
     assert belief[0] > 0.9 and belief[1] > 0.9 and belief[2] < 0.1 and belief[3] < 0.1
     assert 0.3 < prior[0] < 0.5
-    assert table["regex"][1][1] > 0.9 > table["context"][1][1]
+    assert table[0]["regex"][1][1] > 0.9 > table[0]["context"][1][1]
+
+
+def test_planted_personal_data_is_added_and_decoys_are_not(spark):
+    """Spelled-out addresses and national numbers in four languages among numbers and words that look alike."""
+    draw = random.Random(3)
+    mails = ["write to", "Kontakt:", "courriel", "escriba a"]
+    calls = ["call", "Telefon", "appelez le", "teléfono:"]
+    rows, planted = [], set()
+
+    def add(text, hit=None):
+        text = " ".join(draw.choices(["lorem", "ipsum", "dolor"], k=draw.randrange(12))) + " " + text
+        if hit is not None:
+            start = text.index(hit)
+            planted.add((len(rows), start, start + len(hit)))
+        rows.append((len(rows), text + draw.choice(["", " amet.", ", sit"])))
+
+    for i in range(60):
+        name, site = f"user{i}", f"mail{i % 7}"
+        area, line = draw.randrange(220, 900) // 10 * 10, draw.randrange(1000, 9999)
+        add(f"{mails[i % 4]} {name}@{site}.org")
+        add(f"{calls[i % 4]} +1 ({area}) 555-{line}")
+        add(f"{name}@{site}.net and {area}.{line}")
+        spelled = [f"{name} (at) {site} (dot) com", f"{name}[at]{site}.de", f"{name} at {site} dot org"][i % 3]
+        add(f"{mails[i % 4]} {spelled}", spelled)
+        number = [f"({area}) 555-{line}", f"{area}-555-{line}", f"{area}.555.{line}"][i % 3]
+        add(f"{calls[i % 4]} {number}", number)
+        add(f"order 1{area // 10}-055-{line}")
+        add(f"invoice 0{area // 10} 155 {line}")
+        add(f"we met at {draw.choice(['noon', 'home', 'dawn'])}.then went on")
+        add(f"Rechnung {draw.randrange(10**13, 10**14)}")
+    frame = spark.createDataFrame(rows, "trans_num long, merchant string")
+    found = privacy.private_spans(frame).collect()
+    added = {(r["trans_num"], s["start"], s["end"]) for r in found for s in r["spans"] if not s["base"]}
+    assert len(added & planted) >= 0.9 * len(planted)
+    assert len(added - planted) <= 0.02 * len(rows)
+    for r in found:
+        sure = [(s["start"], s["place"], s["end"], s["kind"]) for s in r["spans"] if s["base"]]
+        assert sure == plain_private(rows[r["trans_num"]][1])
 
 
 def test_weak_parts_need_company(txns, spark):
