@@ -194,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op9_source_mix": twins.SOURCE_MIX,
     "op11_merkle_manifest": twins.merkle_manifest(),
     "op12_url_verdicts": twins.judge_pages(URL_RULES),
     "op13_hard_negatives": twins.HARD_NEGATIVES,

@@ -178,3 +178,39 @@ def judge_pages(rules: list[tuple[str, str, str]]) -> str:
         "CASE WHEN o.best.rule IS NOT NULL THEN 'rule' WHEN c.node IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by "
         "FROM page p LEFT JOIN own o ON o.key = p.key LEFT JOIN caught c ON c.node = p.node"
     )
+
+
+SOURCE_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS draw
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+         CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
+  FROM d GROUP BY source),
+filled AS (
+  SELECT *, most / weight AS fills_at,
+         row_number() OVER soonest AS place,
+         ((sum(source_size) OVER ())::BIGINT
+           - coalesce(sum(most) OVER (soonest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+         / sum(weight) OVER (soonest ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW soonest AS (ORDER BY most / weight, coalesce(source, ''), source IS NULL)),
+targets AS (
+  SELECT source, source_size,
+         least(CAST(most AS DOUBLE),
+               coalesce((SELECT arg_min(level, place) FROM filled WHERE fills_at > level) * weight,
+                        CAST(most AS DOUBLE))) AS target
+  FROM filled),
+budgets AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) // greatest(source_size, 1) AS epochs,
+         CAST(floor(target + 0.5) AS BIGINT) % greatest(source_size, 1) AS rest
+  FROM targets),
+placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM placed JOIN budgets ON placed.source IS NOT DISTINCT FROM budgets.source
+"""

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from swipelake.llm import mixing, packing, sharding
 from swipelake.llm.registered import cyclic_weights, vocabulary_path
@@ -105,6 +106,29 @@ def test_mix_does_not_depend_on_partitions(spark):
     assert a.equals(b.sort_values("trans_num").reset_index(drop=True))
 
 
+def test_copies_of_one_row_are_cut_among_them(spark):
+    """A third of all rows are one row, another part shares one id: budgets are still met to a text."""
+    copy = [(7, "grocery_pos", "ten words are in this text and nothing else here")] * 400
+    shared = [(8, "grocery_pos", f"shared id {i % 50} " + "w " * (i % 9)) for i in range(300)]
+    none = [(None, "grocery_pos", f"no id {i % 40}") for i in range(200)]
+    other = [(100 + i, "travel", "a b c " * (1 + i % 5)) for i in range(500)]
+    txns = spark.createDataFrame(copy + shared + none + other, "trans_num long, category string, merchant string")
+    weights = cyclic_weights(txns, mixing.CARD_COLUMNS)
+    told = mixing.mix_categories(txns.repartition(9), weights).toPandas()
+    assert len(told) == txns.count()
+    for _, part in told.groupby("target"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 0.5
+    few = mixing.mix_categories(txns, weights, buckets=4).toPandas()
+    assert sorted(map(str, told.values.tolist())) == sorted(map(str, few.values.tolist()))
+    size = F.regexp_count("merchant", F.lit(r"[^ ]+"))
+    kept = mixing.mixed(txns.repartition(9), weights).groupBy("category").agg(F.sum(size)).collect()
+    assert len(kept) == 2
+    for name, words in kept:
+        want = txns.filter(F.col("category") == name).agg(F.sum(size)).first()[0]
+        target = told[told["category_words"] == want]["target"].iloc[0]
+        assert abs(words - target) <= 10, name
+
+
 def test_mixed_rows_follow_the_decisions(spark):
     txns = descriptors(spark, [i % 9 + 1 for i in range(600)], lambda i: "big" if i % 4 else "small")
     weights = spark.createDataFrame([("big", 1.0), ("small", 2.0)], "category string, weight double")
