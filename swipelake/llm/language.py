@@ -263,6 +263,7 @@ def label_languages(
     and have a language and a text are learned from, about ``sample_rows`` of each language. A word's script
     narrows the languages to those that use it; its score in each is that of its letters given the two before. Viterbi
     over the words, where each switch costs ``penalty``, labels spans; the language with most letters wins.
+    Of the sample's letter counts the ``most_grams`` commonest are kept; rarer letter triples score as unseen ones.
 
     Returns ``transaction_id, language, score, spans`` (``language, first_word, words``); ``score`` is the winner's
     share of the letters. A NULL text or one without letters is ``und`` with score 0, as is all when nothing can
